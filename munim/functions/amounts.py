@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from munim.functions.binding import let
 from munim.rules.patterns import CURRENCY, NUMBER, SIGNED_AMOUNT
 from munim.rules.tokens import EMPTY_AMOUNTS, NULL_TOKENS
 
@@ -32,12 +33,18 @@ def parse_amount(cell: Column) -> Column:
 
     The suffix only marks the side; it does not change the sign.
     """
-    body = F.regexp_replace(null_token(cell), r"₹|Rs\.|Rs|INR| ", "")
+    body = F.regexp_replace(null_token(cell), r"₹|Rs\.|Rs|INR|[ ,]", "")
     body = F.regexp_replace(body, r"([DC]r\.?|[DC]R\.?)$", "")
-    body = F.regexp_replace(body, ",", "")
-    body = F.regexp_replace(body, r"^\((.*)\)$", "-$1")
-    body = F.regexp_replace(body, r"^(.*)-$", "-$1")
-    return to_number(F.trim(body))
+    return let(
+        body,
+        lambda t: F.when(t.startswith("(") & t.endswith(")"), to_number(_negated(t, 2, 2)))
+        .when(t.endswith("-"), to_number(_negated(t, 1, 1)))
+        .otherwise(to_number(t)),
+    )
+
+
+def _negated(text: Column, start: int, cut: int) -> Column:
+    return F.concat(F.lit("-"), F.substring(text, F.lit(start), F.length(text) - cut))
 
 
 def _digits(text: Column) -> Column:
@@ -54,44 +61,51 @@ def parse_amount_signed(cell: Column) -> Column:
 
     A sign before the currency wins, then a CR/DR suffix, then a bare currency (debit).
     """
-    text = _not_empty(cell)
     suffixed = rf"(?i){CURRENCY}?\s*({NUMBER})\s*(CR|DR|C|D)\b"
     plain = rf"(?i){CURRENCY}\s*({NUMBER})"
-    signed = _digits(F.regexp_extract(text, SIGNED_AMOUNT, 2))
-    crdr = _digits(F.regexp_extract(text, suffixed, 1))
-    is_credit = F.upper(F.regexp_extract(text, suffixed, 2)).startswith("C")
-    return (
-        F.when(text.rlike(SIGNED_AMOUNT),
-               F.when(F.regexp_extract(text, SIGNED_AMOUNT, 1) == "+", signed).otherwise(-signed))
-        .when(text.rlike(suffixed), F.when(is_credit, crdr).otherwise(-crdr))
-        .when(text.rlike(plain), -_digits(F.regexp_extract(text, plain, 1)))
-    )
+
+    def read(text: Column) -> Column:
+        signed = _digits(F.regexp_extract(text, SIGNED_AMOUNT, 2))
+        crdr = _digits(F.regexp_extract(text, suffixed, 1))
+        is_credit = F.upper(F.regexp_extract(text, suffixed, 2)).startswith("C")
+        return (
+            F.when(text.rlike(SIGNED_AMOUNT),
+                   F.when(F.regexp_extract(text, SIGNED_AMOUNT, 1) == "+", signed)
+                   .otherwise(-signed))
+            .when(text.rlike(suffixed), F.when(is_credit, crdr).otherwise(-crdr))
+            .when(text.rlike(plain), -_digits(F.regexp_extract(text, plain, 1)))
+        )
+
+    return let(_not_empty(cell), read)
 
 
 def parse_amount_anchored(cell: Column) -> Column:
     """Whole cell must be an amount; credit positive, debit negative, ``(x)`` and bare = debit."""
-    text = _not_empty(cell)
     signed = rf"(?i)^([+\-])\s*{CURRENCY}\s*({NUMBER})$"
     suffixed = rf"(?i)^{CURRENCY}?\s*({NUMBER})\s*(CR|DR|C|D)\.?$"
     parens = rf"(?i)^\({CURRENCY}?\s*({NUMBER})\)$"
-    bare = F.regexp_replace(text, rf"(?i)^{CURRENCY}\s*", "")
-    value = _digits(F.regexp_extract(text, signed, 2))
-    crdr = _digits(F.regexp_extract(text, suffixed, 1))
-    is_credit = F.upper(F.regexp_extract(text, suffixed, 2)).startswith("C")
-    return (
-        F.when(text.rlike(signed),
-               F.when(F.regexp_extract(text, signed, 1) == "+", value).otherwise(-value))
-        .when(text.rlike(suffixed), F.when(is_credit, crdr).otherwise(-crdr))
-        .when(text.rlike(parens), -_digits(F.regexp_extract(text, parens, 1)))
-        .otherwise(-F.abs(to_number(F.trim(F.regexp_replace(bare, ",", "")))))
-    )
+
+    def read(text: Column) -> Column:
+        bare = F.trim(F.regexp_replace(text, rf"(?i)^{CURRENCY}\s*|,", ""))
+        value = _digits(F.regexp_extract(text, signed, 2))
+        crdr = _digits(F.regexp_extract(text, suffixed, 1))
+        is_credit = F.upper(F.regexp_extract(text, suffixed, 2)).startswith("C")
+        return (
+            F.when(text.rlike(signed),
+                   F.when(F.regexp_extract(text, signed, 1) == "+", value).otherwise(-value))
+            .when(text.rlike(suffixed), F.when(is_credit, crdr).otherwise(-crdr))
+            .when(text.rlike(parens), -_digits(F.regexp_extract(text, parens, 1)))
+            .otherwise(-F.abs(let(bare, to_number)))
+        )
+
+    return let(_not_empty(cell), read)
 
 
 def parse_amount_plain(cell: Column) -> Column:
     """Unsigned amount of a debit or credit column; anything unreadable is 0."""
     text = F.regexp_replace(_not_empty(cell), rf"(?i)^{CURRENCY}\s*", "")
     text = F.regexp_replace(text, r"(?i)\s*(CR|DR|C|D)\.?$", "")
-    number = to_number(F.trim(F.regexp_replace(text, ",", "")))
+    number = let(F.trim(F.regexp_replace(text, ",", "")), to_number)
     return F.coalesce(F.abs(number), F.lit(0.0))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from munim.functions.amounts import null_token
+from munim.functions.binding import let
 from munim.rules.patterns import CLOCK, DAY_MONTH
 from munim.rules.tokens import MONTHS
 
@@ -76,26 +77,33 @@ def _century(day: Column, pattern: str) -> Column:
 def parse_date(cell: Column) -> Column:
     """Statement-cell date in any accepted layout -> DATE, else null."""
     text = F.regexp_replace(null_token(cell), "T(?=\\d)", " ")
-    tries = [
-        F.when(text.rlike(shape), _century(F.try_to_date(text, pattern), pattern))
-        for shape, pattern in DATE_LAYOUTS + DATE_FALLBACKS
-    ]
-    return F.coalesce(*tries)
+
+    def read(t: Column) -> Column:
+        return F.coalesce(*[
+            F.when(t.rlike(shape), _century(F.try_to_date(t, pattern), pattern))
+            for shape, pattern in DATE_LAYOUTS + DATE_FALLBACKS
+        ])
+
+    return let(text, read)
 
 
 def parse_timestamp(cell: Column) -> Column:
     """Document-cell date or time -> TIMESTAMP_NTZ, else null.  A weekday prefix is dropped."""
     text = F.regexp_replace(F.trim(cell), r"^[A-Za-z]+,\s*", "")
     text = F.trim(F.regexp_replace(text, r"\s{2,}", " "))
-    tries = []
-    for shape, pattern in TIMESTAMP_LAYOUTS:
-        stamp = F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
-        if "yyyy" not in pattern:
-            stamp = F.when(
-                F.year(stamp) > 2068, stamp - F.expr("interval 100 years")
-            ).otherwise(stamp)
-        tries.append(F.when(text.rlike(shape), stamp))
-    return F.coalesce(*tries)
+
+    def stamp(t: Column, pattern: str) -> Column:
+        out = F.try_to_timestamp(t, F.lit(pattern)).cast("timestamp_ntz")
+        if "yyyy" in pattern:
+            return out
+        return F.when(F.year(out) > 2068, out - F.expr("interval 100 years")).otherwise(out)
+
+    def read(t: Column) -> Column:
+        return F.coalesce(*[
+            F.when(t.rlike(shape), stamp(t, pattern)) for shape, pattern in TIMESTAMP_LAYOUTS
+        ])
+
+    return let(text, read)
 
 
 def document_day(cell: Column) -> Column:
@@ -126,21 +134,23 @@ def safe_date(year: Column, month: Column, day: Column) -> Column:
 
 def day_month_time(cell: Column) -> Column:
     """``22 Mar\\n11:39 PM`` -> struct(month, day, hour, minute), null without a day and month."""
-    text = F.trim(F.regexp_replace(cell, "\n", " "))
-    raw_hour = F.regexp_extract(text, CLOCK, 1).try_cast("int")
-    half = F.upper(F.regexp_extract(text, CLOCK, 3))
-    hour = (
-        F.when((half == "PM") & (raw_hour != 12), raw_hour + 12)
-        .when((half == "AM") & (raw_hour == 12), F.lit(0))
-        .otherwise(raw_hour)
-    )
-    parts = F.struct(
-        month_number(F.regexp_extract(text, DAY_MONTH, 2)).alias("month"),
-        F.regexp_extract(text, DAY_MONTH, 1).try_cast("int").alias("day"),
-        F.coalesce(hour, F.lit(0)).alias("hour"),
-        F.coalesce(F.regexp_extract(text, CLOCK, 2).try_cast("int"), F.lit(0)).alias("minute"),
-    )
-    return F.when(text.rlike(DAY_MONTH), parts)
+    def read(text: Column) -> Column:
+        raw_hour = F.regexp_extract(text, CLOCK, 1).try_cast("int")
+        half = F.upper(F.regexp_extract(text, CLOCK, 3))
+        hour = (
+            F.when((half == "PM") & (raw_hour != 12), raw_hour + 12)
+            .when((half == "AM") & (raw_hour == 12), F.lit(0))
+            .otherwise(raw_hour)
+        )
+        parts = F.struct(
+            month_number(F.regexp_extract(text, DAY_MONTH, 2)).alias("month"),
+            F.regexp_extract(text, DAY_MONTH, 1).try_cast("int").alias("day"),
+            F.coalesce(hour, F.lit(0)).alias("hour"),
+            F.coalesce(F.regexp_extract(text, CLOCK, 2).try_cast("int"), F.lit(0)).alias("minute"),
+        )
+        return F.when(text.rlike(DAY_MONTH), parts)
+
+    return let(F.trim(F.regexp_replace(cell, "\n", " ")), read)
 
 
 def timestamp_of(year: Column, parts: Column) -> Column:

@@ -1,4 +1,4 @@
 """All registered queries; importing this module registers them."""
 
-from munim.plans import aggregate_queries  # noqa: F401
+from munim.plans import aggregate_queries, clean_queries  # noqa: F401
 from munim.plans.registry import ORACLES, QUERIES  # noqa: F401
