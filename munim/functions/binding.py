@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -14,3 +14,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     cascades of regular expressions over one text then cost a multiple.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def once(df: DataFrame, row: Column, keep: list[str] | None = None) -> DataFrame:
+    """Add the fields of a costly struct so that nothing above evaluates it again.
+
+    Filters and projections on the new columns are never inlined through a
+    generator, as they would be through a projection.
+    """
+    return df.select(*(keep if keep is not None else ["*"]), F.inline(F.array(row)))

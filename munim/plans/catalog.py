@@ -1,4 +1,9 @@
 """All registered queries; importing this module registers them."""
 
-from munim.plans import aggregate_queries, clean_queries  # noqa: F401
+from munim.plans import (  # noqa: F401
+    aggregate_queries,
+    anomaly_queries,
+    classify_queries,
+    clean_queries,
+)
 from munim.plans.registry import ORACLES, QUERIES  # noqa: F401
