@@ -5,5 +5,6 @@ from munim.plans import (  # noqa: F401
     anomaly_queries,
     classify_queries,
     clean_queries,
+    forecast_queries,
 )
 from munim.plans.registry import ORACLES, QUERIES  # noqa: F401
