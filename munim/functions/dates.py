@@ -64,6 +64,11 @@ TIMESTAMP_LAYOUTS = [
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
     (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
     (r"^\d{1,2}\.\d{1,2}\.\d{2}$", "d.M.yy"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", "yyyy-M-d'T'H:m:s"),
+    (r"^\p{L}{3} \d{1,2} \d{4}$", "MMM d yyyy"),
+    (r"^\p{L}{3,} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\p{L}{3,} \d{1,2} \d{4}$", "MMMM d yyyy"),
 ]
 
 
