@@ -65,12 +65,10 @@ def carry_forward(
     )
     outer = W.partitionBy(*part).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
     local = rows.withColumn("_in", F.last("_value", ignorenulls=True).over(inner))
-    lasts = rows.where(F.col("_value").isNotNull()).groupBy(*part, *names).agg(
-        F.max_by("_value", F.struct(*order)).alias("_last")
-    )
-    # Buckets without a value still need the value of an earlier bucket.
-    every = rows.select(*part, *names).distinct().join(lasts, [*part, *names], "left")
-    before = every.select(
+    # Null positions are ignored, so a bucket without a value still has its (empty) row.
+    position = F.when(F.col("_value").isNotNull(), F.struct(*order))
+    lasts = rows.groupBy(*part, *names).agg(F.max_by("_value", position).alias("_last"))
+    before = lasts.select(
         *part, *names, F.last("_last", ignorenulls=True).over(outer).alias("_before")
     )
     joined = local.join(before, [*part, *names], "left")
