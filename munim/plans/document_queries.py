@@ -6,13 +6,17 @@ Line numbers are the transaction's times four plus the line within it.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from munim.functions import dates as D
 from munim.operators import statement_tables as TB, statement_text as TX
 from munim.plans.clean_queries import pick
-from munim.plans.fixtures import DAY_SPAN, TXN_SQL, raw_txn, txn
+from munim.plans.fixtures import DAY_SPAN, TXN_SQL, raw_txn, table, txn
 from munim.plans.registry import query
+from munim.rules import ledger_profile as LP
+from munim.sources.synthetic import synthetic_ledger as ledger
 
 WITH = "WITH " + TXN_SQL
 KEYS = ["statement_id", "line_no"]
@@ -295,3 +299,57 @@ def parse_fallback(spark, d):
     issuers = raw.select("statement_id").distinct().withColumn("issuer", F.lit("Unknown"))
     out = TB.parse_documents(rows, as_lines(raw, line), issuers, SPAN)
     return out.select(*KEYS, F.col("date").cast("date"), "description", "raw_amount", "stage")
+
+
+# --- synthetic ledger ------------------------------------------------------
+
+
+def sql_uniform(*parts: str) -> str:
+    text = " || '|' || ".join(["'42'", "statement_id", *parts])
+    return f"(('0x' || substr(md5({text}), 1, 8))::UBIGINT::DOUBLE / 4294967296.0)"
+
+
+def sql_choice(options: list[str], x: str) -> str:
+    body = ", ".join("'" + o.replace("'", "''") + "'" for o in options)
+    return f"list_extract([{body}], CAST(floor({x} * {len(options)}) AS INT) + 1)"
+
+
+def sql_between(lo: float, hi: float, x: str) -> str:
+    return f"round_even(({lo} + ({hi - lo}) * {x}) * 100.0, 0) / 100.0"
+
+
+def ledger_sql() -> str:
+    u = lambda name, *p: sql_uniform(f"'{name}'", *p)
+    slots = LP.MONTHS * 4
+    extra = " + ".join(f"1 + floor({u('k', str(m))} * 3)" for m in range(LP.MONTHS))
+    month0 = f"CAST(floor((i - {LP.MONTHS}) / 3) AS INT)"
+    tops = list(accumulate(v[0] for v in LP.SPENDING.values()))
+    case = lambda f: "CASE " + " ".join(
+        f"WHEN {u('c', 'i')} * 100 < {top} THEN {f(v)}" for top, v in zip(tops, LP.SPENDING.values())) + " END"
+    planted = ", ".join(
+        f"({LP.ROWS + slots + 1 + n}, DATE '{d}', '{t}', {a}::DOUBLE)" for n, (d, t, a) in enumerate(LP.PLANTED))
+    return f"""
+WITH s AS (SELECT s_suppkey AS statement_id FROM supplier),
+r AS (SELECT statement_id, unnest(range(0, {LP.ROWS + slots + 1}))::INT AS i FROM s),
+k AS (SELECT * FROM r WHERE i < {LP.MONTHS}
+  OR (i >= {LP.MONTHS} AND i < {slots} AND (i - {LP.MONTHS}) % 3 < 1 + floor({u('k', month0)} * 3))
+  OR (i >= {slots} AND i - {slots} < {LP.ROWS - LP.MONTHS} - ({extra}))),
+g AS (SELECT statement_id, i::BIGINT AS line_no, CASE WHEN i < {LP.MONTHS} THEN make_date({LP.YEAR}, i + 1, 1)
+    WHEN i < {slots} THEN make_date({LP.YEAR}, {month0} + 1, CAST(5 + floor({u('d', 'i')} * 24) AS INT))
+    ELSE make_date({LP.YEAR}, CAST(1 + floor({u('m', 'i')} * {LP.MONTHS}) AS INT),
+      CAST(1 + floor({u('d', 'i')} * 28) AS INT)) END AS date,
+  CASE WHEN i < {LP.MONTHS} THEN {sql_choice(LP.SALARIES, u('t', 'i'))}
+    WHEN i < {slots} THEN {sql_choice(LP.INCOMES, u('t', 'i'))}
+    ELSE replace({case(lambda v: sql_choice(v[3], u('t', 'i')))}, '{{num}}',
+      CAST(CAST(1000 + floor({u('n', 'i')} * 998999) AS BIGINT) AS VARCHAR)) END AS description,
+  CASE WHEN i < {slots} THEN 0.0 ELSE {case(lambda v: sql_between(v[1], v[2], u('a', 'i')))} END::DOUBLE AS debit,
+  CASE WHEN i < {LP.MONTHS} THEN {sql_between(*LP.SALARY_RANGE, u('a', 'i'))}
+    WHEN i < {slots} THEN {sql_between(*LP.INCOME_RANGE, u('a', 'i'))} ELSE 0.0 END::DOUBLE AS credit FROM k
+  UNION ALL SELECT statement_id, v.n, v.d, v.t, v.a, 0.0 FROM s, (VALUES {planted}) v(n, d, t, a))
+SELECT *, ({int(LP.OPENING_BALANCE * 100)} + sum(CAST(round(credit * 100) AS BIGINT) - CAST(round(debit * 100) AS BIGINT))
+  OVER (PARTITION BY statement_id ORDER BY date, line_no ROWS UNBOUNDED PRECEDING))::DOUBLE / 100.0 AS balance FROM g"""
+
+
+@query("synthetic_ledger", ledger_sql())
+def synthetic_ledger(spark, d):
+    return ledger(table(spark, d, "supplier").select(F.col("s_suppkey").alias("statement_id")))
