@@ -50,7 +50,7 @@ def summary_stats(df: DataFrame) -> DataFrame:
         (credits - debits).alias("net_cashflow"),
         F.sum("_n").alias("transaction_count"),
         F.struct(F.min("_first").alias("min"), F.max("_last").alias("max")).alias("date_range"),
-        F.coalesce(debits / F.count("_debit"), F.lit(0.0)).alias("avg_monthly_spend"),
+        money.ratio(debits, F.count("_debit"), 0.0).alias("avg_monthly_spend"),
         F.count("_month").alias("n_months"),
     )
 
@@ -67,7 +67,7 @@ def category_breakdown(df: DataFrame) -> DataFrame:
     whole = F.sum("total_spent").over(W.partitionBy(KEY))
     return category_totals(df).select(
         KEY, "category", "total_spent",
-        money.round_even(F.col("total_spent") / whole * 100, 1).alias("pct"),
+        money.round_even(money.ratio(F.col("total_spent"), whole) * 100, 1).alias("pct"),
         "txn_count",
         money.round_even(F.col("total_spent") / F.col("txn_count"), 2).alias("avg_txn"),
     )
@@ -145,7 +145,7 @@ def category_stats(df: DataFrame) -> DataFrame:
     """Mean and sample deviation of debit amounts per category; deviation 1 when undefined or 0."""
     sd = F.stddev_samp("amount")
     return only(df, "debit").groupBy(KEY, "category").agg(
-        (money.total(F.col("amount")) / F.count("amount")).alias("mean"),
+        money.ratio(money.total(F.col("amount")), F.count("amount")).alias("mean"),
         F.coalesce(F.when(sd != 0, sd), F.lit(1.0)).alias("std"),
     )
 
@@ -190,7 +190,7 @@ def merchant_dominance(df: DataFrame, threshold: float = 0.55) -> DataFrame:
         money.total(F.col("_spent")).alias("total_spent"), F.max("_spent").alias("_max")
     )
     rank = F.row_number().over(W.partitionBy(KEY).orderBy(F.desc("total_spent"), "category"))
-    share = F.col("_max") / F.col("total_spent")
+    share = money.ratio(F.col("_max"), F.col("total_spent"))
     return (
         per_category.withColumn("_rank", rank).where(F.col("_rank") == 1)
         .select(

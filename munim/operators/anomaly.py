@@ -56,7 +56,7 @@ def with_zscore(df: DataFrame, stats: DataFrame) -> DataFrame:
     A category that was not fitted uses mean and deviation of the statement at hand.
     """
     overall = df.groupBy(KEY).agg(
-        (money.total(F.col("amount")) / F.count("amount")).alias("_mean"),
+        money.ratio(money.total(F.col("amount")), F.count("amount")).alias("_mean"),
         F.stddev_samp("amount").alias("_std"),
     )
     joined = with_category_stats(df, stats).join(overall, KEY)

@@ -54,7 +54,7 @@ def simple_forecast(df: DataFrame) -> DataFrame:
     """Mean charge plus 5 %, bounds 15 % either side; for short histories."""
     month = month_start(F.col("date"))
     stats = only(df, "debit").groupBy(KEY, "category").agg(
-        (money.total(F.abs("amount")) / F.count("amount")).alias("_avg"),
+        money.ratio(money.total(F.abs("amount")), F.count("amount")).alias("_avg"),
         F.min(month).alias("_first"), F.max(month).alias("_last"),
     )
     months = F.months_between("_last", "_first") + 1

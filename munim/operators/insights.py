@@ -185,7 +185,7 @@ def story(facts: DataFrame) -> DataFrame:
         label=F.when(gain, "savings rate").otherwise("deficit"), n=n,
     )).otherwise(say(M.STORY_SPEND, period=period, n=n, debits=debits))
     a, b = format_inr(F.col("top_spent")), format_inr(F.col("second_spent"))
-    both = (F.col("top_spent") + F.col("second_spent")) / F.col("total_debits") * 100
+    both = money.ratio(F.col("top_spent") + F.col("second_spent"), F.col("total_debits"), 0.0) * 100
     second = F.coalesce(
         say(M.STORY_TWO, first=F.col("top_category"), a=a, second=F.col("second_category"), b=b,
             share=fixed(both, 0)),

@@ -29,18 +29,18 @@ def recurring_merchants(df: DataFrame) -> DataFrame:
         )
         .where(F.length("_key") >= 2)
     )
-    mean = F.col("_sum") / 100.0 / F.col("_k")
+    mean = money.ratio(F.col("_sum") / 100.0, F.col("_k"), 0.0)
     names = parts.groupBy(KEY, "_key", "description").agg(
         F.sum("_n").alias("_n"), F.sum("_k").alias("_k"), F.sum("_sum").alias("_sum"),
-        F.sum(F.col("_k") * (F.col("_var") + mean * mean)).alias("_square"),
+        F.sum(F.col("_k") * (F.coalesce("_var", F.lit(0.0)) + mean * mean)).alias("_square"),
         F.collect_set("_month").alias("_months"),
     )
     total = F.sum("_sum") / 100.0
-    avg = total / F.sum("_k")
+    avg = money.ratio(total, F.sum("_k"))
     groups = names.groupBy(KEY, "_key").agg(
         F.min_by("description", F.struct(-F.col("_n"), "description")).alias("merchant"),
         F.sum("_n").alias("frequency"), avg.alias("_avg"), total.alias("_total"),
-        F.sqrt(F.greatest(F.sum("_square") / F.sum("_k") - avg * avg, F.lit(0.0))).alias("_sd"),
+        F.sqrt(F.greatest(money.ratio(F.sum("_square"), F.sum("_k")) - avg * avg, F.lit(0.0))).alias("_sd"),
         F.size(F.array_distinct(F.flatten(F.collect_set("_months")))).alias("months_active"),
     )
     steady = F.when(F.col("_avg") > 0, F.col("_sd") / F.col("_avg") < 0.20).otherwise(F.lit(True))
@@ -85,7 +85,7 @@ def similar_names(names: DataFrame, threshold: float = 0.60) -> DataFrame:
     ``n - ceil(threshold * n) + 2``.  Names therefore meet on a pair of rare
     bigrams and on their size, never on a single common bigram.
     """
-    sets = names.select("name").distinct().select("name", bigrams(F.col("name")).alias("grams"))
+    sets = names.where(F.col("name").isNotNull()).select("name").distinct().select("name", bigrams(F.col("name")).alias("grams"))
     single = sets.select("name", F.explode("grams").alias("gram"))
     counts = single.groupBy("gram").agg(F.count(F.lit(1)).alias("_f"))
     ranked = single.join(counts, "gram").groupBy("name").agg(
