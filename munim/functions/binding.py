@@ -16,6 +16,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def capture(text: Column, pattern: str, groups: int) -> Column:
+    """Groups of a pattern that spans the whole text, as an array; null without a match.
+
+    One match instead of one per group.
+    """
+    mark = "\u0001"
+    joined = F.regexp_replace(text, pattern, mark.join(f"${i}" for i in range(1, groups + 1)))
+    return let(F.split(joined, mark), lambda a: F.when(F.size(a) == groups, a))
+
+
 def once(df: DataFrame, row: Column, keep: list[str] | None = None) -> DataFrame:
     """Add the fields of a costly struct so that nothing above evaluates it again.
 

@@ -1,7 +1,9 @@
 """Anomaly features, repeated charges, reasons and summaries.
 
 Statistics are small aggregates that are joined back to the transactions by
-equality; nothing is looked up through a window over a whole statement.
+equality; nothing is looked up through a window over a whole statement.  Where
+several are joined in a row, ``source`` names the plain transactions, so that each
+aggregate reads a few columns of those and not the joins made before it.
 """
 
 from __future__ import annotations
@@ -50,12 +52,12 @@ def with_category_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.join(named, [KEY, "category"], "left")
 
 
-def with_zscore(df: DataFrame, stats: DataFrame) -> DataFrame:
+def with_zscore(df: DataFrame, stats: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Distance of an amount from its category, in deviations.
 
     A category that was not fitted uses mean and deviation of the statement at hand.
     """
-    overall = df.groupBy(KEY).agg(
+    overall = (df if source is None else source).groupBy(KEY).agg(
         money.ratio(money.total(F.col("amount")), F.count("amount")).alias("_mean"),
         F.stddev_samp("amount").alias("_std"),
     )
@@ -66,13 +68,14 @@ def with_zscore(df: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.withColumn("amount_zscore", z).drop("_mean", "_std")
 
 
-def with_days_since_last(df: DataFrame) -> DataFrame:
+def with_days_since_last(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Days since the statement's previous debit, 0 for the first one.
 
     Only the first line of a day can have a gap, so the window runs over distinct
     days of a statement rather than over its lines.
     """
-    days = df.groupBy(KEY, "date").agg(F.min("line_no").alias("_first"))
+    days = (df if source is None else source).groupBy(KEY, "date").agg(
+        F.min("line_no").alias("_first"))
     gap = F.datediff("date", F.lag("date").over(W.partitionBy(KEY).orderBy("date")))
     days = days.withColumn("_gap", F.coalesce(gap, F.lit(0)))
     return df.join(days, [KEY, "date"], "left").withColumn(
@@ -89,7 +92,9 @@ def _micros(df: DataFrame, at: str) -> Column:
     return days * 86_400_000_000 + clock + (F.date_part(F.lit("SECOND"), at) * 1_000_000).cast("bigint")
 
 
-def with_repeat_charge(df: DataFrame, at: str = "date", days: int = 7) -> DataFrame:
+def with_repeat_charge(
+    df: DataFrame, at: str = "date", days: int = 7, source: DataFrame | None = None
+) -> DataFrame:
     """Add ``is_dup_charge``: same merchant and amount again within ``days`` whole days.
 
     Time is cut into bins of ``days + 1`` days.  Two charges in one bin are always
@@ -99,10 +104,10 @@ def with_repeat_charge(df: DataFrame, at: str = "date", days: int = 7) -> DataFr
     """
     width = (days + 1) * 86_400_000_000
     on = [KEY, "description", "amount"]
-    rows = df.withColumn("_at", _micros(df, at)).withColumn(
-        "_bin", F.floor(F.col("_at") / F.lit(width)).cast("bigint"))
-    bins = rows.groupBy(*on, "_bin").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_min"), F.max("_at").alias("_max")
+    position = _micros(df, at)
+    slot = F.floor(position / F.lit(width)).cast("bigint")
+    bins = (df if source is None else source).groupBy(*on, slot.alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(position).alias("_min"), F.max(position).alias("_max")
     )
     w = W.partitionBy(*on).orderBy("_bin")
     near = (
@@ -113,9 +118,9 @@ def with_repeat_charge(df: DataFrame, at: str = "date", days: int = 7) -> DataFr
     repeats = bins.withColumn("_near", F.coalesce(near, F.lit(False))).where("_near").select(
         *on, "_bin", F.lit(True).alias("is_dup_charge")
     )
-    return rows.join(repeats, [*on, "_bin"], "left").withColumn(
+    return df.withColumn("_bin", slot).join(repeats, [*on, "_bin"], "left").withColumn(
         "is_dup_charge", F.coalesce("is_dup_charge", F.lit(False))
-    ).drop("_at", "_bin")
+    ).drop("_bin")
 
 
 def fit_stats(df: DataFrame) -> FittedStats:
@@ -125,8 +130,9 @@ def fit_stats(df: DataFrame) -> FittedStats:
 
 def features(df: DataFrame, stats: FittedStats) -> DataFrame:
     """Debits with the eight model features."""
-    out = with_merchant_frequency(only(df, "debit"), stats.merchant_counts)
-    out = with_days_since_last(with_zscore(out, stats.category_stats))
+    debits = only(df, "debit")
+    out = with_merchant_frequency(debits, stats.merchant_counts)
+    out = with_days_since_last(with_zscore(out, stats.category_stats, debits), debits)
     weekday = F.weekday("date")
     return out.withColumns(
         {
@@ -148,9 +154,12 @@ def fit_scaler(feature_rows: DataFrame) -> DataFrame:
     return feature_rows.groupBy(KEY).agg(*aggs)
 
 
-def standardize(feature_rows: DataFrame, scaler: DataFrame) -> DataFrame:
-    """Features as distances from the fitted mean in deviations; constant features are 0."""
-    scaled = {f: (F.col(f) - F.col(f"_mu_{f}")) / F.col(f"_sd_{f}") for f in FEATURES}
+def standardize(feature_rows: DataFrame, scaler: DataFrame, prefix: str = "") -> DataFrame:
+    """Features as distances from the fitted mean in deviations; constant features are 0.
+
+    With a ``prefix`` the original features stay beside the new columns.
+    """
+    scaled = {prefix + f: (F.col(f) - F.col(f"_mu_{f}")) / F.col(f"_sd_{f}") for f in FEATURES}
     joined = feature_rows.join(scaler, KEY)
     return joined.withColumns(scaled).drop(*[c for c in scaler.columns if c != KEY])
 

@@ -10,6 +10,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from munim.functions.binding import once
 from munim.operators.clean import running_balance
 from munim.rules import ledger_profile as L
 
@@ -33,11 +34,14 @@ def synthetic_ledger(statements: DataFrame, seed: int = 42) -> DataFrame:
     choose = lambda options, x: F.get(F.lit(options), F.floor(x * len(options)).cast("int"))
     extra = sum((1 + F.floor(u("k", F.lit(m)) * 3) for m in range(L.MONTHS)), F.lit(0))
     slots = L.MONTHS * 4
-    rows = statements.select(KEY, F.explode(F.sequence(F.lit(0), F.lit(L.ROWS + slots))).alias("i"))
+    # A few input rows become hundreds each, so they are spread before they grow.
+    spread = statements.repartition(statements.sparkSession.sparkContext.defaultParallelism, KEY)
+    rows = once(spread, F.struct(extra.alias("_extra")), keep=[KEY]).select(
+        KEY, "_extra", F.explode(F.sequence(F.lit(0), F.lit(L.ROWS + slots))).alias("i"))
     salary, income = i < L.MONTHS, (i >= L.MONTHS) & (i < slots)
     month0 = F.floor((i - L.MONTHS) / 3).cast("int")
     kept = salary | (income & ((i - L.MONTHS) % 3 < 1 + F.floor(u("k", month0) * 3))) | (
-        (i >= slots) & (i - slots < L.ROWS - L.MONTHS - extra))
+        (i >= slots) & (i - slots < L.ROWS - L.MONTHS - F.col("_extra")))
     day = lambda m, d: F.make_date(F.lit(L.YEAR), m.cast("int"), d.cast("int"))
     date = (
         F.when(salary, day(i + 1, F.lit(1)))
