@@ -14,38 +14,26 @@ from munim.rules.tokens import SUBSCRIPTION_WORDS
 def recurring_merchants(df: DataFrame) -> DataFrame:
     """Merchants charged at least twice and in at least two months.
 
-    Transactions are first summed per (statement, key, month, description), which
-    combines map-side; counts, deviation and the most common spelling are then
-    taken from those sums, so no group ever holds raw transactions.
+    Figures per (statement, key) come from plain aggregates with one distinct count,
+    the display name from counts per spelling.  Both combine map-side, so a merchant
+    with any number of charges or spellings never gathers them in one task.
     """
     spent = F.col("debit")
-    parts = (
-        only(df, "debit")
-        .groupBy(KEY, recurring_key(F.col("description")).alias("_key"),
-                 month_start(F.col("date")).alias("_month"), "description")
-        .agg(
-            F.count(F.lit(1)).alias("_n"), F.count(spent).alias("_k"),
-            F.sum(money.paise(spent)).alias("_sum"), F.var_pop(spent).alias("_var"),
-        )
-        .where(F.length("_key") >= 2)
-    )
-    mean = money.ratio(F.col("_sum") / 100.0, F.col("_k"), 0.0)
-    names = parts.groupBy(KEY, "_key", "description").agg(
-        F.sum("_n").alias("_n"), F.sum("_k").alias("_k"), F.sum("_sum").alias("_sum"),
-        F.sum(F.col("_k") * (F.coalesce("_var", F.lit(0.0)) + mean * mean)).alias("_square"),
-        F.collect_set("_month").alias("_months"),
-    )
-    total = F.sum("_sum") / 100.0
-    avg = money.ratio(total, F.sum("_k"))
-    groups = names.groupBy(KEY, "_key").agg(
-        F.min_by("description", F.struct(-F.col("_n"), "description")).alias("merchant"),
-        F.sum("_n").alias("frequency"), avg.alias("_avg"), total.alias("_total"),
-        F.sqrt(F.greatest(money.ratio(F.sum("_square"), F.sum("_k")) - avg * avg, F.lit(0.0))).alias("_sd"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("_months")))).alias("months_active"),
-    )
+    charges = only(df, "debit").select(
+        KEY, "date", "description", "debit", recurring_key(F.col("description")).alias("_key")
+    ).where(F.length("_key") >= 2)
+    total = F.sum(money.paise(spent)) / F.lit(100.0)
+    figures = charges.groupBy(KEY, "_key").agg(
+        F.count(F.lit(1)).alias("frequency"), money.ratio(total, F.count(spent)).alias("_avg"),
+        total.alias("_total"), F.stddev_pop(spent).alias("_sd"),
+        F.count_distinct(month_start(F.col("date"))).cast("int").alias("months_active"),
+    ).where((F.col("frequency") >= 2) & (F.col("months_active") >= 2))
+    names = charges.groupBy(KEY, "_key", "description").agg(F.count(F.lit(1)).alias("_n")).groupBy(
+        KEY, "_key").agg(F.min_by("description", F.struct(-F.col("_n"), "description")).alias("merchant"))
+    groups = figures.join(names, [KEY, "_key"])
     steady = F.when(F.col("_avg") > 0, F.col("_sd") / F.col("_avg") < 0.20).otherwise(F.lit(True))
     subscription = F.col("merchant").rlike(f"(?i)({SUBSCRIPTION_WORDS})")
-    return groups.where((F.col("frequency") >= 2) & (F.col("months_active") >= 2)).select(
+    return groups.select(
         KEY, "merchant", "frequency",
         money.round_even(F.col("_avg"), 2).alias("avg_amount"),
         money.round_even(F.col("_total"), 2).alias("total_spent"), "months_active",
