@@ -56,9 +56,15 @@ def format_inr(amount: Column) -> Column:
     return F.concat(F.when(amount < 0, "-").otherwise(""), F.lit("₹"), digits)
 
 
+def fixed(value: Column, places: int) -> Column:
+    """Number text with ``places`` decimals, rounded half-even; null stays null."""
+    text = F.format_string(f"%.{places}f", round_even(value, places))
+    return F.when(value.isNotNull(), text)
+
+
 def format_inr_paise(amount: Column) -> Column:
     """``123456.7`` -> ``₹1,23,456.70``."""
-    text = F.format_string("%.2f", round_even(F.abs(amount), 2))
+    text = fixed(F.abs(amount), 2)
     whole = F.substring_index(text, ".", 1)
     return F.concat(
         F.when(amount < 0, "-").otherwise(""), F.lit("₹"), _group_digits(whole),
@@ -71,10 +77,10 @@ def format_inr_compact(amount: Column) -> Column:
     value = F.abs(amount)
     return F.concat(
         F.lit("Rs."),
-        F.when(value >= 1e7, F.concat(F.format_string("%.1f", round_even(value / 1e7, 1)), F.lit("Cr")))
-        .when(value >= 1e5, F.concat(F.format_string("%.1f", round_even(value / 1e5, 1)), F.lit("L")))
+        F.when(value >= 1e7, F.concat(fixed(value / 1e7, 1), F.lit("Cr")))
+        .when(value >= 1e5, F.concat(fixed(value / 1e5, 1), F.lit("L")))
         .when(value >= 1e3, F.format_number(value, 0))
-        .otherwise(F.format_string("%.0f", round_even(value, 0))),
+        .otherwise(fixed(value, 0)),
     )
 
 
@@ -83,11 +89,6 @@ def whole_number(value: Column) -> Column:
     return F.format_number(value, 0)
 
 
-def fixed(value: Column, places: int) -> Column:
-    """Number text with ``places`` decimals, rounded half-even."""
-    return F.format_string(f"%.{places}f", round_even(value, places))
-
-
 def latin1_safe(text: Column, max_length: int = 200) -> Column:
     """Text limited to Latin-1, longer texts cut, unknown characters as ``?``."""
     cut = F.left(text, F.lit(max_length))

@@ -132,11 +132,12 @@ SELECT statement_id, CASE WHEN cr > 0 THEN 'Over ' || months || ' month' || CASE
     || format('{{:,}}', n) || ' transactions.'
   ELSE 'Over ' || months || ' month' || CASE WHEN months <> 1 THEN 's' ELSE '' END || ', ' || format('{{:,}}', n)
     || ' transactions totalling ' || {lakh('db')} || ' in outflows were recorded.' END || ' '
-  || CASE WHEN c_2 IS NOT NULL THEN c_1 || ' (' || {lakh('s_1')} || ') and ' || c_2 || ' (' || {lakh('s_2')}
+  || CASE WHEN c_1 IS NULL THEN '' ELSE CASE WHEN c_2 IS NOT NULL THEN c_1 || ' (' || {lakh('s_1')} || ') and ' || c_2 || ' (' || {lakh('s_2')}
     || ') together represent ' || {F0('(s_1 + s_2) / db * 100')} || '% of total outflows.'
-  ELSE c_1 || ' was the single largest category at ' || {lakh('s_1')} || '.' END || ' '
+  ELSE c_1 || ' was the single largest category at ' || {lakh('s_1')} || '.' END || ' ' END
   || CASE WHEN na > 0 THEN na || ' transaction' || CASE WHEN na <> 1 THEN 's were' ELSE ' was' END
     || ' flagged as unusual — review the Anomalies tab for details.'
+  WHEN ft IS NULL THEN 'Spending patterns are consistent with no major irregularities detected.'
   ELSE 'Next month''s projected spend is ' || {lakh('ft')} || ' — plan accordingly.' END AS story FROM m""")
 def story(spark, d):
     return I.story(facts(spark, d)[1]).select(

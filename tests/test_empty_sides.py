@@ -36,3 +36,7 @@ def test_one_sided_statements(spark):
     assert stats[1].avg_monthly_spend == 0.0 and stats[2].total_credits == 0.0
     health = {r.statement_id: r for r in I.health_score(facts).collect()}
     assert health[2].savings_pts == 10 and health[1].savings_pts == 25
+    advice = {r.statement_id: r.advice for r in I.rule_advice(facts).collect()}
+    assert "null" not in advice[1] and "forecast" not in advice[1]
+    stories = {r.statement_id: r.sentences for r in I.story(facts).collect()}
+    assert len(stories[1]) == 2 and not any("null" in s for s in stories[1])
