@@ -35,7 +35,7 @@ def build_session(cores: str | int = "*", app: str = "munim", **conf: str) -> Sp
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared ``spark.checkpoint.dir``; fall back only if unset."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="munim-checkpoint-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="munim-checkpoint-"))
