@@ -6,9 +6,10 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry
+from munim.plans.catalog import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("MUNIM_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+
 
 
 @pytest.fixture(scope="module")
