@@ -16,7 +16,7 @@ ship(__name__)
 
 #: Training sample: at most so many texts per label, of at most so many characters each.
 SAMPLE_TEXTS, SAMPLE_CHARS = 3_000, 20_000
-#: Bytes of the dictionaries of good and of bad text, and of a text that go into one.
+#: Bytes of the dictionaries of good and of bad text, and least bytes of a text in one.
 GOOD_BYTES, BAD_BYTES, SLICE = 512 * 1024, 64 * 1024, 512
 LEVEL = 6
 #: Texts are compressed in pieces, so that the dictionary counts alike in long and short ones.
@@ -96,7 +96,7 @@ def train(
 
     At most ``texts`` documents per label, of at most ``chars`` characters each, are chosen by a
     hash of their ids: that bounded sample is all that is learnt from, and reaches the driver.
-    Half of it fills the dictionaries, the other half fits the calibration.  Repeated labels of a
+    Two thirds fill the dictionaries, the rest fits the calibration.  Repeated labels of a
     document count once, as the largest.  With one label only, or none, the scores are flat.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(
@@ -105,14 +105,15 @@ def train(
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
         F.col("text").isNotNull() & (F.length("text") <= chars)).join(known, "id").withColumn(
         "n", F.row_number().over(order)).where(F.col("n") <= texts).orderBy("y", "n").toPandas()
-    fill = sample["n"] % 2 == 1
+    fill = sample["n"] % 3 != 0
 
     def dictionary(rows: pd.DataFrame, limit: int) -> bytes:
         out, size = [], 0
+        share = max(SLICE, limit // max(len(rows), 1))  # few texts give more each
         for text, n in zip(rows["text"], rows["n"]):
             data = text.encode("utf-8", "replace")
-            start = (n * 997) % max(1, len(data) - SLICE)
-            out.append(data[start:start + SLICE])
+            start = (n * 997) % max(1, len(data) - share)
+            out.append(data[start:start + share])
             size += len(out[-1]) + 1
             if size >= limit:
                 break
