@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,51 +15,62 @@ from munim.llm.support import cut, number_rows, ship
 
 ship(__name__)
 
-#: Cached encodings per worker; beyond that the cache starts anew.
-CACHE_ENTRIES = 400_000
 #: Multiplicative updates of the least-squares solution.
 UPDATES = 120
 
 
+def merge_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Bytes of every token with its id, if ids of a byte-level BPE follow the order of merges.
+
+    Such a vocabulary is all that a BPE needs: pieces with smaller ids merge first.
+    """
+    pre = spec.get("pre_tokenizer") or {}
+    model = spec.get("model") or {}
+    plain = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
+             and pre.get("use_regex", True) and model.get("type", "BPE") == "BPE"
+             and not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
+             and not any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges",
+                                                "continuing_subword_prefix", "end_of_word_suffix")))
+    if not plain:
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    byte_of = {chr(b): b for b in shown}
+    byte_of |= {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t["content"] for t in spec.get("added_tokens") or []}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    merged = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in model["merges"]]
+    ids = [model["vocab"][t] for t in merged]
+    alone = [i for t, i in ranks.items() if len(t) == 1]
+    ordered = len(alone) == 256 and ids == sorted(set(ids)) and (not ids or max(alone) < ids[0])
+    return ranks if ordered and len(ranks) == 256 + len(ids) else None
+
+
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes, with a cache per space-delimited piece.
+    """Token ids as little-endian unsigned 32-bit bytes, as the tokenizers library gives them.
 
-    A byte-level tokenizer without prefix space never joins text across a space that stands
-    before a non-blank, so such pieces are encoded once and looked up afterwards.  Texts with
-    runs of blanks or special tokens, and other kinds of tokenizers, are encoded whole.
+    Where a byte-level vocabulary allows, ordinary text is merged by the faster BPE of tiktoken
+    over the same vocabulary, which gives the same ids.  Texts that hold the string of a special
+    token, and other kinds of tokenizers, are left to tokenizers.
     """
 
-    _loose = re.compile(r" (?:\s|\Z)")
+    _pattern = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
     def __init__(self, definition: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         spec = json.loads(definition)
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
-                         and pre.get("use_regex", True) and not spec.get("normalizer")
-                         and not spec.get("truncation") and not spec.get("padding"))
+        ranks = merge_ranks(spec)
+        self.merger = ranks and tiktoken.Encoding(
+            "pieces", pat_str=self._pattern, mergeable_ranks=ranks, special_tokens={})
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
-        self.cache: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not self.by_piece or self._loose.search(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        head, *rest = text.split(" ")
-        cache, out = self.cache, [self.whole(head)]
-        for part in rest:
-            ids = cache.get(part)
-            if ids is None:
-                if len(cache) >= CACHE_ENTRIES:
-                    cache.clear()
-                ids = cache[part] = self.whole(" " + part)
-            out.append(ids)
-        return b"".join(out)
+        if self.merger and not any(s in text for s in self.special):
+            return array("I", self.merger.encode_ordinary(text)).tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
 
 def pieces(
