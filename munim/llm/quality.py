@@ -22,7 +22,7 @@ LEVEL = 6
 #: Texts are compressed in pieces, so that the dictionary counts alike in long and short ones.
 PIECE = 2048
 #: A difference counts as if the text had so many more bytes of the average difference.
-SHRINK = 60
+SHRINK = 150
 #: Least score of a document that is kept.
 THRESHOLD = 0.7
 
