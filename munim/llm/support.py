@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from munim.session import ensure_checkpoint_dir
 
 #: Rows that one window group may hold where a group is cut into salts.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 10_000
 
 
 def ship(module: str) -> None:
