@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from munim.functions.binding import let
+from munim.functions.blank import strip
 from munim.rules.patterns import CURRENCY, NUMBER, SIGNED_AMOUNT
 from munim.rules.tokens import EMPTY_AMOUNTS, NULL_TOKENS
 
@@ -12,8 +13,8 @@ _PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def null_token(cell: Column) -> Column:
-    """Trim a cell and turn the textual null tokens into SQL null."""
-    trimmed = F.trim(cell)
+    """Strip a cell and turn the textual null tokens into SQL null."""
+    trimmed = strip(cell)
     return F.when(~trimmed.isin(NULL_TOKENS), trimmed)
 
 
@@ -25,7 +26,7 @@ def to_number(text: Column) -> Column:
 def has_suffix(cell: Column, side: str) -> Column:
     """Whether an amount text ends in a ``Dr``/``Cr`` marker."""
     first = side[0].upper()
-    return F.trim(cell).rlike(rf"({first}r\.?|{first}R\.?)$")
+    return strip(cell).rlike(rf"({first}r\.?|{first}R\.?)$")
 
 
 def parse_amount(cell: Column) -> Column:
@@ -52,7 +53,7 @@ def _digits(text: Column) -> Column:
 
 
 def _not_empty(cell: Column) -> Column:
-    text = F.trim(cell)
+    text = strip(cell)
     return F.when(~F.lower(text).isin(EMPTY_AMOUNTS), text)
 
 
@@ -86,7 +87,7 @@ def parse_amount_anchored(cell: Column) -> Column:
     parens = rf"(?i)^\({CURRENCY}?\s*({NUMBER})\)$"
 
     def read(text: Column) -> Column:
-        bare = F.trim(F.regexp_replace(text, rf"(?i)^{CURRENCY}\s*|,", ""))
+        bare = strip(F.regexp_replace(text, rf"(?i)^{CURRENCY}\s*|,", ""))
         value = _digits(F.regexp_extract(text, signed, 2))
         crdr = _digits(F.regexp_extract(text, suffixed, 1))
         is_credit = F.upper(F.regexp_extract(text, suffixed, 2)).startswith("C")
@@ -105,13 +106,13 @@ def parse_amount_plain(cell: Column) -> Column:
     """Unsigned amount of a debit or credit column; anything unreadable is 0."""
     text = F.regexp_replace(_not_empty(cell), rf"(?i)^{CURRENCY}\s*", "")
     text = F.regexp_replace(text, r"(?i)\s*(CR|DR|C|D)\.?$", "")
-    number = let(F.trim(F.regexp_replace(text, ",", "")), to_number)
+    number = let(strip(F.regexp_replace(text, ",", "")), to_number)
     return F.coalesce(F.abs(number), F.lit(0.0))
 
 
 def parse_amount_free(match: Column) -> Column:
     """Signed value of one hit of the any-format amount scanner."""
-    text = F.trim(match)
+    text = strip(match)
     value = _digits(F.regexp_extract(text, NUMBER, 0))
     credit = text.startswith("+") | (~text.startswith("-") & text.rlike(r"(?i)\bCR\b"))
     return F.when(credit, value).otherwise(-value)

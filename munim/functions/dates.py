@@ -10,7 +10,8 @@ from pyspark.sql import Column, functions as F
 
 from munim.functions.amounts import null_token
 from munim.functions.binding import let
-from munim.rules.patterns import CLOCK, DAY_MONTH
+from munim.functions.blank import strip
+from munim.rules.patterns import CLOCK, DAY_MONTH, MONTH_WORD, TIME_OF_DAY, WEEKDAY_PREFIX
 from munim.rules.tokens import MONTHS
 
 # Accepted layouts, as (shape, Spark pattern), in order of preference.
@@ -79,6 +80,53 @@ def _century(day: Column, pattern: str) -> Column:
     return F.when(F.year(day) > 2068, F.add_months(day, -1200)).otherwise(day)
 
 
+def inferred(text: Column) -> Column:
+    """struct(day, seconds) of a text whose layout is not listed, day before month; else null day.
+
+    A time of day, a weekday in front and ordinal endings are cut off; what is left must be day,
+    month and year in one of the usual orders, between any of the usual marks.  A month above 12
+    changes places with the day.
+    """
+    clock = lambda i: F.regexp_extract(text, TIME_OF_DAY, i)
+    hour = clock(1).try_cast("int")
+    half = F.lower(F.left(clock(4), F.lit(1)))
+    hour = F.when((half == "p") & (hour < 12), hour + 12).when((half == "a") & (hour == 12), 0).otherwise(hour)
+    seconds = F.coalesce(hour * 3600 + clock(2).try_cast("int") * 60, F.lit(0)) + F.coalesce(
+        clock(3).try_cast("int"), F.lit(0))
+    rest = F.regexp_replace(F.regexp_replace(text, TIME_OF_DAY, ""), WEEKDAY_PREFIX, "")
+    rest = F.regexp_replace(rest, r"(?i)(?<=\d)(?:st|nd|rd|th)\b", "")
+    rest = F.btrim(F.regexp_replace(rest, r"[\s,./'\-]+|(?<=\d)T$", "-"), F.lit("-"))
+
+    def read(t: Column) -> Column:
+        part = lambda shape, i: F.regexp_extract(t, shape, i)
+        number = lambda shape, i: part(shape, i).try_cast("int")
+
+        def year(shape: str, i: int) -> Column:
+            n = number(shape, i)
+            return F.when(F.length(part(shape, i)) == 4, n).when(n > 68, n + 1900).otherwise(n + 2000)
+
+        numeric = r"^(\d{1,2})-(\d{1,2})-(\d{4}|\d{2})$"
+        swapped = (number(numeric, 2) > 12) & (number(numeric, 1) <= 12)
+        first, second = number(numeric, 1), number(numeric, 2)
+        word = lambda shape, i: month_number(part(shape, i))
+        dmy = rf"(?i)^(\d{{1,2}})-({MONTH_WORD})-(\d{{4}}|\d{{2}})$"
+        mdy = rf"(?i)^({MONTH_WORD})-(\d{{1,2}})-(\d{{4}}|\d{{2}})$"
+        ymd = rf"(?i)^(\d{{4}})-({MONTH_WORD})-(\d{{1,2}})$"
+        iso = r"^(\d{4})-?(\d{1,2})-?(\d{1,2})$"
+        day = (
+            F.when(t.rlike(numeric), safe_date(
+                year(numeric, 3), F.when(swapped, first).otherwise(second),
+                F.when(swapped, second).otherwise(first)))
+            .when(t.rlike(dmy), safe_date(year(dmy, 3), word(dmy, 2), number(dmy, 1)))
+            .when(t.rlike(mdy), safe_date(year(mdy, 3), word(mdy, 1), number(mdy, 2)))
+            .when(t.rlike(ymd), safe_date(year(ymd, 1), word(ymd, 2), number(ymd, 3)))
+            .when(t.rlike(r"^(\d{8}|\d{4}-\d{1,2}-\d{1,2})$"), safe_date(
+                number(iso, 1), number(iso, 2), number(iso, 3))))
+        return F.struct(day.alias("day"), seconds.alias("seconds"))
+
+    return let(rest, read)
+
+
 def parse_date(cell: Column) -> Column:
     """Statement-cell date in any accepted layout -> DATE, else null."""
     text = F.regexp_replace(null_token(cell), "T(?=\\d)", " ")
@@ -87,15 +135,15 @@ def parse_date(cell: Column) -> Column:
         return F.coalesce(*[
             F.when(t.rlike(shape), _century(F.try_to_date(t, pattern), pattern))
             for shape, pattern in DATE_LAYOUTS + DATE_FALLBACKS
-        ])
+        ], inferred(t)["day"])
 
     return let(text, read)
 
 
 def parse_timestamp(cell: Column) -> Column:
     """Document-cell date or time -> TIMESTAMP_NTZ, else null.  A weekday prefix is dropped."""
-    text = F.regexp_replace(F.trim(cell), r"^[A-Za-z]+,\s*", "")
-    text = F.trim(F.regexp_replace(text, r"\s{2,}", " "))
+    text = F.regexp_replace(strip(cell), r"^[A-Za-z]+,\s*", "")
+    text = strip(F.regexp_replace(text, r"\s{2,}", " "))
 
     def stamp(t: Column, pattern: str) -> Column:
         out = F.try_to_timestamp(t, F.lit(pattern)).cast("timestamp_ntz")
@@ -104,9 +152,10 @@ def parse_timestamp(cell: Column) -> Column:
         return F.when(F.year(out) > 2068, out - F.expr("interval 100 years")).otherwise(out)
 
     def read(t: Column) -> Column:
+        guess = inferred(t)
         return F.coalesce(*[
             F.when(t.rlike(shape), stamp(t, pattern)) for shape, pattern in TIMESTAMP_LAYOUTS
-        ])
+        ], guess["day"].cast("timestamp_ntz") + F.make_interval(secs=guess["seconds"]))
 
     return let(text, read)
 
@@ -155,7 +204,7 @@ def day_month_time(cell: Column) -> Column:
         )
         return F.when(text.rlike(DAY_MONTH), parts)
 
-    return let(F.trim(F.regexp_replace(cell, "\n", " ")), read)
+    return let(strip(F.regexp_replace(cell, "\n", " ")), read)
 
 
 def timestamp_of(year: Column, parts: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from munim.functions.blank import strip
 from munim.rules import patterns as P
 from munim.rules import tokens as K
 
@@ -25,7 +26,7 @@ def title_case(text: Column) -> Column:
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return strip(F.regexp_replace(text, r"\s+", " "))
 
 
 def header_key(cell: Column) -> Column:
@@ -35,23 +36,23 @@ def header_key(cell: Column) -> Column:
 
 def normal_cell(cell: Column) -> Column:
     """Document cell on one line, runs of blanks reduced, null as empty."""
-    text = F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), "\n", " "))
+    text = strip(F.regexp_replace(F.coalesce(cell, F.lit("")), "\n", " "))
     return F.regexp_replace(text, r"[ \t]{2,}", " ")
 
 
 def normalize_merchant(text: Column) -> Column:
     """Drop trailing reference numbers and title-case the rest; null becomes empty."""
-    out = F.trim(F.coalesce(text, F.lit("")))
+    out = strip(F.coalesce(text, F.lit("")))
     out = F.regexp_replace(out, r"[#/]\s*\d+\s*$", "")
     out = F.regexp_replace(out, r"\s+\d{4,}\s*$", "")
     out = F.regexp_replace(out, r"\s*-\s*\d{4,}\s*$", "")
-    return title_case(F.trim(out))
+    return title_case(strip(out))
 
 
 def scrub_description(text: Column) -> Column:
     """Drop numeric tokens and long reference numbers, collapse blanks, keep 200 characters."""
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: ~w.rlike(r"^\d+$"))
-    out = F.trim(F.regexp_replace(F.array_join(words, " "), r"\b\d{6,}\b", ""))
+    words = F.filter(F.split(strip(text), r"\s+"), lambda w: ~w.rlike(r"^\d+$"))
+    out = strip(F.regexp_replace(F.array_join(words, " "), r"\b\d{6,}\b", ""))
     out = F.regexp_replace(out, r"\s{2,}", " ")
     return F.left(F.coalesce(out, F.lit("")), F.lit(200))
 
@@ -59,9 +60,9 @@ def scrub_description(text: Column) -> Column:
 def clean_by_issuer(issuer: Column, text: Column) -> Column:
     """Issuer-specific clean-up of a description; other issuers keep the text."""
     def squeeze(c: Column) -> Column:
-        return F.regexp_replace(F.trim(c), r"\s{2,}", " ")
+        return F.regexp_replace(strip(c), r"\s{2,}", " ")
 
-    sbi = F.trim(F.regexp_replace(text, P.SBI_PREFIX, ""))
+    sbi = strip(F.regexp_replace(text, P.SBI_PREFIX, ""))
     return (
         F.when(issuer == "SBI", squeeze(F.regexp_replace(sbi, P.SBI_SUFFIX, "")))
         .when(issuer == "HDFC", squeeze(F.regexp_replace(text, P.HDFC_SUFFIX, "")))
@@ -73,7 +74,7 @@ def clean_by_issuer(issuer: Column, text: Column) -> Column:
 def first_payload_line(cell: Column) -> Column:
     """First line of a cell that is neither empty nor UPI metadata, else its first line."""
     lines = F.transform(
-        F.split(F.regexp_replace(cell, "\r", "\n"), "\n"), lambda line: F.trim(line)
+        F.split(F.regexp_replace(cell, "\r", "\n"), "\n"), lambda line: strip(line)
     )
     payload = F.filter(lines, lambda line: (line != "") & ~line.rlike(P.UPI_META))
     return F.coalesce(F.get(payload, F.lit(0)), F.get(lines, F.lit(0)), F.lit(""))
@@ -81,14 +82,14 @@ def first_payload_line(cell: Column) -> Column:
 
 def clean_account(text: Column) -> Column:
     """Account name without a masked number suffix."""
-    stripped = F.regexp_replace(F.trim(text), r"\s*[-–]\s*\d+\s*$", "")
-    return F.coalesce(F.trim(F.substring_index(stripped, "\n", 1)), F.lit(""))
+    stripped = F.regexp_replace(strip(text), r"\s*[-–]\s*\d+\s*$", "")
+    return F.coalesce(strip(F.substring_index(stripped, "\n", 1)), F.lit(""))
 
 
 def split_camel(name: Column) -> Column:
     """``AdityaArunRao`` -> ``Aditya Arun Rao``; all-capital names stay."""
     spaced = F.regexp_replace(name, r"([a-z])([A-Z])", "$1 $2")
-    spaced = F.trim(F.regexp_replace(spaced, r"([A-Z]+)([A-Z][a-z])", "$1 $2"))
+    spaced = strip(F.regexp_replace(spaced, r"([A-Z]+)([A-Z][a-z])", "$1 $2"))
     has_lower = name != F.upper(name)
     has_letter = F.upper(name) != F.lower(name)
     return F.when(has_letter & ~has_lower, name).otherwise(spaced)
@@ -116,8 +117,8 @@ def infer_account(text: Column) -> Column:
 
 def recurring_key(text: Column) -> Column:
     """Grouping key of a payee: at most three significant words."""
-    out = F.regexp_replace(F.lower(F.trim(text)), r"[^a-z0-9\s]", " ")
-    out = F.trim(F.regexp_replace(out, K.RECURRING_NOISE, " "))
+    out = F.regexp_replace(F.lower(strip(text)), r"[^a-z0-9\s]", " ")
+    out = strip(F.regexp_replace(out, K.RECURRING_NOISE, " "))
     words = F.filter(F.split(out, r"\s+"), lambda w: F.length(w) > 1)
     return F.array_join(F.slice(words, 1, 3), " ")
 
@@ -135,7 +136,7 @@ def is_refund(text: Column) -> Column:
 
 
 def is_noise_row(text: Column) -> Column:
-    return F.trim(text).rlike(P.SKIP_ROW)
+    return strip(text).rlike(P.SKIP_ROW)
 
 
 def is_self_transfer(text: Column) -> Column:

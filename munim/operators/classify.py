@@ -8,6 +8,7 @@ evaluated for rows that the layers before it left open.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from typing import NamedTuple
@@ -15,15 +16,16 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from munim.functions.binding import let, once
+from munim.functions.blank import strip
 from munim.functions.text import is_refund
 from munim.rules.keywords import KEYWORDS
-from munim.rules.merchants import STARTER_MERCHANTS, WHOLE_WORD_MERCHANTS
+from munim.rules.merchants import WHOLE_WORD_MERCHANTS, builtin_merchants
 from munim.rules.patterns import UPI_PAYEE
 from munim.rules.tokens import BUSINESS_WORDS, HONORIFICS
 from munim.schema import CLASSIFICATION_FIELDS, ContractError
 
-#: A merchant table is configuration; it becomes a literal of the plan.
-MAX_MERCHANTS = 20_000
+#: Leading characters of a keyword that a merchant table is joined on.
+HEAD = 4
 
 
 class Merchant(NamedTuple):
@@ -32,19 +34,45 @@ class Merchant(NamedTuple):
     subcategory: str
 
 
-def starter_merchants() -> list[Merchant]:
-    return [
-        Merchant(k, cat, sub) for (cat, sub), keys in STARTER_MERCHANTS.items() for k in keys
-    ]
+def default_merchants() -> list[Merchant]:
+    """The built-in table; it is small and becomes a literal of the plan."""
+    return [Merchant(*m) for m in builtin_merchants()]
+
+
+def read_merchants(spark: SparkSession, path: str) -> DataFrame:
+    """Merchant table of any size from CSV files with columns keyword, category, subcategory."""
+    return spark.read.csv(
+        path, header=True, schema="keyword STRING, category STRING, subcategory STRING")
 
 
-def read_merchants(spark: SparkSession, path: str) -> list[Merchant]:
-    """Merchant table from CSV files with columns keyword, category, subcategory."""
-    table = spark.read.csv(path, header=True, schema="keyword STRING, category STRING, subcategory STRING")
-    rows = table.where(F.col("keyword").isNotNull()).limit(MAX_MERCHANTS + 1).collect()
-    if len(rows) > MAX_MERCHANTS:
-        raise ValueError(f"merchant table has more than {MAX_MERCHANTS} entries")
-    return [Merchant(r.keyword.strip().lower(), r.category, r.subcategory) for r in rows]
+def with_merchants(df: DataFrame, text: str, merchants: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: struct(category, subcategory) of the merchant that column ``text`` names.
+
+    The leftmost, then longest keyword wins, like in ``merchant_lookup``, but the table may be of
+    any size.  Each distinct text is cut into its leading ``HEAD`` characters at every position
+    (and shorter ones for keywords that are shorter), which meet the keywords by equality; hits
+    are confirmed in full.  A keyword listed twice keeps the least category and subcategory.
+    """
+    key = F.lower(strip("keyword"))
+    table = merchants.select(key.alias("_key"), F.struct("category", "subcategory").alias("_of")).where(
+        F.coalesce(F.col("_key"), F.lit("")) != "").groupBy("_key").agg(F.min("_of").alias("_of"))
+    short = (F.length("_key") <= 3) & F.col("_key").rlike(r"^\p{L}+$")
+    table = table.select("_key", "_of", F.left("_key", F.lit(HEAD)).alias("_head"),
+                         (short | F.col("_key").isin(WHOLE_WORD_MERCHANTS)).alias("_whole"))
+    texts = df.select(F.lower(F.col(text)).alias("_low")).where(F.length("_low") > 0).distinct()
+    spots = texts.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_low"))))
+    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("_low") - F.col("_at") + 1)))
+    heads = spots.withColumn("_n", size).withColumn(
+        "_head", F.substring(F.col("_low"), F.col("_at"), F.col("_n")))
+    end = F.col("_at") + F.length("_key")
+    word = lambda at: F.coalesce(F.substring(F.col("_low"), at, F.lit(1)).rlike(r"^\w"), F.lit(False))
+    before = (F.col("_at") > 1) & word(F.col("_at") - 1)
+    hits = heads.join(table, "_head").where(
+        (F.substring(F.col("_low"), F.col("_at"), F.length("_key")) == F.col("_key"))
+        & (~F.col("_whole") | (~before & ~word(end))))
+    best = hits.groupBy("_low").agg(
+        F.min_by("_of", F.struct("_at", -F.length("_key"))).alias(name))
+    return df.withColumn("_low", F.lower(F.col(text))).join(best, "_low", "left").drop("_low")
 
 
 def any_of(words: Sequence[str]) -> str:
@@ -78,16 +106,17 @@ def merchant_pattern(merchants: Sequence[Merchant]) -> str:
 
 def merchant_lookup(text: Column, merchants: Sequence[Merchant] | None = None) -> Column:
     """struct(category, subcategory) of the merchant named in a text, else null."""
-    rules = list(merchants) if merchants is not None else starter_merchants()
-    entries = {m.keyword: F.struct(F.lit(m.category).alias("category"),
-                                   F.lit(m.subcategory).alias("subcategory")) for m in rules}
-    table = F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)])
+    rules = list(merchants) if merchants is not None else default_merchants()
+    # One literal that is folded into a constant, rather than hundreds of expressions.
+    entries = {m.keyword: {"category": m.category, "subcategory": m.subcategory} for m in rules}
+    table = F.from_json(F.lit(json.dumps(entries)),
+                        "map<string, struct<category: string, subcategory: string>>")
     return F.try_element_at(table, F.regexp_extract(F.lower(text), merchant_pattern(rules), 1))
 
 
 def upi_payee(text: Column) -> Column:
     """Payee name inside a UPI reference, else null."""
-    name = F.trim(F.regexp_extract(text, UPI_PAYEE, 1))
+    name = strip(F.regexp_extract(text, UPI_PAYEE, 1))
     return let(name, lambda n: F.when((F.length(n) >= 3) & ~n.rlike(r"^\d+$"), n))
 
 
@@ -103,7 +132,7 @@ def person_rule(text: Column) -> Column:
         words = F.split(F.lower(t), r"\s+")
         bare = F.transform(words, lambda w: F.regexp_replace(w, r"[.,]+$", ""))
         titled = F.get(words, F.lit(0)).rlike("^(" + "|".join(HONORIFICS) + r")\.*$")
-        handle = F.split(F.trim(F.substring_index(F.lower(t), "@", 1)), r"[\s_\-]+")
+        handle = F.split(strip(F.substring_index(F.lower(t), "@", 1)), r"[\s_\-]+")
         return F.when(F.length(t) <= 80, F.when(
             titled & (F.size(words) >= 2)
             & ~F.arrays_overlap(F.slice(bare, F.lit(2), F.size(bare)), business), "3")
@@ -112,7 +141,7 @@ def person_rule(text: Column) -> Column:
             .when(t.rlike(r"^[a-zA-Z]{2,15}(\s+[a-zA-Z]{2,15}){1,3}$")
                   & ~F.arrays_overlap(bare, business), "1"))
 
-    return let(F.trim(text), rule)
+    return let(strip(text), rule)
 
 
 def _ranked_keywords() -> list[tuple[str, str, str]]:
@@ -152,10 +181,14 @@ def _column(df: DataFrame, name: str) -> str | None:
 
 
 def classify(
-    df: DataFrame, merchants: Sequence[Merchant] | None = None, amount: str | None = "debit"
+    df: DataFrame, merchants: Sequence[Merchant] | DataFrame | None = None,
+    amount: str | None = "debit",
 ) -> DataFrame:
     """Add category, subcategory, confidence, match_confidence and match_notes.
 
+    ``merchants`` replaces the built-in merchant table: a short list becomes part of the plan, a
+    DataFrame of any size (keyword, category, subcategory) is joined.
+
     Needs a ``description`` column (any case); ``transaction_type`` and ``amount``
     are used when present.  Works on batch and streaming frames alike.
     """
@@ -167,13 +200,20 @@ def classify(
     value = F.col(size).cast("double") if size else F.lit(None).cast("double")
     text, upi = F.col("_text"), F.col("_upi")
 
-    staged = df.withColumn("_text", F.trim(F.coalesce(F.col(desc), F.lit(""))))
+    staged = df.withColumn("_text", strip(F.coalesce(F.col(desc), F.lit(""))))
     staged = staged.withColumn("_refund", is_refund(text))
     open_ = ~F.coalesce(credit, F.lit(False)) & (text != "") & ~F.col("_refund")
     staged = staged.withColumn("_upi", F.when(open_, upi_payee(text)))
-    staged = staged.withColumn("_m1", F.when(open_, merchant_lookup(text, merchants)))
     no_m1 = open_ & F.col("_m1").isNull()
-    staged = staged.withColumn("_m2", F.when(no_m1 & upi.isNotNull(), merchant_lookup(upi, merchants)))
+    if isinstance(merchants, DataFrame):
+        staged = staged.withColumn("_t1", F.when(open_, text))
+        staged = with_merchants(staged, "_t1", merchants, "_m1")
+        staged = staged.withColumn("_t2", F.when(no_m1, upi))
+        staged = with_merchants(staged, "_t2", merchants, "_m2").drop("_t1", "_t2")
+    else:
+        staged = staged.withColumn("_m1", F.when(open_, merchant_lookup(text, merchants)))
+        staged = staged.withColumn(
+            "_m2", F.when(no_m1 & upi.isNotNull(), merchant_lookup(upi, merchants)))
     no_m2 = no_m1 & F.col("_m2").isNull()
     staged = staged.withColumn("_p1", F.when(no_m2, person_rule(text)))
     no_p1 = no_m2 & F.col("_p1").isNull()
@@ -233,7 +273,7 @@ def person_condition_counts(classified: DataFrame) -> DataFrame:
 
 def near_miss_business(classified: DataFrame) -> DataFrame:
     """Names that look like a person but for a business word."""
-    text = F.trim("description")
+    text = strip("description")
     words = F.transform(
         F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, r"[.,]+$", "")
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from munim.functions import amounts as A, dates as D, money, text as T
+from munim.functions.blank import strip
 from munim.operators.ordered import first_per_key, line_bucket, running_total
 
 KEY = "statement_id"
@@ -129,7 +130,7 @@ def to_pipeline(df: DataFrame) -> DataFrame:
 
 def records_normalize(records: DataFrame, bank_source: Column) -> DataFrame:
     """Parser records (signed ``raw_amount``, notes, meta) to the parsed-document table."""
-    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) if c in records.columns else F.lit("")
+    text = lambda c: strip(F.coalesce(F.col(c), F.lit(""))) if c in records.columns else F.lit("")
     desc, notes, meta = text("description"), text("notes"), text("meta")
     extra = lambda c: F.when((c != "") & (c != desc), c)
     raw = F.coalesce(F.col("raw_amount"), F.lit(0.0))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from munim.operators import classify as K, recurring as R
 from munim.plans.aggregate_queries import total
-from munim.plans.fixtures import NARRATED_SQL, narrated, table
+from munim.plans.fixtures import NARRATED_SQL, narrated, table, txn
 from munim.plans.registry import query
 from munim.rules.keywords import KEYWORDS
 from munim.rules.merchants import WHOLE_WORD_MERCHANTS
@@ -26,12 +28,14 @@ def sql_list(words: list[str]) -> str:
 
 def sql_merchant(text: str) -> str:
     """``category|subcategory`` of the merchant in a text, else NULL."""
-    rules = K.starter_merchants()
+    rules = K.default_merchants()
     cases = " ".join(
         f"WHEN {quoted(m.keyword)} THEN {quoted(m.category + '|' + m.subcategory)}" for m in rules)
     whole = lambda k: (len(k) <= 3 and k.isalpha()) or k in WHOLE_WORD_MERCHANTS
     keys = sorted((m.keyword for m in rules), key=lambda k: -len(k))
-    pattern = "(?i)(" + "|".join(rf"\b{k}\b" if whole(k) else k for k in keys) + ")"
+    plain = lambda k: re.sub(r"([^\w\s])", r"\\\1", k)
+    pattern = "(?i)(" + "|".join(
+        rf"\b{plain(k)}\b" if whole(k) else plain(k) for k in keys) + ")"
     return f"(CASE lower(regexp_extract({text}, {quoted(pattern)}, 1)) {cases} END)"
 
 
@@ -122,6 +126,22 @@ def merchant_lookup(spark, d):
     return rows.where("m IS NOT NULL").select(*KEYS, "m.*")
 
 
+@query("merchant_lookup_table", WITH + """
+, k AS (SELECT lower(trim(p_name)) AS key, min((p_type, p_brand)) AS cs FROM part GROUP BY 1),
+n AS (SELECT DISTINCT lower('POS ' || description || ' ' || category || ' ' || (statement_id % 7)) AS t FROM txn),
+h AS (SELECT t, arg_min(cs, (strpos(t, key), -length(key))) AS cs FROM n JOIN k ON contains(t, key) GROUP BY t)
+SELECT statement_id, line_no, cs[1] AS category, cs[2] AS subcategory
+FROM txn JOIN h ON t = lower('POS ' || description || ' ' || category || ' ' || (statement_id % 7))""")
+def merchant_lookup_table(spark, d):
+    table_ = table(spark, d, "part").select(
+        F.col("p_name").alias("keyword"), F.col("p_type").alias("category"),
+        F.col("p_brand").alias("subcategory"))
+    rows = txn(spark, d).select(*KEYS, F.concat(
+        F.lit("POS "), "description", F.lit(" "), "category", F.lit(" "),
+        (F.col("statement_id") % 7).cast("string")).alias("text"))
+    return K.with_merchants(rows, "text", table_, "m").where("m IS NOT NULL").select(*KEYS, "m.*")
+
+
 @query("keyword_lookup", WITH + f"""
 , m AS (SELECT statement_id, line_no, {sql_keyword('narration')} AS cs FROM raw)
 SELECT statement_id, line_no, split_part(cs, '|', 1) AS category, split_part(cs, '|', 2) AS subcategory

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from munim.functions import money
-from munim.operators.classify_samples import NARRATIONS
+from munim.plans.samples import NARRATIONS
 
 DAY_SPAN = 10**9
 
@@ -96,7 +96,8 @@ txn_base AS (
 
 def narration(pick: Column) -> Column:
     """One of the sample narrations, with a reference number."""
-    text = F.get(F.lit(NARRATIONS), (pick % len(NARRATIONS)).cast("int"))
+    texts = F.split(F.lit("\x1f".join(NARRATIONS)), "\x1f")  # folded into one constant
+    text = F.get(texts, (pick % len(NARRATIONS)).cast("int"))
     return F.replace(text, F.lit("{num}"), (pick % 900000 + 1000).cast("string"))
 
 

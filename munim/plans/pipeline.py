@@ -20,7 +20,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def analyse(
-    table: DataFrame, merchants: Sequence[Merchant] | None = None, trees: int = 200
+    table: DataFrame, merchants: Sequence[Merchant] | DataFrame | None = None, trees: int = 200
 ) -> dict[str, DataFrame]:
     """Every result table of a cleaned pipeline table.
 

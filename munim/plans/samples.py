@@ -1,7 +1,9 @@
 """Sample narrations used to format test statements."""
 
+from munim.rules.merchants import builtin_merchants
+
 # Narrations as banks print them; {num} is a reference number.
-NARRATIONS = [
+BANK_NARRATIONS = [
     "SWIGGY ORDER #{num}", "ZOMATO FOOD DEL #{num}", "DOMINOS PIZZA #{num}", "MCDONALD'S POS",
     "UBER AUTO #{num}", "OLA CAB #{num}", "IRCTC TICKET #{num}", "METRO CARD RECHARGE",
     "AIRTEL RECHARGE", "TATA POWER BILL", "WATER BILL PAYMENT", "NETFLIX INDIA",
@@ -16,3 +18,9 @@ NARRATIONS = [
     "Gym membership", "monthly mutual fund sip plan", "Hostel canteen rent", "XQ{num}",
     "POS PURCHASE #{num}", "Amazon Refund Order #{num}", "cash back reward {num}",
 ]
+
+#: Every merchant of the built-in table occurs, in capitals, in one of three notations.
+NARRATIONS = BANK_NARRATIONS + [
+    form.format(key.upper()) for (key, _, _), form in zip(
+        builtin_merchants(), ["POS {} #{{num}}", "UPI/{}/{{num}}", "ACH {} 12"] * 123)
+]

@@ -1,80 +1,25 @@
-"""Starter merchant table of the first classification layer.
+"""Merchant table of the first classification layer.
 
-A full merchant table runs to several hundred names and is data, not code: pass
-it to :func:`munim.operators.classify.classify` as ``merchants`` (see
-:func:`munim.operators.classify.read_merchants`).  This starter set covers the
-national names that appear in the supported sample statements.
+The table itself is data: ``merchants.csv`` beside this module holds the fixed values of the
+built-in one, as keyword, category, subcategory.
 """
 
-# Fixed values: (category, subcategory) -> merchant names, lower case.
-STARTER_MERCHANTS = {
-    ("Food and Dining", "Food Delivery"): ["swiggy", "zomato", "biryani by kilo"],
-    ("Food and Dining", "Restaurants"): [
-        "dominos pizza", "dominos", "pizza hut", "kfc", "mcdonald's", "mcdonald", "subway",
-        "haldirams", "barbeque nation",
-    ],
-    ("Food and Dining", "Beverages"): ["starbucks", "chaayos", "cafe coffee day", "ccd"],
-    ("Shopping and Retail", "Groceries"): [
-        "bigbasket", "blinkit", "dmart", "reliance fresh", "big bazaar",
-    ],
-    ("Shopping and Retail", "Fashion"): ["myntra", "ajio", "shoppers stop", "h&m"],
-    ("Shopping and Retail", "Electronics"): ["croma electronics", "croma"],
-    ("Shopping and Retail", "Home & Furniture"): ["ikea"],
-    ("Shopping and Retail", "Beauty & Personal Care"): ["nykaa"],
-    ("Shopping and Retail", "Sports & Fitness"): ["decathlon"],
-    ("Shopping and Retail", "General Online"): ["amazon", "flipkart"],
-    ("Transportation", "Cab & Ride Share"): ["uber", "ola cab", "ola", "rapido"],
-    ("Transportation", "Metro & Transit"): ["delhi metro", "metro card recharge", "metro card"],
-    ("Transportation", "Train"): ["irctc", "indian railways", "railway"],
-    ("Transportation", "Bus"): ["redbus"],
-    ("Transportation", "Travel Booking"): ["makemytrip"],
-    ("Transportation", "Parking"): ["parking charges", "parking"],
-    ("Utilities and Bills", "Mobile & Internet"): [
-        "airtel", "jio recharge", "jio", "broadband", "vi recharge",
-    ],
-    ("Utilities and Bills", "Electricity"): [
-        "tata power", "bses electricity", "bses", "electricity",
-    ],
-    ("Utilities and Bills", "Gas"): ["mahanagar gas", "gas bill"],
-    ("Utilities and Bills", "Water"): ["water bill payment", "water bill"],
-    ("Utilities and Bills", "Other Bills"): ["municipal tax payment", "municipal"],
-    ("Entertainment and Subscriptions", "OTT & Streaming"): [
-        "apple itunes", "netflix", "amazon prime", "hotstar vip", "hotstar",
-        "youtube premium", "zee5 subscription", "zee5", "sony liv",
-    ],
-    ("Entertainment and Subscriptions", "Music"): ["spotify"],
-    ("Entertainment and Subscriptions", "Movies & Events"): ["bookmyshow", "pvr cinemas", "pvr"],
-    ("Healthcare and Medical", "Pharmacy"): [
-        "apollo pharmacy", "1mg", "medplus", "pharmeasy", "netmeds",
-    ],
-    ("Healthcare and Medical", "Hospital & Clinic"): ["apollo", "fortis", "max hospital", "practo"],
-    ("Healthcare and Medical", "Diagnostics"): ["dr lal pathlab", "dr lal"],
-    ("Investment and Savings", "Stocks & Equity"): [
-        "nse equity purchase", "nse equity", "zerodha brokerage", "zerodha",
-        "groww investment", "groww", "nse",
-    ],
-    ("Investment and Savings", "Mutual Funds"): [
-        "hdfc mutual fund sip", "icici mutual fund sip", "sbi mutual fund sip",
-        "paytm money sip", "kuvera sip", "kuvera", "paytm money", "mutual fund",
-    ],
-    ("Investment and Savings", "Insurance"): ["lic premium", "lic"],
-    ("Loan and EMI", "Home Loan"): ["sbi home loan emi", "sbi home loan", "home loan"],
-    ("Loan and EMI", "Car Loan"): ["hdfc car loan emi", "hdfc car loan", "car loan"],
-    ("Loan and EMI", "Personal Loan"): ["bajaj finserv emi", "bajaj finserv"],
-    ("Loan and EMI", "Credit Card Bill"): ["icici credit card bill", "credit card bill"],
-    ("Transfer and Banking", "ATM Withdrawal"): ["atm withdrawal", "atm"],
-    ("Transfer and Banking", "Cash Deposit"): ["cash deposit"],
-    ("Transfer and Banking", "Wallet Topup"): ["amazon pay"],
-    ("Transfer and Banking", "Bank Transfer"): ["fund transfer", "bank transfer"],
-    ("Income and Salary", "Salary"): ["monthly salary neft", "salary credit", "salary"],
-    ("Income and Salary", "Freelance"): ["freelance"],
-    ("Income and Salary", "Investment Returns"): [
-        "interest credit", "dividend credit", "dividend",
-    ],
-}
+from __future__ import annotations
+
+import csv
+from pathlib import Path
+
+#: Built-in table; any other can be passed to ``munim.operators.classify`` instead.
+MERCHANT_FILE = Path(__file__).with_name("merchants.csv")
 
 # Names that only count as whole words (short alphabetic names always do).
 WHOLE_WORD_MERCHANTS = [
     "ola", "nse", "bse", "igl", "mgl", "pvr", "kfc", "ccd", "oyo", "emi", "sip", "ppf",
     "nps", "fd",
 ]
+
+
+def builtin_merchants() -> list[tuple[str, str, str]]:
+    """(keyword, category, subcategory) of the built-in table."""
+    with MERCHANT_FILE.open(encoding="utf-8", newline="") as f:
+        return [(r["keyword"], r["category"], r["subcategory"]) for r in csv.DictReader(f)]

@@ -9,7 +9,18 @@ from munim.rules.tokens import MONTHS
 # Money markers.
 CURRENCY = r"(?:Rs\.?|₹|INR)"
 NUMBER = r"[\d,]+(?:\.\d+)?"
-MON = "(?:" + "|".join(m.title() for m in MONTHS) + ")"
+MONTH_NAMES = "|".join(m.title() for m in MONTHS)
+MON = "(?:" + MONTH_NAMES + ")"
+#: A month by its full name or the first three letters.
+MONTH_WORD = (
+    r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|"
+    r"oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+)
+TIME_OF_DAY = (
+    r"(?i)(?:\b|T)(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?\s*([ap]\.?m\.?)?\s*"
+    r"(?:z|utc|gmt|ist|[+-]\d{2}:?\d{2})?$"
+)
+WEEKDAY_PREFIX = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*[,.\s]+"
 
 # Refunds and reversals.
 REFUND = r"(?i)\b(refund|reversal|reversed|cashback|cash[\s\-]?back|reward|revert)\b"
@@ -56,7 +67,7 @@ UPI_LINE = r"^(\d{2}\w{3},\d{4})\s+(Paidto|Receivedfrom)(.+?)\s+₹([\d,]+\.?\d*
 
 # Wallet statement lines.
 WALLET_LINE = (
-    r"(?i)^(\d{1,2})\s+(" + MON[3:-1] + r")\s+(.+?)\s+([+-])\s*Rs\.([\d,]+(?:\.\d+)?)$"
+    r"(?i)^(\d{1,2})\s+(" + MONTH_NAMES + r")\s+(.+?)\s+([+-])\s*Rs\.([\d,]+(?:\.\d+)?)$"
 )
 WALLET_PERIOD = r"(?i)(\d{1,2})\s+(\w{3,})'(\d{2})\s*-\s*(\d{1,2})\s+(\w{3,})'(\d{2})"
 WALLET_TIME = r"(?i)^\d{1,2}:\d{2}\s*(AM|PM)$"
@@ -77,10 +88,10 @@ WALLET_CHROME = (
     r"Transaction\s+Details|Your\s+Account|Amount$)"
 )
 BLOCK_START = r"(?i)^\d{1,2}\s+" + MON + r"\b"
-DAY_MONTH = r"(?i)(\d{1,2})\s+(" + MON[3:-1] + r")"
+DAY_MONTH = r"(?i)(\d{1,2})\s+(" + MONTH_NAMES + r")"
 CLOCK = r"(?i)(\d{1,2}):(\d{2})(?:\s*(AM|PM))?"
 SIGNED_AMOUNT = r"(?i)([+\-])\s*" + CURRENCY + r"\s*(" + NUMBER + r")"
-PERIOD_DATE = r"(?i)\b\d{1,2}\s+(" + MON[3:-1] + r")['\s\-]+(\d{2})\b"
+PERIOD_DATE = r"(?i)\b\d{1,2}\s+(" + MONTH_NAMES + r")['\s\-]+(\d{2})\b"
 
 # Any-format line scanner.
 ANY_DATE = (
