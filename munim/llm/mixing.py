@@ -21,8 +21,8 @@ def size_words(text: Column) -> Column:
 def text_quality(text: Column) -> Column:
     """Share of letters and blanks among the characters of a text, at least LEAST_QUALITY."""
     other = F.regexp_count(text, F.lit(r"[^\p{L}\s]"))
-    return F.coalesce(F.greatest(F.lit(1.0) - other / F.length(text), F.lit(LEAST_QUALITY)),
-                      F.lit(LEAST_QUALITY))
+    share = other / F.nullif(F.length(text), F.lit(0))
+    return F.coalesce(F.greatest(1.0 - share, F.lit(LEAST_QUALITY)), F.lit(LEAST_QUALITY))
 
 
 def source_targets(
@@ -93,8 +93,8 @@ def mix(
     rows = plain.join(of, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_key", key)
     slice_ = F.floor((1 - F.exp(-F.col("_key"))) * slices).cast("long")
     summed = running_total(rows, ["source_no"], ["_key", id_col], [slice_], {"_upto": F.col("size")})
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))
-                    ).otherwise(0).cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor(
+        F.col("target") / F.nullif("source_size", F.lit(0)))).otherwise(0).cast("long")
     part = F.floor(F.col("target") - epochs * F.col("source_size")).cast("long")
     extra = F.greatest(F.lit(0), F.least(F.col("size"), part - (F.col("_upto") - F.col("size"))))
     return summed.withColumn("taken", epochs * F.col("size") + extra).drop(
@@ -103,6 +103,7 @@ def mix(
 
 def repeat_taken(mixed: DataFrame) -> DataFrame:
     """Whole documents as often as they are taken; the last one of a source if at least half is."""
-    copies = F.floor((F.col("taken") + F.col("size") / 2) / F.col("size")).cast("int")
+    size = F.nullif("size", F.lit(0))
+    copies = F.floor((F.col("taken") + size / 2) / size).cast("int")
     return mixed.where("size > 0").withColumn("_copies", copies).where("_copies > 0").withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
