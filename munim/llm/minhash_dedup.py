@@ -18,12 +18,12 @@ WORDS, LEAST = 5, 0.8
 #: A pair at similarity s meets in some band with probability 1 - (1 - s ** ROWS) ** BANDS:
 #: 0.999997 at 0.8, and more above.
 BANDS, ROWS = 32, 5
-#: Arrivals of a Poisson process drawn at once.
-DRAWS = 8
+#: Arrivals of a Poisson process drawn at once, and elements whose arrivals are drawn at once.
+DRAWS, SLICE = 8, 16_384
 #: Cached word hashes per worker.
-CACHE_WORDS = 1_000_000
-#: Bytes of text that are signed at once.
-CHUNK_BYTES = 4_000_000
+CACHE_WORDS = 200_000
+#: Characters of text that are signed at once.
+CHUNK_CHARS = 1_000_000
 
 U = np.uint64
 
@@ -100,40 +100,31 @@ def signatures(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, docs:
     while todo.size:
         open_ = np.zeros(docs, dtype=bool)
         open_[todo] = True
-        row = np.flatnonzero(open_[home])
-        clock = np.zeros(len(row))
-        drawn = 0
-        while row.size:
-            n = np.arange(drawn + 1, drawn + DRAWS + 1, dtype=U)
-            h = mixed(seed[row][:, None] + n[None] * U(0x9E3779B97F4A7C15))
-            gap = -np.log(((h >> U(11)).astype(np.float64) + 0.5) / 2.0 ** 53)
-            t = clock[:, None] + np.cumsum(gap, axis=1) / (length[row] * m)[:, None]
-            at = mixed(h ^ U(0xD6E8FEB86659FD93))
-            place = start[row][:, None] + (at >> U(11)).astype(np.float64) / 2.0 ** 53 * length[row][:, None]
-            use = (t <= until[home[row]][:, None]) & (place < limit[row][:, None])
-            r, c = np.nonzero(use)
-            if len(r):
+        rows = np.flatnonzero(open_[home])
+        for low in range(0, len(rows), SLICE):
+            row = rows[low:low + SLICE]
+            clock = np.zeros(len(row))
+            drawn = 0
+            while row.size:
+                n = np.arange(drawn + 1, drawn + DRAWS + 1, dtype=U)
+                h = mixed(seed[row][:, None] + n[None] * U(0x9E3779B97F4A7C15))
+                gap = -np.log(((h >> U(11)).astype(np.float64) + 0.5) / 2.0 ** 53)
+                t = clock[:, None] + np.cumsum(gap, axis=1) / (length[row] * m)[:, None]
+                at = mixed(h ^ U(0xD6E8FEB86659FD93))
+                place = (at >> U(11)).astype(np.float64) / 2.0 ** 53 * length[row][:, None]
+                place += start[row][:, None]
+                r, c = np.nonzero((t <= until[home[row]][:, None]) & (place < limit[row][:, None]))
                 slot = home[row[r]] * m + (mixed(at[r, c]) % U(m)).astype(np.int64)
-                time, value = t[r, c], h[r, c]
-                order = np.argsort(time, kind="stable")[::-1]
-                slot, time, value = slot[order], time[order], value[order]
-                # The last assignment to a slot is its earliest point.
-                first_t = np.full(docs * m, np.inf) if len(slot) * 8 > docs * m else None
-                if first_t is not None:
-                    first_v = np.zeros(docs * m, dtype=U)
-                    first_t[slot], first_v[slot] = time, value
-                    better = first_t < best_t
-                    best_t[better], best_v[better] = first_t[better], first_v[better]
-                else:
-                    slots, last = np.unique(slot[::-1], return_index=True)
-                    time, value = time[::-1][last], value[::-1][last]
-                    better = time < best_t[slots]
-                    best_t[slots[better]] = time[better]
-                    best_v[slots[better]] = value[better]
-            clock = t[:, -1]
-            on = clock <= until[home[row]]
-            row, clock = row[on], clock[on]
-            drawn += DRAWS
+                order = np.lexsort((t[r, c], slot))
+                first = np.flatnonzero(np.diff(slot[order], prepend=-1))  # earliest of each slot
+                pick = order[first]
+                slot, time, value = slot[pick], t[r[pick], c[pick]], h[r[pick], c[pick]]
+                better = time < best_t[slot]
+                best_t[slot[better]], best_v[slot[better]] = time[better], value[better]
+                clock = t[:, -1]
+                on = clock <= until[home[row]]
+                row, clock = row[on], clock[on]
+                drawn += DRAWS
         empty = np.isinf(best_t.reshape(docs, m)).any(axis=1)
         todo = todo[empty[todo]]
         until[todo] *= 1.5  # a slot is still empty: draw again, further
@@ -157,7 +148,7 @@ def sign(texts: DataFrame) -> DataFrame:
         shingler = Shingler()
         for batch in batches:
             size = batch["text"].str.len().fillna(0).to_numpy().cumsum()
-            for _, rows in batch.groupby((size // CHUNK_BYTES).astype(int)):
+            for _, rows in batch.groupby((size // CHUNK_CHARS).astype(int)):
                 found = [shingler.shingles(t) for t in rows["text"]]
                 doc = np.repeat(np.arange(len(found)), [len(e) for e, _ in found])
                 elements = np.concatenate([e for e, _ in found]).astype(U)
