@@ -94,17 +94,21 @@ def train(
 ) -> Model:
     """A model from documents and their labels (1 good, 0 bad; others are ignored).
 
-    At most ``texts`` documents per label, of at most ``chars`` characters each, are chosen by a
-    hash of their ids: that bounded sample is all that is learnt from, and reaches the driver.
+    At most ``texts`` documents per label, of at most ``chars`` characters each, are chosen among
+    the first ``2 * texts`` labelled ids in the order of a hash: that bounded sample is all that is
+    learnt from, and reaches the driver.
     Two thirds fill the dictionaries, the rest fits the calibration.  Repeated labels of a
     document count once, as the largest.  With one label only, or none, the scores are flat.
     """
+    order = W.partitionBy("y").orderBy(F.xxhash64("id"), "id")
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(
         F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    order = W.partitionBy("y").orderBy(F.xxhash64("id"), "id", "text")
+    # At most 4 * texts ids: small enough to be sent to every task that reads the documents.
+    drawn = F.broadcast(known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2 * texts))
+    again = W.partitionBy("y").orderBy("n", "text")
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
-        F.col("text").isNotNull() & (F.length("text") <= chars)).join(known, "id").withColumn(
-        "n", F.row_number().over(order)).where(F.col("n") <= texts).orderBy("y", "n").toPandas()
+        F.col("text").isNotNull() & (F.length("text") <= chars)).join(drawn, "id").withColumn(
+        "n", F.row_number().over(again)).where(F.col("n") <= texts).orderBy("y", "n").toPandas()
     fill = sample["n"] % 3 != 0
 
     def dictionary(rows: pd.DataFrame, limit: int) -> bytes:
