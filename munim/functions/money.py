@@ -9,18 +9,22 @@ from pyspark.sql import Column, functions as F
 from munim.rules.tokens import LATIN1_REPLACEMENTS
 
 
+#: Parts of a rupee in which amounts are added.
+FINE = 10_000
+
+
 def paise(amount: Column) -> Column:
     """Whole paise of a rupee amount."""
     return F.round(amount * 100).cast("bigint")
 
 
 def total(amount: Column) -> Column:
-    """Exact sum of money.
+    """Exact sum of money, down to a hundredth of a paisa.
 
-    Adding whole paise makes the result independent of row order and partitioning,
+    Adding whole numbers makes the result independent of row order and partitioning,
     and keeps the aggregate buffer a plain ``bigint``.
     """
-    return F.sum(paise(amount)) / F.lit(100.0)
+    return F.sum(F.round(amount * FINE).cast("bigint")) / F.lit(float(FINE))
 
 
 def total_or_zero(amount: Column) -> Column:

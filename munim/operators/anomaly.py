@@ -8,6 +8,7 @@ aggregate reads a few columns of those and not the joins made before it.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -146,21 +147,39 @@ def features(df: DataFrame, stats: FittedStats) -> DataFrame:
 
 
 def fit_scaler(feature_rows: DataFrame) -> DataFrame:
-    """Mean and population deviation of each feature and statement."""
-    aggs = []
+    """Mean and population deviation of each feature and statement, and its number of rows."""
+    aggs = [F.count(F.lit(1)).alias("_rows")]
     for f in FEATURES:
         sd = F.stddev_pop(f)
         aggs += [F.avg(f).alias(f"_mu_{f}"), F.coalesce(F.when(sd != 0, sd), F.lit(1.0)).alias(f"_sd_{f}")]
     return feature_rows.groupBy(KEY).agg(*aggs)
 
 
-def standardize(feature_rows: DataFrame, scaler: DataFrame, prefix: str = "") -> DataFrame:
+def overall_scaler(scaler: DataFrame) -> dict[str, float]:
+    """Mean and deviation of each feature over all fitted rows: one row, from the small scaler."""
+    n = F.col("_rows")
+    means = {f"_mu_{f}": F.sum(F.col(f"_mu_{f}") * n) / F.sum(n) for f in FEATURES}
+    squares = {f"_sd_{f}": F.sum((F.col(f"_sd_{f}") ** 2 + F.col(f"_mu_{f}") ** 2) * n) / F.sum(n)
+               for f in FEATURES}
+    row = scaler.agg(*[c.alias(k) for k, c in {**means, **squares}.items()]).first().asDict()
+    for f in FEATURES:
+        spread = (row[f"_sd_{f}"] or 0.0) - (row[f"_mu_{f}"] or 0.0) ** 2
+        row |= {f"_sd_{f}": math.sqrt(spread) if spread > 0 else 1.0, f"_mu_{f}": row[f"_mu_{f}"] or 0.0}
+    return row
+
+
+def standardize(
+    feature_rows: DataFrame, scaler: DataFrame, prefix: str = "",
+    overall: dict[str, float] | None = None,
+) -> DataFrame:
     """Features as distances from the fitted mean in deviations; constant features are 0.
 
-    With a ``prefix`` the original features stay beside the new columns.
+    With a ``prefix`` the original features stay beside the new columns.  Statements that were
+    not fitted use the ``overall`` scaler; without one their features are null.
     """
-    scaled = {prefix + f: (F.col(f) - F.col(f"_mu_{f}")) / F.col(f"_sd_{f}") for f in FEATURES}
-    joined = feature_rows.join(scaler, KEY)
+    at = lambda c: F.coalesce(c, F.lit(overall[c])) if overall else F.col(c)
+    scaled = {prefix + f: (F.col(f) - at(f"_mu_{f}")) / at(f"_sd_{f}") for f in FEATURES}
+    joined = feature_rows.join(scaler, KEY, "left")
     return joined.withColumns(scaled).drop(*[c for c in scaler.columns if c != KEY])
 
 

@@ -66,6 +66,19 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def similar_names(names: DataFrame, threshold: float = 0.60) -> DataFrame:
+    """(name, partner, similarity): the most similar other name of each name that has one.
+
+    Among equally similar names the first in order is the partner.
+    """
+    pairs = similar_pairs(names, threshold)
+    both = pairs.select(F.col("name_a").alias("name"), F.col("name_b").alias("partner"), "similarity").unionByName(
+        pairs.select(F.col("name_b").alias("name"), F.col("name_a").alias("partner"), "similarity"))
+    best = F.min(F.struct((-F.col("similarity")).alias("far"), "partner"))
+    return both.groupBy("name").agg(best.alias("_b")).select(
+        "name", F.col("_b.partner").alias("partner"), (-F.col("_b.far")).alias("similarity"))
+
+
+def similar_pairs(names: DataFrame, threshold: float = 0.60) -> DataFrame:
     """Pairs of distinct names whose bigram Jaccard similarity reaches ``threshold``.
 
     Exact prefix filtering: with bigrams in rarest-first order, two similar names

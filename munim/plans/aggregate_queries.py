@@ -14,7 +14,7 @@ WITH = "WITH " + TXN_SQL
 
 def total(expr: str) -> str:
     """Exact SQL sum of money."""
-    return f"(sum(CAST(round(({expr}) * 100) AS BIGINT))::DOUBLE / 100.0)"
+    return f"(sum(CAST(round(({expr}) * 10000) AS BIGINT))::DOUBLE / 10000.0)"
 
 
 def by_brand(df):

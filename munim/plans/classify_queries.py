@@ -177,6 +177,18 @@ def near_miss_business(spark, d):
     return K.near_miss_business(K.classify(narrated(spark, d))).select(*KEYS, "description", "category")
 
 
+@query("personal_transfers", CLASSIFY_SQL + """
+SELECT statement_id, line_no, description FROM cl WHERE category = 'Personal Transfer'""")
+def personal_transfers(spark, d):
+    return K.personal_transfers(K.classify(narrated(spark, d))).select(*KEYS, "description")
+
+
+@query("uncategorized", CLASSIFY_SQL + """
+SELECT statement_id, line_no, description FROM cl WHERE category = 'Uncategorized'""")
+def uncategorized(spark, d):
+    return K.uncategorized(K.classify(narrated(spark, d))).select(*KEYS, "description")
+
+
 RECURRING_SQL = WITH + f"""
 , d1 AS (SELECT statement_id, date, narration AS description, round_even(debit, 0) / 100.0 AS debit FROM raw
          WHERE transaction_type = 'debit'),
@@ -205,6 +217,13 @@ def recurring_merchants(spark, d):
     return R.recurring_merchants(small_charges(spark, d))
 
 
+@query("dear_subscriptions", RECURRING_SQL + """
+SELECT statement_id, merchant, avg_amount, avg_amount * 12 AS yearly_saving FROM rec
+WHERE likely_subscription AND avg_amount > 200""")
+def dear_subscriptions(spark, d):
+    return R.dear_subscriptions(R.recurring_merchants(small_charges(spark, d)))
+
+
 @query("subscription_rollup", RECURRING_SQL + f"""
 SELECT statement_id, count(*) AS recurring_count,
   count(*) FILTER (likely_subscription) AS subscription_count,
@@ -220,8 +239,11 @@ WITH n AS (SELECT DISTINCT p_name || ' ' || p_type AS name FROM part),
 g AS (SELECT name, list_distinct(list_transform(range(1, length(name)),
       lambda i: substring(name, i::INT, 2))) AS g FROM n),
 p AS (SELECT a.name AS name_a, b.name AS name_b, len(list_intersect(a.g, b.g)) AS s,
-      len(a.g) AS na, len(b.g) AS nb FROM g a JOIN g b ON a.name < b.name)
-SELECT name_a, name_b, s / (na + nb - s) AS similarity FROM p WHERE s / (na + nb - s) >= 0.6""")
+      len(a.g) AS na, len(b.g) AS nb FROM g a JOIN g b ON a.name < b.name),
+h AS (SELECT name_a AS name, name_b AS partner, s / (na + nb - s) AS similarity FROM p
+      WHERE s / (na + nb - s) >= 0.6),
+b AS (SELECT * FROM h UNION ALL SELECT partner, name, similarity FROM h)
+SELECT name, arg_min(partner, (-similarity, partner)) AS partner, max(similarity) AS similarity FROM b GROUP BY name""")
 def merchant_similarity(spark, d):
     names = table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("name"))
     return R.similar_names(names)

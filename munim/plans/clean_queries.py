@@ -71,7 +71,7 @@ def csv_lines(spark, d) -> DataFrame:
 
 
 def cell_rows(spark, d) -> DataFrame:
-    return csv_lines(spark, d).select(*KEYS, F.split("line", ",").alias("cells"))
+    return csv_lines(spark, d).select(*KEYS, S.csv_cells(F.col("line")).alias("cells"))
 
 
 @query("scan_csv_dynamic", WITH + """
@@ -119,12 +119,11 @@ def header_detect_signals(spark, d):
 
 
 @query("sheet_scan", WITH + """
-SELECT statement_id, line_no, date FROM txn WHERE statement_id % 3 <> 2""")
+SELECT statement_id, line_no, date, debit, credit, abs(amount) AS balance FROM txn""")
 def sheet_scan(spark, d):
-    # Sheet cells hold no lakh commas here; amounts are checked by scan_csv_dynamic.
-    rows = cell_rows(spark, d).where(F.col("statement_id") % 3 != 2)
-    out = S.read_sheet_rows(rows, H.best_sheet_header(rows))
-    return out.select(*KEYS, D.parse_date(F.col("date")).alias("date"))
+    rows = cell_rows(spark, d)
+    out = C.clean(S.read_sheet_rows(rows, H.best_sheet_header(rows)), deduplicate=False)
+    return out.select(*KEYS, "date", "debit", "credit", "balance")
 
 
 @query("null_tokens", WITH + """
@@ -174,7 +173,7 @@ def text_scan_guard(spark, d):
         bad.select("doc_id", F.lit(False).alias("usable")))
 
 
-@query("content_key", "SELECT doc_id, substring(md5(text), 1, 12) AS statement_key FROM documents")
+@query("content_key", "SELECT doc_id, md5(text) AS statement_key FROM documents")
 def content_key(spark, d):
     return table(spark, d, "documents").select(
         "doc_id", S.content_key(F.col("text").cast("binary")).alias("statement_key"))
@@ -188,11 +187,10 @@ def parse_amount(spark, d):
     return raw_txn(spark, d).select(*KEYS, AM.parse_amount(F.col("raw_amount")).alias("amount"))
 
 
-@query("split_drcr", WITH + "SELECT statement_id, line_no, debit, credit FROM txn WHERE pick % 3 <> 2")
+@query("split_drcr", WITH + "SELECT statement_id, line_no, debit, credit FROM txn")
 def split_drcr(spark, d):
     debit, credit = C.split_dr_cr(F.col("raw_amount"))
-    rows = raw_txn(spark, d).where(F.col("pick") % 3 != 2)
-    return rows.select(*KEYS, debit.alias("debit"), credit.alias("credit"))
+    return raw_txn(spark, d).select(*KEYS, debit.alias("debit"), credit.alias("credit"))
 
 
 def signed_text() -> Column:
@@ -451,11 +449,21 @@ def to_interchange(spark, d):
 
 
 @query("to_pipeline", WITH + """
-SELECT statement_id, line_no, date, debit, credit, amount, transaction_type,
-  strftime(date, '%b %Y') AS month_year, 'CSV' AS bank_source FROM txn""")
+SELECT statement_id, line_no, date, description, debit, credit, 0.0::DOUBLE AS balance, amount,
+  transaction_type, strftime(date, '%b %Y') AS month_year, 'CSV' AS bank_source, 'CSV Import' AS account
+FROM txn""")
 def to_pipeline(spark, d):
     out = C.to_pipeline(C.to_interchange(txn(spark, d), "CSV", "CSV Import"))
-    return out.drop("description", "balance", "account")
+    return out
+
+
+@query("document_to_interchange", WITH + """
+SELECT statement_id, line_no, date, description, CASE transaction_type WHEN 'debit' THEN -abs(amount)
+  ELSE abs(amount) END AS amount, transaction_type, 'HDFC' AS bank_source, '' AS account FROM txn""")
+def document_to_interchange(spark, d):
+    return C.document_to_interchange(txn(spark, d).select(
+        *KEYS, "date", "description", F.abs("amount").alias("amount"), "transaction_type",
+        F.lit("HDFC").alias("bank_source")))
 
 
 @query("records_normalize", WITH + """

@@ -101,22 +101,44 @@ def wallet_lines(spark, d):
     return TX.wallet_lines(wallet(spark, d), SPAN).drop("bank_source")
 
 
-@query("wallet_blocks", MOVED_SQL + """
+def in_order(rows: DataFrame) -> DataFrame:
+    """Lines numbered by moved date; odd statements lie within the year 2000."""
+    odd = F.col("statement_id") % 2 == 1
+    day = F.datediff("date", F.lit("1970-01-01").cast("date")).cast("bigint")
+    old = F.floor(F.col("line_no") / DAY_SPAN).cast("int")
+    was = F.date_add(F.lit("1970-01-01").cast("date"), old)
+    turn = (F.year(was) - 1990) * 1_000_000 + F.dayofmonth(was) * 10_000
+    moved = in_2000(rows).withColumn("date", F.when(odd, D.safe_date(
+        F.lit(2000), F.month("date"), F.dayofmonth("date"))).otherwise(F.col("date")))
+    return moved.withColumn("line_no", day * DAY_SPAN + turn + F.col("line_no") % DAY_SPAN)
+
+
+IN_ORDER_SQL = WITH + f"""
+, m0 AS (SELECT *, (year(date) - 1990) * 1000000 + day(date) * 10000 AS y, make_date(CASE WHEN month(date) >= 3 OR statement_id % 2 = 1 THEN 2000
+         ELSE 2001 END, month(date), least(day(date), 28)) AS moved FROM txn),
+mv AS (SELECT * REPLACE (moved AS date, date_diff('day', DATE '1970-01-01', moved) * {DAY_SPAN}
+       + y + line_no % {DAY_SPAN} AS line_no) FROM m0)"""
+
+
+@query("wallet_blocks", IN_ORDER_SQL + """
 SELECT statement_id, line_no * 4 AS line_no, CAST(date AS TIMESTAMP) + CASE pick % 2 WHEN 0
     THEN INTERVAL '23 hours 39 minutes' ELSE INTERVAL '0 hours' END AS date, -amount AS amount, description,
   transaction_type, CASE pick % 4 WHEN 0 THEN 'State Bank Of India' WHEN 2 THEN 'UPI Lite' ELSE '' END AS account
 FROM mv WHERE pick % 5 <> 0""")
 def wallet_blocks(spark, d):
-    rows = in_2000(raw_txn(spark, d))
+    rows = in_order(raw_txn(spark, d))
     credit = F.col("transaction_type") == "credit"
     own = F.when(F.col("pick") % 5 == 0, "self transfer").otherwise(F.col("description"))
     line = F.concat(F.date_format("date", "d MMM "), own, pick(" Note: x + Rs.5 Tag: y", ""),
                     F.when(credit, " + Rs.").otherwise(" - Rs."), F.col("lakh"))
     lines = as_lines(rows, line, pick("11:39 PM", "Ref 9"), pick("State Bank Of India - 24", "ref", "UPI lite", "z"),
                      F.lit("Page 2 of 3"))
-    text = heading(rows, "1 MAR'00 - 28 FEB'01", "Transaction Details").unionByName(lines)
+    # Every other statement names no period, only a year, and lists its lines in order.
+    head = F.when(F.col("statement_id") % 2 == 0, "1 MAR'00 - 28 FEB'01").otherwise("Passbook 2000")
+    text = heading(rows, head, "Transaction Details").unionByName(lines)
     periods = TX.head_text(text, 100).select(
-        "statement_id", TX.period_dates(F.col("head")).alias("p")).select("statement_id", "p.*")
+        "statement_id", TX.period_dates(F.col("head")).alias("p")).where("p IS NOT NULL").select(
+        "statement_id", "p.*")
     return TX.wallet_blocks(text, periods, SPAN)
 
 
@@ -140,10 +162,14 @@ def period_year(spark, d):
     return dated.select(*KEYS, year.cast("int").alias("year"))
 
 
-@query("month_year_lookup", MOVED_SQL + "SELECT statement_id, line_no, year(date)::INT AS year FROM mv")
+@query("month_year_lookup", MOVED_SQL + """
+SELECT statement_id, line_no, CAST(CASE WHEN statement_id % 2 = 0 THEN year(date)
+  WHEN month(date) <= 8 THEN 2002 ELSE 2001 END AS INT) AS year FROM mv""")
 def month_year_lookup(spark, d):
-    rows = in_2000(txn(spark, d)).withColumn(
-        "p", TX.period_dates(F.lit("01 MAR'00 to 28 FEB'01")))
+    # Odd statements have a period of 30 months, in which a month takes its latest year.
+    period = F.when(F.col("statement_id") % 2 == 0, "01 MAR'00 to 28 FEB'01").otherwise(
+        "01 MAR'00 to 31 AUG'02")
+    rows = in_2000(txn(spark, d)).withColumn("p", TX.period_dates(period))
     year = TX.year_of_month(F.month("date"), F.col("p.start"), F.col("p.end"))
     return rows.select(*KEYS, year.cast("int").alias("year"))
 
@@ -301,6 +327,39 @@ def parse_fallback(spark, d):
     return out.select(*KEYS, F.col("date").cast("date"), "description", "raw_amount", "stage")
 
 
+@query("parse_documents", MOVED_SQL + """
+SELECT statement_id, CASE WHEN statement_id % 7 IN (3, 4, 5) THEN line_no * 4 ELSE line_no END AS line_no,
+  CASE WHEN statement_id % 7 = 5 THEN mv.date ELSE txn.date END AS date, abs(txn.amount) AS amount,
+  txn.transaction_type, CASE statement_id % 7 WHEN 0 THEN 'HDFC' WHEN 1 THEN 'AmEx' WHEN 4 THEN 'GPay'
+    WHEN 5 THEN 'Paytm' WHEN 6 THEN 'Paytm' ELSE 'Unknown' END AS bank_source
+FROM txn JOIN mv USING (statement_id, line_no)""")
+def parse_documents(spark, d):
+    raw = raw_txn(spark, d)
+    group = lambda k, df=raw: df.where(F.col("statement_id") % 7 == k)
+    credit = F.col("transaction_type") == "credit"
+    signed = F.concat(F.when(credit, "+ Rs.").otherwise("- Rs."), F.col("lakh"))
+    bare = F.array(F.date_format("date", "dd-MM-yyyy"), F.col("description"), F.lit("n"), F.lit("a"), signed)
+    rows = (
+        table_rows(group(0), "split").unionByName(table_rows(group(1), "single"))
+        .unionByName(group(2).select(*KEYS, cells_of("single").alias("cells")))
+        .unionByName(group(3).select(*KEYS, F.array(F.lit("no"), F.lit("table")).alias("cells")))
+        .unionByName(group(6).select(*KEYS, bare.alias("cells"))))
+    line = F.concat(F.date_format("date", "yyyy/MM/dd "), F.col("description"), F.lit(" "), F.col("lakh"),
+                    F.when(credit, " CR").otherwise(" DR"))
+    compact = F.concat(F.date_format("date", "ddMMM,yyyy"), F.when(credit, " Receivedfrom").otherwise(" Paidto"),
+                       F.replace("description", F.lit(" ")), F.lit(" ₹"), F.col("lakh"))
+    app = F.concat(F.date_format("date", "d MMM "), F.lit("Paid to "), F.col("description"), F.lit(" "), signed)
+    wallet_rows = in_2000(group(5))
+    lines = (
+        as_lines(group(3), line).unionByName(as_lines(group(4), compact, F.lit("Page1of9")))
+        .unionByName(heading(wallet_rows, "Statement for 1 MAR'00 - 28 FEB'01"))
+        .unionByName(as_lines(wallet_rows, app, F.lit("11:39 PM"))))
+    issuers = raw.select("statement_id").distinct().withColumn("issuer", F.get(F.lit(
+        ["HDFC", "AmEx", "Unknown", "Unknown", "GPay", "Paytm", "Paytm"]), (F.col("statement_id") % 7).cast("int")))
+    table_ = TB.document_table(TB.parse_documents(rows, lines, issuers, SPAN), issuers)
+    return table_.select(*KEYS, "date", "amount", "transaction_type", "bank_source")
+
+
 # --- synthetic ledger ------------------------------------------------------
 
 

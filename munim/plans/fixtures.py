@@ -116,6 +116,16 @@ def raw_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("pick") % 4 == 2, F.date_format("date", "yyyy-MM-dd"))
         .otherwise(F.date_format("date", "dd-MMM-yyyy"))
     )
+    # Layouts that no list names.
+    rare = [
+        "d MMM yyyy' 10:30:00'", "MMM d yyyy", "MMMM d, yyyy", "dd.MM.yy", "yyyyMMdd", "d'th 'MMMM yyyy",
+        "yyyy MMM d", "'Sunday, 'd MMMM yyyy", "yyyy.MM.dd", "d MMMM, yyyy", "dd-MMM-yyyy' 9:05 am'",
+        "yyyy-MM-dd'T10:30:00Z'",
+    ]
+    for k, layout in enumerate(rare):
+        date_text = F.when(F.col("pick") % 40 == 20 + k, F.date_format("date", layout)).otherwise(date_text)
+    edge = F.when(F.col("pick") % 5 == 1, "\t").when(F.col("pick") % 5 == 2, "\u00a0").otherwise("")
+    date_text = F.concat(edge, date_text, edge)
     lakh = F.substring(money.format_inr_paise(F.abs("amount")), 2, 40)
     side = F.when(F.col("transaction_type") == "debit", "Dr").otherwise("Cr")
     amount_text = (
@@ -123,6 +133,7 @@ def raw_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("pick") % 3 == 1, F.concat(F.lit("Rs. "), lakh, side))
         .otherwise(F.concat(lakh, F.lit(" "), F.upper(side)))
     )
+    amount_text = F.concat(amount_text, edge)
     return txn(spark, sf_dir).select(
         "*", date_text.alias("raw_date"), amount_text.alias("raw_amount"), lakh.alias("lakh"),
         narration(F.col("pick")).alias("narration"),

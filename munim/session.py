@@ -6,18 +6,23 @@ depends on these values except the session time zone being UTC.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
 def build_session(cores: str | int = "*", app: str = "munim", **conf: str) -> SparkSession:
-    """Return a local session with adaptive execution on."""
+    """Return a session with adaptive execution on; local unless the environment names a master."""
     cpus = os.cpu_count() or 8 if cores == "*" else int(cores)
+    builder = SparkSession.builder
+    if not SparkConf().contains("spark.master"):
+        builder = builder.master(f"local[{cores}]")
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
@@ -25,6 +30,7 @@ def build_session(cores: str | int = "*", app: str = "munim", **conf: str) -> Sp
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -34,8 +40,23 @@ def build_session(cores: str | int = "*", app: str = "munim", **conf: str) -> Sp
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared ``spark.checkpoint.dir``; fall back only if unset."""
+    """Use the cluster's shared ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder that goes when Python ends; a
+    cluster is refused, because its executors would not share such a folder.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="munim-checkpoint-"))
+    if context.getCheckpointDir() is not None:
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not is_local(context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="munim-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    context.setCheckpointDir(shared)
+
+
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
