@@ -114,7 +114,10 @@ def test_similar_names_brute_force(spark):
     want = {(a, b) for a in names for b in names
             if a < b and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.6}
     df = spark.createDataFrame([(n,) for n in names], "name STRING")
-    assert {(r.name_a, r.name_b) for r in R.similar_names(df).collect()} == want
+    assert {(r.name_a, r.name_b) for r in R.similar_pairs(df).collect()} == want
+    near = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    best = {n: min(((-near(n, m), m) for m in names if (n, m) in want or (m, n) in want), default=None) for n in names}
+    assert {r.name: r.partner for r in R.similar_names(df).collect()} == {n: b[1] for n, b in best.items() if b}
 
 
 def test_forecast_contract(spark):

@@ -49,6 +49,45 @@ def test_load(spark, folder):
     assert table.select("statement_id").distinct().count() == 2
 
 
+def test_line_breaks_inside_quotes(spark):
+    texts = spark.createDataFrame([
+        ("a", 'Date,Description,Debit\n01-01-2025,"two\nlines ""q""",5\n02-01-2025,plain,6'),
+        ("b", 'size 5" pipe\nand 6" too\nend'), ("c", None), ("d", 'x,"open\ny')], "statement_id STRING, text STRING")
+    got = {}
+    for r in S.to_lines(texts).orderBy("statement_id", "line_no").collect():
+        got.setdefault(r.statement_id, []).append(r.line)
+    assert got["a"] == ["Date,Description,Debit", '01-01-2025,"two\nlines ""q""",5', "02-01-2025,plain,6"]
+    assert got["b"] == ['size 5" pipe', 'and 6" too', "end"] and got["d"] == ['x,"open', "y"]
+
+
+def test_quoted_description_is_loaded(spark, tmp_path):
+    text = 'Date,Description,Debit,Credit\n01-01-2025,"CORNER\nSHOP",5,\n02-01-2025\t,Plain,\u00a06 ,\n'
+    (tmp_path / "a.csv").write_text(text, encoding="utf-8")
+    (tmp_path / "copy.csv").write_text(text, encoding="utf-8")
+    rows = load(spark, str(tmp_path)).collect()
+    assert sorted((r.date.day, r.debit) for r in rows) == [(1, 5.0), (1, 5.0), (2, 6.0), (2, 6.0)]
+    assert len({r.statement_id for r in rows}) == 2
+
+
+def test_checkpoints_need_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from munim.session import ensure_checkpoint_dir, is_local
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
+    cluster = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(cluster)
+    assert is_local("local[4]") and is_local("local") and not is_local("local-cluster[2,1,1024]")
+
+
+def test_sums_below_a_paisa(spark):
+    from munim.functions import money
+
+    df = spark.createDataFrame([(1.005,), (1.005,), (0.004,)], "x DOUBLE")
+    assert df.agg(money.total(F.col("x"))).first()[0] == 2.014
+
+
 def test_summary(spark, folder):
     stats = AG.summary_stats(load(spark, folder)).where("total_credits > 1000").first()
     assert (stats.total_debits, stats.total_credits, stats.transaction_count) == (500.0, 50000.0, 3)
