@@ -125,7 +125,7 @@ def links(vectors: DataFrame, dims: int, least: float) -> DataFrame:
                     homes = sizes.get((i, cell, True), 0)
                     guests = sizes.get((i, cell, False), 0)
                     # v is a running number: its remainder deals rows evenly to tiles.
-                    tile = ids[mine] % (homes if at_home else guests)
+                    tile = ids[mine] % max(homes if at_home else guests, 1)
                     out = []
                     for t in np.unique(tile):
                         rows_t = mine[tile == t]
@@ -154,13 +154,16 @@ def links(vectors: DataFrame, dims: int, least: float) -> DataFrame:
         vb, b = (va, a) if same else side(group[~group["first"]])
         out = [np.zeros((0, 2), dtype=np.int64)]
         if len(va) and len(vb):
-            ya, yb = ((m @ turn[:, part]).astype(np.float32) for m in (a, b))
-            nb = (yb * yb).sum(axis=1)
+            ya, yb = (m @ turn[:, part] for m in (a, b))
+            # One product gives the squared distances: |x|^2 - 2 x y + |y|^2.
+            one = lambda m: np.ones((len(m), 1))
+            square = lambda m: (m * m).sum(axis=1, keepdims=True)
+            left = np.hstack([-2 * ya, square(ya), one(ya)]).astype(np.float32)
+            right = np.hstack([yb, one(yb), square(yb)]).astype(np.float32)
             for s in range(0, len(va), STRIP):
                 low = s if same else 0  # of a tile with itself, the upper triangle
-                ys = ya[s:s + STRIP]
-                d = (ys * ys).sum(axis=1)[:, None] + nb[None, low:] - 2 * (ys @ yb[low:].T)
-                i, j = np.nonzero(d <= budget + SLACK)
+                near = left[s:s + STRIP] @ right[low:].T <= budget + SLACK
+                i, j = np.divmod(np.flatnonzero(near), near.shape[1])
                 i, j = i + s, j + low
                 if same:
                     i, j = i[i < j], j[i < j]
