@@ -1,6 +1,6 @@
 """Scores, labels and texts: one row of facts per statement, then plain expressions.
 
-:func:`facts` joins a handful of per-statement aggregates once; every insight is a
+:func:`facts` reads the transactions once and adds the forecast; every insight is a
 projection of that row.
 """
 
@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from munim.functions import money
+from munim.functions.dates import month_start
 from munim.functions.money import fixed, format_inr, format_inr_paise, whole_number
 from munim.operators import aggregates as AG
-from munim.operators.anomaly import anomaly_summary, top_anomalies
+from munim.operators.anomaly import top_anomalies
 from munim.rules import messages as M
 
 KEY = AG.KEY
@@ -32,28 +33,58 @@ def plural(n: Column, one: str, many: str) -> Column:
     return F.when(n == 1, one).otherwise(many)
 
 
+def statement_stats(df: DataFrame) -> DataFrame:
+    """Summary, two dearest categories and flagged charges of each statement, in one read.
+
+    Rows are combined per (statement, category, month, direction) before the shuffle; what
+    follows aggregates those few rows to categories and then to statements.
+    """
+    debit = F.col("transaction_type") == "debit"
+    money_of = lambda c: F.sum(F.round(c * money.FINE).cast("bigint"))
+    rupees = lambda c: F.coalesce(F.sum(c), F.lit(0)) / F.lit(float(money.FINE))
+    small = df.groupBy(KEY, "category", month_start(F.col("date")).alias("_month"), debit.alias("_d")).agg(
+        money_of(F.when(debit, F.col("debit")).otherwise(F.col("credit"))).alias("_sum"),
+        F.count(F.lit(1)).alias("_n"), F.min("date").alias("_first"), F.max("date").alias("_last"),
+        F.count_if(F.col("is_anomaly")).alias("_an"),
+        money_of(F.when(F.col("is_anomaly"), F.abs("amount"))).alias("_as"))
+    spent = lambda c: F.when(F.col("_d"), F.col(c))
+    per = small.groupBy(KEY, "category").agg(
+        F.sum(spent("_sum")).alias("_debit"), F.sum(F.when(~F.col("_d"), F.col("_sum"))).alias("_credit"),
+        F.sum(spent("_n")).alias("_dn"), F.sum("_n").alias("_n"), F.min("_first").alias("_first"),
+        F.max("_last").alias("_last"), F.sum("_an").alias("_an"), F.sum("_as").alias("_as"),
+        F.collect_set("_month").alias("_months"), F.collect_set(spent("_month")).alias("_spent_in"))
+    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    dear = F.array_sort(F.collect_list(F.when(F.col("_dn") > 0, F.struct(
+        (-F.coalesce("_debit", F.lit(0))).alias("cost"), "category"))))
+    one = per.groupBy(KEY).agg(
+        rupees("_debit").alias("total_debits"), rupees("_credit").alias("total_credits"),
+        F.sum("_n").alias("transaction_count"),
+        F.struct(F.min("_first").alias("min"), F.max("_last").alias("max")).alias("date_range"),
+        distinct("_months").cast("long").alias("n_months"), distinct("_spent_in").alias("_spent_months"),
+        dear.alias("_dear"), F.sum("_an").alias("total_anomalies"), rupees("_as").alias("total_flagged_amount"))
+    nth = lambda i: F.get("_dear", F.lit(i))
+    cost = lambda i: -nth(i)["cost"] / F.lit(float(money.FINE))
+    return one.select(
+        KEY, "total_debits", "total_credits",
+        (F.col("total_credits") - F.col("total_debits")).alias("net_cashflow"), "transaction_count",
+        "date_range", money.ratio(F.col("total_debits"), F.col("_spent_months"), 0.0).alias("avg_monthly_spend"),
+        "n_months", nth(0)["category"].alias("top_category"), cost(0).alias("top_spent"),
+        nth(1)["category"].alias("second_category"), cost(1).alias("second_spent"),
+        F.size("_dear").cast("long").alias("n_categories"), "total_anomalies", "total_flagged_amount")
+
+
 def facts(df: DataFrame, forecast_summary: DataFrame) -> DataFrame:
     """Everything the insights need, one row per statement.
 
     ``df`` is a scored table (with ``category`` and ``is_anomaly``).
     """
-    rank = F.row_number().over(W.partitionBy(KEY).orderBy(F.desc("total_spent"), "category"))
-    ranked = AG.category_totals(df).withColumn("_r", rank)
-    nth = lambda c, k: F.max(F.when(F.col("_r") == k, F.col(c)))
-    categories = ranked.groupBy(KEY).agg(
-        nth("category", 1).alias("top_category"), nth("total_spent", 1).alias("top_spent"),
-        nth("category", 2).alias("second_category"), nth("total_spent", 2).alias("second_spent"),
-        F.count(F.lit(1)).alias("n_categories"),
-    )
+    stats = statement_stats(df)
     ahead = forecast_summary.groupBy(KEY).agg(
         (money.total(F.col("vs_last_month_pct_change")) / F.count(F.lit(1))).alias("mean_change"),
         money.total(F.col("next_month_forecast")).alias("forecast_total"),
     )
     return (
-        AG.summary_stats(df)
-        .join(categories, KEY, "left")
-        .join(anomaly_summary(df), KEY, "left")
-        .join(ahead, KEY, "left")
+        stats.join(ahead, KEY, "left")
         .withColumn("savings_rate", money.savings_rate(F.col("total_credits"), F.col("total_debits")))
         .withColumn("top_pct", F.least(F.lit(100.0), money.ratio(
             F.col("top_spent") * 100, F.col("total_debits"), 100.0)))

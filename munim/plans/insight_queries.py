@@ -264,3 +264,18 @@ SELECT statement_id, goal, goal_amount, ms AS monthly_savings, goal_amount / ms
 FROM sv LEFT JOIN bg USING (statement_id), gl WHERE ms > 0""")
 def goal_tracker(spark, d):
     return P.goal_tracker(txn(spark, d), [("New Laptop", 50000.0), ("Car", 800000.0)])
+
+
+@query("report_figures", FACTS_SQL + """
+SELECT statement_id, health_score, CASE WHEN health_score >= 71 THEN 'Healthy' WHEN health_score >= 41 THEN 'Moderate'
+  ELSE 'At Risk' END AS band, CASE WHEN cr - db >= 0 THEN '+' ELSE '-' END AS sign FROM hs""")
+def report_figures(spark, d):
+    figures = I.report_tables(*facts(spark, d))["figures"]
+    return figures.select("statement_id", "health_score", "band", F.left("net_cashflow", F.lit(1)).alias("sign"))
+
+
+@query("report_anomalies", FACTS_SQL + """
+SELECT statement_id, line_no, r AS rank FROM (SELECT statement_id, line_no, CAST(row_number() OVER (
+  PARTITION BY statement_id ORDER BY line_no) AS INT) AS r FROM ia WHERE is_anomaly) WHERE r <= 5""")
+def report_anomalies(spark, d):
+    return I.report_tables(*facts(spark, d))["anomalies"].select("statement_id", "line_no", "rank")
