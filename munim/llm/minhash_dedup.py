@@ -22,6 +22,8 @@ BANDS, ROWS = 32, 5
 DRAWS, SLICE = 8, 16_384
 #: Cached word hashes per worker.
 CACHE_WORDS = 200_000
+#: Shingles of verified texts that a worker keeps.
+CACHE_SHINGLES = 2_000_000
 #: Characters of text that are signed at once.
 CHUNK_CHARS = 1_000_000
 
@@ -166,13 +168,19 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts' shingle multisets overlap enough: sum of min / sum of max."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
+        bags: dict[int, tuple] = {}
+        held = 0
         for batch in batches:
-            last: dict[int, tuple] = {}
             keep = []
             for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
-                if b not in last:
-                    last = {b: shingler.shingles(tb)}
-                (ea, wa), (eb, wb) = shingler.shingles(ta), last[b]
+                for v, text in ((a, ta), (b, tb)):
+                    if v not in bags:
+                        if held > CACHE_SHINGLES:
+                            bags, held = {}, 0
+                        bags[v] = shingler.shingles(text)
+                        held += len(bags[v][0])
+                # The first of the pair may have gone with a full cache.
+                (ea, wa), (eb, wb) = bags.get(a) or shingler.shingles(ta), bags[b]
                 _, i, j = np.intersect1d(ea, eb, assume_unique=True, return_indices=True)
                 common = np.minimum(wa[i], wb[j]).sum()
                 keep.append(common >= LEAST * (wa.sum() + wb.sum() - common))
@@ -183,6 +191,25 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         run, "a long, b long")
 
 
+def shared_weight(texts: DataFrame, weights: DataFrame) -> DataFrame:
+    """(v, weight, shared): how much of each text's weight are shingles that another text has too.
+
+    No text can have more in common with another one of the table than ``shared``.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler()
+        for batch in batches:
+            for v, text in zip(batch["v"], batch["text"]):
+                h, n = shingler.shingles(text)
+                yield pd.DataFrame({"v": v, "h": h.view(np.int64), "n": n})
+
+    own = texts.select("v", "text").mapInPandas(run, "v long, h long, n long").groupBy("h").agg(
+        F.count("*").alias("_c"), F.min("v").alias("v"), F.min("n").alias("n")).where("_c = 1").groupBy(
+        "v").agg(F.sum("n").alias("_own"))
+    return texts.select("v").join(weights, "v").join(own, "v", "left").select(
+        "v", "weight", (F.col("weight") - F.coalesce("_own", F.lit(0))).alias("shared"))
+
+
 def near_documents(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -195,11 +222,13 @@ def near_documents(
     has a null class_id, and its rows are kept.  Repeated rows have the same result.  Other
     columns are ignored.  An empty table gives an empty result.
 
-    Equal texts are one vertex.  Bands bring candidates together; each band bucket first proposes
-    links to its least, then its greatest vertex.  Buckets that verified links have joined
-    completely are done; in the others all pairs of different components whose sizes allow the
-    similarity are verified, so no candidate is left out, while a bucket of copies proposes as
-    many pairs as it has members.
+    Equal texts are one vertex.  Bands bring candidates together.  Each band bucket first
+    proposes links of all its members to its least vertex.  Buckets that verified links have
+    joined completely are done.  The others propose links to the member that has most of its
+    shingles in common with other texts, the likely origin of a group of edited copies.  In
+    buckets that are still not one component, pairs of different components are verified as far
+    as their sizes and the shingles they share with any text at all allow the similarity.  So no
+    candidate is left out, while groups of copies propose about as many pairs as members.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h1"),
                        F.xxhash64(F.lit(1), text_col).alias("_h2"), F.col(text_col).alias("text"))
@@ -208,45 +237,53 @@ def near_documents(
                           F.first("bands").alias("bands")))
     flat = cut(number_rows(classes.withColumn("_all", F.lit(1)), "_all", ["_h1", "_h2"], "v",
                            classes.count()).drop("_all"))
+    weights = flat.select("v", "weight")
     banded = flat.select("v", F.posexplode("bands").alias("i", "h")).select(
         "v", F.xxhash64("i", "h").alias("key"))
     ends = banded.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi")
-    members = cut(banded.join(ends, "key"))
-    weight = {k: flat.select(F.col("v").alias(k), F.col("weight").alias(f"w{k}")) for k in "ab"}
+    members = cut(banded.join(ends.drop("hi"), "key"))
     wanted = flat.join(members.select("v").distinct(), "v").select("v", "_h1", "_h2", "_least")
     texts = cut(rows.join(wanted, ["_h1", "_h2"]).where(F.col("_id").eqNullSafe(F.col("_least")))
                 .groupBy("v").agg(F.first("text").alias("text")))
-
-    def fits(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(weight["a"], "a").join(weight["b"], "b")
-        return sized.where(F.least("wa", "wb") >= LEAST * F.greatest("wa", "wb")).select("a", "b")
-
-    linked = tried = found = None
-    now = members.select("key", "v", "lo", "hi", F.col("v").alias("c"))
-    for end in ("lo", "hi", None):
-        if end:
-            proposed = now.where(f"v <> {end}").select(
-                F.least("v", end).alias("a"), F.greatest("v", end).alias("b"))
-        else:
-            other = now.select("key", F.col("v").alias("b"), F.col("c").alias("_c"))
-            proposed = now.join(other, "key").where("v < b AND c <> _c").select(
-                F.col("v").alias("a"), "b")
-        pairs = fits(proposed.distinct())
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = cut(similar(pairs, texts))
-        linked = new if linked is None else linked.unionByName(new)
+    fit = F.least("wa", "wb") >= LEAST * F.greatest("wa", "wb")
+
+    def to_centre(found: DataFrame, centre: str) -> DataFrame:
+        """Distinct pairs of members and their bucket's centre whose sizes are close enough."""
+        pairs = found.where(F.col("v") != F.col(centre)).select(
+            F.least("v", centre).alias("a"), F.greatest("v", centre).alias("b")).distinct()
+        for k in "ab":
+            pairs = pairs.join(weights.select(F.col("v").alias(k), F.col("weight").alias(f"w{k}")), k)
+        return pairs.where(fit).select("a", "b")
+
+    def unsettled(linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components so far, and the members of buckets with several of them."""
         found = components(linked)
-        # Buckets that are not yet one component.
-        labelled = members.join(found, "v", "left").select(
-            "key", "v", "lo", "hi", F.coalesce("component", "v").alias("c"))
-        unsettled = labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where(
-            "x < y").select("key")
-        now = cut(labelled.join(unsettled, "key", "left_semi"))
-        if now.isEmpty():
-            break
+        labelled = members.join(found, "v", "left").select("key", "v", F.coalesce("component", "v").alias("c"))
+        mixed_ = labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y")
+        return found, cut(labelled.join(mixed_.select("key"), "key", "left_semi"))
+
+    tried = cut(to_centre(members, "lo"))
+    linked = cut(similar(tried, texts))
+    found, now = unsettled(linked)
+    if not now.isEmpty():
+        bounds = cut(shared_weight(texts.join(now.select("v").distinct(), "v"), weights))
+        sized = now.join(bounds, "v")
+        centres = sized.groupBy("key").agg(F.max_by("v", F.struct(
+            F.col("shared") / F.col("weight"), "v")).alias("centre"))
+        pairs = cut(to_centre(now.join(centres, "key"), "centre").join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        linked = cut(linked.unionByName(similar(pairs, texts)))
+        found, now = unsettled(linked)
+    if not now.isEmpty():
+        a, b = (now.join(bounds, "v").select(
+            "key", F.col("v").alias(k), F.col("c").alias(f"c{k}"), F.col("weight").alias(f"w{k}"),
+            F.col("shared").alias(f"s{k}")) for k in "ab")
+        most = F.least("sa", "sb")  # what the two can have in common at most
+        pairs = a.join(b, "key").where(
+            (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fit
+            & (most >= LEAST * (F.col("wa") + F.col("wb") - most))).select("a", "b").distinct()
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        found = components(linked.unionByName(similar(pairs, texts)))
     of = flat.select("v", "_h1", "_h2", "_least").join(found, "v", "left").withColumn(
         "component", F.coalesce("component", "v"))
     tops = of.groupBy("component").agg(F.min("_least").alias("_top"))
