@@ -191,23 +191,31 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         run, "a long, b long")
 
 
-def shared_weight(texts: DataFrame, weights: DataFrame) -> DataFrame:
-    """(v, weight, shared): how much of each text's weight are shingles that another text has too.
-
-    No text can have more in common with another one of the table than ``shared``.
-    """
+def bags_of(texts: DataFrame) -> DataFrame:
+    """(v, bag): the shingle multiset of each text as a set of hashes, one per occurrence."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:
-            for v, text in zip(batch["v"], batch["text"]):
+            bags = []
+            for text in batch["text"]:
                 h, n = shingler.shingles(text)
-                yield pd.DataFrame({"v": v, "h": h.view(np.int64), "n": n})
+                turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)  # 0 for the first of its kind
+                bags.append((np.repeat(h, n) + mixed(turn.astype(U))).view(np.int64))
+            yield pd.DataFrame({"v": batch["v"], "bag": bags})
+
+    return texts.select("v", "text").mapInPandas(run, "v long, bag array<long>")
 
-    own = texts.select("v", "text").mapInPandas(run, "v long, h long, n long").groupBy("h").agg(
-        F.count("*").alias("_c"), F.min("v").alias("v"), F.min("n").alias("n")).where("_c = 1").groupBy(
-        "v").agg(F.sum("n").alias("_own"))
-    return texts.select("v").join(weights, "v").join(own, "v", "left").select(
-        "v", "weight", (F.col("weight") - F.coalesce("_own", F.lit(0))).alias("shared"))
+
+def shared_part(bags: DataFrame) -> DataFrame:
+    """(v, bag, weight, shared): how many elements of each bag another bag has too.
+
+    No bag can have more in common with another one of the table than ``shared``.
+    """
+    own = bags.select("v", F.explode("bag").alias("h")).groupBy("h").agg(
+        F.count("*").alias("_c"), F.min("v").alias("v")).where("_c = 1").groupBy("v").agg(
+        F.count("*").alias("_own"))
+    return bags.join(own, "v", "left").select("v", "bag", F.size("bag").alias("weight"), (
+        F.size("bag") - F.coalesce("_own", F.lit(0))).alias("shared"))
 
 
 def near_documents(
@@ -226,9 +234,10 @@ def near_documents(
     proposes links of all its members to its least vertex.  Buckets that verified links have
     joined completely are done.  The others propose links to the member that has most of its
     shingles in common with other texts, the likely origin of a group of edited copies.  In
-    buckets that are still not one component, pairs of different components are verified as far
-    as their sizes and the shingles they share with any text at all allow the similarity.  So no
-    candidate is left out, while groups of copies propose about as many pairs as members.
+    buckets that are still not one component, members of different components are compared inside
+    the join, as far as their sizes and the shingles they share with any text at all allow the
+    similarity, and only links leave it.  So no candidate is left out, while groups of copies
+    propose about as many pairs as members.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h1"),
                        F.xxhash64(F.lit(1), text_col).alias("_h2"), F.col(text_col).alias("text"))
@@ -266,24 +275,25 @@ def near_documents(
     linked = cut(similar(tried, texts))
     found, now = unsettled(linked)
     if not now.isEmpty():
-        bounds = cut(shared_weight(texts.join(now.select("v").distinct(), "v"), weights))
-        sized = now.join(bounds, "v")
+        bags = cut(shared_part(cut(bags_of(texts.join(now.select("v").distinct(), "v")))))
+        sized = now.join(bags.drop("bag"), "v")
         centres = sized.groupBy("key").agg(F.max_by("v", F.struct(
             F.col("shared") / F.col("weight"), "v")).alias("centre"))
         pairs = cut(to_centre(now.join(centres, "key"), "centre").join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(pairs)
         linked = cut(linked.unionByName(similar(pairs, texts)))
         found, now = unsettled(linked)
     if not now.isEmpty():
-        a, b = (now.join(bounds, "v").select(
+        a, b = (now.join(bags, "v").select(
             "key", F.col("v").alias(k), F.col("c").alias(f"c{k}"), F.col("weight").alias(f"w{k}"),
-            F.col("shared").alias(f"s{k}")) for k in "ab")
+            F.col("shared").alias(f"s{k}"), F.col("bag").alias(f"bag{k}")) for k in "ab")
         most = F.least("sa", "sb")  # what the two can have in common at most
-        pairs = a.join(b, "key").where(
-            (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fit
-            & (most >= LEAST * (F.col("wa") + F.col("wb") - most))).select("a", "b").distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        found = components(linked.unionByName(similar(pairs, texts)))
+        common = F.size(F.array_intersect("baga", "bagb"))
+        enough = lambda n: n >= LEAST * (F.col("wa") + F.col("wb") - n)
+        # Cheap conditions first; all belong to the join, so only links leave it.
+        new = a.join(b, "key").where(
+            (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fit & enough(most)
+            & enough(common)).select("a", "b").distinct()
+        found = components(linked.unionByName(cut(new)))
     of = flat.select("v", "_h1", "_h2", "_least").join(found, "v", "left").withColumn(
         "component", F.coalesce("component", "v"))
     tops = of.groupBy("component").agg(F.min("_least").alias("_top"))
