@@ -13,6 +13,8 @@ from munim.session import ensure_checkpoint_dir
 
 #: The stages after the first to the last but one keep exactly these columns.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Sites from which a passage of over 50 words goes; shorter lines go from 10.
+PASSAGE_SITES = 3
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,11 +25,11 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines found on many sites; n_chars follows the text.
+    """Documents without lines found on many sites, passages on a few; n_chars follows the text.
 
     A document without any line left is empty and goes, one that was blank before stays.
     """
-    cleaned = line_dedup.remove_boilerplate(docs)
+    cleaned = line_dedup.remove_boilerplate(docs, long_sites=PASSAGE_SITES)
     left = (F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))
     size = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return cleaned.where(left).withColumn("n_chars", size.cast("long")).select(*COLUMNS)

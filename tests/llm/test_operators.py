@@ -172,6 +172,23 @@ def test_line_dedup_awkward_rows(spark):
     assert line_dedup.remove_boilerplate(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("long_sites", [2, 3, None])
+def test_line_dedup_long_passages(spark, long_sites):
+    long, edge = ({n: f"p{n} " + " ".join(f"w{k}" for k in range(m)) for n in range(1, 12)} for m in (50, 49))
+    rows = [(100 * n + s, f"own {n} {s}\n {long[n]} \n{edge[n]}", f"s{s}") for n in long for s in range(n)]
+    rows += [(100 * n + 50, f"{long[n]}\n{edge[n]}", "s0") for n in long]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in line_dedup.remove_boilerplate(df, long_sites=long_sites).collect()}
+    want = {}
+    for i, t, _ in rows:
+        n, gone = i // 100, set()
+        if i % 100:
+            gone |= {long[n]} if n >= (long_sites or 10) else set()
+            gone |= {edge[n]} if n >= 10 else set()
+        want[i] = "\n".join(x for x in t.split("\n") if x.strip(" ") not in gone)
+    assert got == want
+
+
 # --- chat formatting -------------------------------------------------------
 
 

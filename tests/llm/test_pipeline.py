@@ -60,6 +60,17 @@ def test_lines(steps):
     assert {r[0]: r for r in rows(steps["line_dedup"])} == want
 
 
+def test_passages_on_few_sources(spark, sf):
+    """A passage of over 50 words on 3 to 9 sources is left in one document, a short line in all."""
+    passage = {n: f"passage {n} " + "of many words " * 20 for n in range(2, 10)}
+    given = [(10 * n + s, f"own {n} {s}\n{passage[n]}\nshort {n}", "en", f"s{s}", 5)
+             for n in passage for s in range(n)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long")
+    for i, text, *_ in rows(P.without_boilerplate(spark, docs, sf)):
+        n = i // 10
+        assert (passage[n] in text) == (n < 3 or i % 10 == 0) and f"short {n}" in text
+
+
 def test_near_duplicates(steps):
     given = sorted(rows(steps["line_dedup"]))
     root = brute.roots(len(given), brute.similar_pairs([r[1] for r in given]))
