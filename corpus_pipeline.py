@@ -11,7 +11,7 @@ from munim.llm.queries import tokenizer_file
 from munim.llm.support import held_out
 from munim.session import ensure_checkpoint_dir
 
-#: The stages after the first to the last but one keep exactly these columns.
+#: The stages before the sequences keep exactly these columns.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Sites from which a passage of over 50 words goes; shorter lines go from 10.
 PASSAGE_SITES = 3
@@ -51,8 +51,14 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents and their places in sequences of 2048."""
-    return packing.pack(packing.pieces(docs, tokenizer_file(), with_ids=False))
+    """Padded sequences of at most 2048 token ids of all documents, and the pieces in each."""
+    placed = packing.pack(packing.pieces(docs, tokenizer_file(), shrunk=True))
+    return packing.sequences(placed, shrunk=True)
+
+
+def pieces_of(spark: SparkSession, sequences: DataFrame, sf_dir: str) -> DataFrame:
+    """Places and checksums of the token pieces, read from the written sequences."""
+    return packing.digests(sequences)
 
 
 STAGES = [
@@ -60,7 +66,8 @@ STAGES = [
     ("line_dedup", without_boilerplate),
     ("near_dedup", one_of_each_group),
     ("mixing", mixed),
-    ("packing", packed),
+    ("sequences", packed),
+    ("packing", pieces_of),
 ]
 
 #: Compression, MinHash, hashed sampling keys and tokenization are beyond SQL.

@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import zstandard
+from pyspark.sql import Column, DataFrame, functions as F
 
 from munim.llm.support import cut, number_rows, ship
 
@@ -17,6 +18,8 @@ ship(__name__)
 
 #: Multiplicative updates of the least-squares solution.
 UPDATES = 120
+#: zstandard's level for ids on their way into sequences.
+LEVEL = 3
 
 
 def merge_ranks(spec: dict) -> dict[bytes, int] | None:
@@ -73,15 +76,28 @@ class Encoder:
         return array("I", ids).tobytes()
 
 
+def shrink(ids: bytes, compressor: zstandard.ZstdCompressor) -> bytes:
+    """Ids (32-bit) as a byte that gives their width and a zstandard frame; 16-bit if all fit."""
+    wide = np.frombuffer(ids, "<u4")
+    slim = wide if wide.max(initial=0) > 0xFFFF else wide.astype("<u2")
+    return bytes([slim.itemsize]) + compressor.compress(slim.tobytes())
+
+
+def grow(data: bytes, decompressor: zstandard.ZstdDecompressor) -> bytes:
+    """The ids (32-bit) that ``shrink`` was given."""
+    return np.frombuffer(decompressor.decompress(data[1:]), f"<u{data[0]}").astype("<u4").tobytes()
+
+
 def pieces(
     docs: DataFrame, tokenizer_file: str, *, window: int = 2048, end_id: int = 1,
-    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True,
+    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, shrunk: bool = False,
 ) -> DataFrame:
     """Token pieces of at most ``window`` ids of every row of ``docs``.
 
     A row's ids are those of its text (null: empty) and ``end_id``; they are cut every
     ``window`` ids, so only a row's last piece is shorter.  Columns: ``id_col``, start, length,
-    ids_crc32, doc_tokens and, if asked for, ids (binary, little-endian unsigned 32-bit).
+    ids_crc32, doc_tokens and, if asked for, ids (binary, little-endian unsigned 32-bit; as
+    ``shrink`` gives them if ``shrunk``).
     Rows are independent: repeated rows and null ids give pieces of their own; other columns of
     ``docs`` are not carried.
     """
@@ -93,6 +109,7 @@ def pieces(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(definition)
+        compressor = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             rows: list[tuple] = []
             held = 0
@@ -102,7 +119,7 @@ def pieces(
                 for start in range(0, total, window):
                     part = data[4 * start:4 * (start + window)]
                     row = (key, start, len(part) // 4, zlib.crc32(part), total)
-                    rows.append(row + (part,) if with_ids else row)
+                    rows.append(row + (shrink(part, compressor) if shrunk else part,) if with_ids else row)
                     held += len(part) if with_ids else 64
                 if held > 8_000_000:
                     yield pd.DataFrame(rows, columns=names, dtype=object)
@@ -220,9 +237,10 @@ def pack(pieces_: DataFrame, *, window: int = 2048, id_col: str = "doc_id") -> D
     pieces is spread over all tasks, and looked up in the plan.  Offsets of a sequence run from 0
     without gaps.  An empty table gives an empty result.  Other columns are carried.
     """
-    table = cut(pieces_)
+    table = cut(pieces_.withColumn("_piece", F.monotonically_increasing_id()))
+    slim = cut(table.select("_piece", "length"))
     counts = np.zeros(window + 1, dtype=np.int64)
-    for row in table.groupBy("length").count().collect():
+    for row in slim.groupBy("length").count().collect():
         counts[row["length"]] = row["count"]
     at = slots(*plan(counts, window), window)
 
@@ -237,24 +255,70 @@ def pack(pieces_: DataFrame, *, window: int = 2048, id_col: str = "doc_id") -> D
         return pd.DataFrame({"sequence_id": at["base"][found] + nth - at["first"][found],
                              "offset": at["offset"][found]})
 
-    order = [id_col, "start", "ids_crc32"]
-    numbered = number_rows(table, "length", order, "_number", int(counts.sum()))
-    return numbered.withColumn("_at", place("length", "_number")).select(
-        *pieces_.columns, "_at.sequence_id", "_at.offset")
+    numbered = number_rows(slim, "length", ["_piece"], "_number", int(counts.sum()))
+    placed = numbered.select("_piece", place("length", "_number").alias("_at"))
+    return table.join(placed, "_piece").select(*pieces_.columns, "_at.sequence_id", "_at.offset")
 
 
-def sequences(packed: DataFrame, *, window: int = 2048, pad_id: int = 0) -> DataFrame:
-    """Token sequences of packed pieces with ids: sequence_id, n_tokens, ids (binary).
+def sequences(
+    packed: DataFrame, *, window: int = 2048, pad_id: int = 0, id_col: str = "doc_id",
+    shrunk: bool = False,
+) -> DataFrame:
+    """Token sequences of packed pieces with ids: sequence_id, n_tokens, ids (binary), pieces.
 
-    A group is one sequence, at most ``window`` ids.  Sequences are filled up with ``pad_id`` to
-    ``window`` ids, except those whose number of ids is a power of two.
+    A sequence is at most ``window`` ids.  Sequences are filled up with ``pad_id`` to ``window``
+    ids, except those whose number of ids is a power of two.  ``pieces`` lists what a sequence
+    holds (``id_col``, start, length, doc_tokens, offset), with length and offset as found in
+    ids.  ``shrunk`` says that the pieces' ids went through ``shrink``.  Pieces stream in the order
+    of their sequences, so a task holds one sequence and what it has not yet passed on.
     """
-    joined = packed.groupBy("sequence_id").agg(
-        F.sum("length").alias("n_tokens"),
-        F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
-    ids = F.aggregate("parts", F.lit(b"").cast("binary"), lambda s, p: F.concat(s, p["ids"]))
-    pad = F.unhex(F.repeat(F.lit(int(pad_id).to_bytes(4, "little").hex()),
-                           (F.lit(window) - F.col("n_tokens")).cast("int")))
-    exact = F.col("n_tokens").bitwiseAND(F.col("n_tokens") - 1) == 0
-    return joined.select("sequence_id", "n_tokens",
-                         F.when(exact, ids).otherwise(F.concat(ids, pad)).alias("ids"))
+    kind = dict(packed.dtypes)[id_col]
+    pad = int(pad_id).to_bytes(4, "little")
+    names = ["sequence_id", "n_tokens", "ids", "pieces"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decompressor = zstandard.ZstdDecompressor()
+        rows: list[tuple] = []
+        number, ids, parts = None, bytearray(), []
+
+        def close() -> None:
+            n = len(ids) // 4
+            if n > window:
+                raise ValueError(f"sequence {number} has {n} ids")
+            full = bytes(ids) if n & (n - 1) == 0 else bytes(ids) + pad * (window - n)
+            rows.append((number, n, full, parts))
+
+        for batch in batches:
+            for at, key, start, total, part in zip(*(batch[c] for c in batch.columns)):
+                if at != number:
+                    if parts:
+                        close()
+                    number, ids, parts = at, bytearray(), []
+                part = grow(part, decompressor) if shrunk else part
+                parts.append({"key": key, "start": start, "length": len(part) // 4,
+                              "doc_tokens": total, "offset": len(ids) // 4})
+                ids += part
+                if len(rows) * 4 * window > 8_000_000:
+                    yield pd.DataFrame(rows, columns=names, dtype=object)
+                    rows = []
+        if parts:
+            close()
+        yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    piece = f"struct<key: {kind}, start: long, length: long, doc_tokens: long, offset: long>"
+    schema = f"sequence_id long, n_tokens long, ids binary, pieces array<{piece}>"
+    renamed = piece.replace("key:", f"`{id_col}`:", 1)
+    ordered = packed.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    slim = ordered.select("sequence_id", F.col(id_col).alias("key"), "start", "doc_tokens", "ids")
+    return slim.mapInPandas(run, schema).withColumn("pieces", F.col("pieces").cast(f"array<{renamed}>"))
+
+
+def digests(sequences_: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """One row per piece with the checksum of its ids, as they stand in the packed sequences."""
+    def row(p: Column) -> Column:
+        ids = F.substring("ids", (4 * p["offset"] + 1).cast("int"), (4 * p["length"]).cast("int"))
+        return F.struct(p[id_col].alias(id_col), p["start"].alias("start"), p["length"].alias("length"),
+                        F.crc32(ids).alias("ids_crc32"), p["doc_tokens"].alias("doc_tokens"),
+                        F.col("sequence_id").alias("sequence_id"), p["offset"].alias("offset"))
+
+    return sequences_.select(F.inline(F.transform("pieces", row)))

@@ -48,7 +48,8 @@ def tokenizer_file() -> str:
 @query("op1_packing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack(packing.pieces(docs, tokenizer_file(), with_ids=False))
+    placed = packing.pack(packing.pieces(docs, tokenizer_file(), shrunk=True))
+    return packing.digests(packing.sequences(placed, shrunk=True))
 
 
 _RULE_ROWS = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -90,6 +91,50 @@ def test_packing_awkward_rows(spark):
     assert packing.pack(packing.pieces(df.limit(0), Q.tokenizer_file(), with_ids=False)).count() == 0
 
 
+def test_op1_digests_come_from_sequences(spark, sf, monkeypatch):
+    """The query packs ids: other ids in the sequences give other digests."""
+    build, seen = packing.sequences, []
+
+    def spoilt(*args, **kw):
+        seen.append(build(*args, **kw))
+        return seen[0].withColumn("ids", F.unhex(F.repeat(F.lit("00"), F.length("ids"))))
+
+    want = {(r.doc_id, r.start): r for r in Q.op1(spark, sf).collect()}
+    monkeypatch.setattr(packing, "sequences", spoilt)
+    for r in Q.op1(spark, sf).collect():
+        assert r.ids_crc32 == zlib.crc32(bytes(4 * r.length)) != want[r.doc_id, r.start].ids_crc32
+    rows = seen[0].select("n_tokens", F.length("ids").alias("n")).collect()
+    assert {r.n == 4 * (r.n_tokens if r.n_tokens & (r.n_tokens - 1) == 0 else 2048) for r in rows} == {True}
+
+
+@pytest.mark.parametrize("shrunk", [False, True])
+def test_sequences_of_awkward_rows(spark, shrunk):
+    ids = tokenizer()
+    rows = [(k, t) for k, t in enumerate(ODD)] + [(3, None), (3, None), (None, "null id"), (20, "a" * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = packing.pack(packing.pieces(df, Q.tokenizer_file(), shrunk=shrunk))
+    seqs = packing.sequences(placed, pad_id=9, shrunk=shrunk).cache()
+    given = collections.defaultdict(list)
+    for k, t in rows:
+        given[k].append(ids(t))
+    got = packing.digests(seqs).collect()
+    brute.check_packing(got, given)
+    assert len({r.sequence_id for r in got}) == seqs.count()
+    for r in seqs.collect():
+        tail = np.frombuffer(bytes(r.ids[4 * r.n_tokens:]), "<u4")
+        assert (tail == 9).all() and len(tail) in (0, 2048 - r.n_tokens)
+    assert packing.sequences(placed.limit(0), shrunk=shrunk).count() == 0
+
+
+def test_shrunk_ids_come_back():
+    import zstandard
+
+    for ids in ([1], [0, 65535] * 9, [65536, 3], [2**32 - 1]):
+        data = np.array(ids, "<u4").tobytes()
+        small = packing.shrink(data, zstandard.ZstdCompressor())
+        assert packing.grow(small, zstandard.ZstdDecompressor()) == data
+
+
 def test_encoder_equals_tokenizers():
     from tokenizers import Tokenizer
 

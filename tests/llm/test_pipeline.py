@@ -101,6 +101,25 @@ def test_pack(steps):
     assert brute.check_packing(steps["packing"].collect(), ids) < 0.02
 
 
+def test_sequences_are_written(steps):
+    """The written sequences hold the token ids of the mixed documents, padded unless a power of two."""
+    from tokenizers import Tokenizer
+
+    tokens = Tokenizer.from_file(Q.tokenizer_file())
+    want = collections.Counter(
+        len(tokens.encode(r[1], add_special_tokens=False).ids) + 1 for r in rows(steps["mixing"]))
+    got, at = collections.Counter(), collections.defaultdict(int)
+    for r in steps["sequences"].collect():
+        n = r.n_tokens
+        assert len(r.ids) == 4 * (n if n & (n - 1) == 0 else 2048) and sum(p.length for p in r.pieces) == n
+        for p in r.pieces:
+            at[p.doc_id] += p.length
+            if p.start + p.length == p.doc_tokens:
+                got[p.doc_tokens] += 1
+                assert bytes(r.ids[4 * (p.offset + p.length) - 4:4 * (p.offset + p.length)]) == b"\1\0\0\0"
+    assert got == want and sum(at.values()) == sum(n * k for n, k in want.items())
+
+
 def test_run_equals_stages(spark, sf, steps):
     key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     assert collections.Counter(map(tuple, P.run(spark, sf).select(*key).collect())) == collections.Counter(
