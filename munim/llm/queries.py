@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from munim.llm import (
-    chat_format, embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, packing, quality,
-    topk_search, url_filter,
+    chat_format, collocations, embedding_dedup, language_id, lexical_search, line_dedup, minhash_dedup,
+    mixing, nearest_vectors, packing, quality, topk_search, url_filter,
 )
 from munim.llm.support import cut, held_out
 
@@ -185,3 +185,84 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = cut(docs.select("doc_id", "source", mixing.size_words(F.col("text")).alias("size"),
                             mixing.text_quality(F.col("text")).alias("quality")))
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_nearest_vectors", """
+WITH v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+    vec_id, score
+FROM scored QUALIFY rank <= 5""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_collocations", r"""
+WITH given AS (
+    SELECT doc_id, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS parts
+    FROM documents),
+pieces AS (
+    SELECT row_number() OVER () AS p, lang, regexp_extract_all(u.piece, '[^\x20\x09]+') AS w
+    FROM given, unnest(parts) AS u(piece)),
+spots AS (SELECT p, lang, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM pieces),
+runs AS (
+    SELECT lang, x, x || ' ' || lead(x) OVER w AS xy, x || ' ' || lead(x) OVER w || ' ' || lead(x, 2) OVER w AS xyz
+    FROM spots WINDOW w AS (PARTITION BY p ORDER BY i)),
+grams AS (
+    SELECT lang, 1 AS size, x AS phrase, count(*) AS f FROM runs GROUP BY ALL
+    UNION ALL SELECT lang, 2, xy, count(*) FROM runs WHERE xy IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT lang, 3, xyz, count(*) FROM runs WHERE xyz IS NOT NULL GROUP BY ALL),
+candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w
+    FROM grams WHERE size > 1 AND f >= 10),
+cuts AS (
+    SELECT c.*, k, x.f AS l, y.f AS r,
+        ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM candidates c JOIN (VALUES (1), (2)) AS s(k) ON k < size
+    JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
+    JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+covered AS (
+    SELECT lang, array_to_string(w[k:k + 1], ' ') AS phrase, max(a) AS most
+    FROM candidates, (VALUES (1), (2)) AS s(k) WHERE size = 3 GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE size = 1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+    phrase, a, l, r, n, score
+FROM lowest LEFT JOIN covered USING (lang, phrase) JOIN totals USING (lang)
+WHERE most IS NULL OR 100 * most < 50 * a
+QUALIFY rank <= 2000""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+@query("op13_lexical_search", r"""
+WITH cut AS (
+    SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+tf AS (
+    SELECT d, doc_id, len(terms) AS n, u.term, count(*) AS tf
+    FROM cut, unnest(terms) AS u(term) GROUP BY d, doc_id, len(terms), u.term),
+total AS (
+    SELECT count(*) FILTER (len(terms) > 0) AS nn, sum(len(terms))::BIGINT AS ll FROM cut),
+weight AS (
+    SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM tf, total GROUP BY term, nn),
+items AS (
+    SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(text,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+    SELECT i, item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf
+        + 12 * (100 - 25 + ((25 * n * nn) // ll)))))::BIGINT AS score
+    FROM items JOIN tf USING (term) JOIN weight USING (term), total GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, d)::INTEGER AS rank,
+    doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -114,3 +114,74 @@ def check_packing(rows, ids: dict[int, list[list[int]]], window: int = 2048) ->
         used += end
         padding += 0 if end & (end - 1) == 0 else window - end
     return padding / max(used + padding, 1)
+
+
+def nearest(rows, asks, k: int = 5) -> dict:
+    """(query row number) -> [(id, cosine)] best first, of rows (id, vector)."""
+    ok = []
+    for n, (i, v) in enumerate(rows):
+        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            ok.append((n, i, v))
+    dims = max((len(v) for *_, v in ok), default=0)
+    x = np.array([list(v) + [0.0] * (dims - len(v)) for *_, v in ok]).reshape(len(ok), dims)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])  # no over- and underflow
+    out = {}
+    for a, (n, i, _) in enumerate(ok):
+        if asks(i):
+            score = (x * x[a]).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((x[a] * x[a]).sum()))
+            order = sorted((b for b in range(len(ok)) if b != a), key=lambda b: (-score[b], ok[b][1], b))
+            out[n] = [(ok[b][1], score[b]) for b in order[:k]]
+    return out
+
+
+def collocations(rows, longest: int = 3, least: int = 10, top: int = 2000, cover: int = 50) -> list[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score) of rows (text, lang)."""
+    f = collections.Counter()
+    n = collections.Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower):
+            w = tuple(re.findall(r"[^\x20\x09]+", piece))
+            n[lang] += len(w)
+            for size in range(1, longest + 1):
+                for i in range(len(w) - size + 1):
+                    f[lang, w[i:i + size]] += 1
+    found = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    gone = set()
+    for (lang, w), a in found.items():
+        for size in range(2, len(w)):
+            for i in range(len(w) - size + 1):
+                if 100 * a >= cover * f[lang, w[i:i + size]]:
+                    gone.add((lang, w[i:i + size]))
+    rows_out = collections.defaultdict(list)
+    for (lang, w), a in found.items():
+        if (lang, w) not in gone:
+            score, _, l, r = min((10 ** 6 * a * a // (f[lang, w[:k]] * f[lang, w[k:]]), k, f[lang, w[:k]],
+                                  f[lang, w[k:]]) for k in range(1, len(w)))
+            rows_out[lang].append((-score, -a, " ".join(w).encode(), l, r))
+    return [(lang, rank, p.decode(), -a, l, r, n[lang], -s) for lang, v in rows_out.items()
+            for rank, (s, a, p, l, r) in enumerate(sorted(v)[:top], 1)]
+
+
+def lexical(docs, items, k: int = 20) -> dict[int, list]:
+    """Item number -> [(doc_id, score)] best first, of rows (id, text)."""
+    def terms(text):
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lower)
+
+    bags = [(i, collections.Counter(terms(t))) for i, t in docs]
+    bags = [(i, b, b.total()) for i, b in bags if b]
+    n_all, length = len(bags), sum(n for *_, n in bags)
+    df = collections.Counter(t for _, b, _ in bags for t in b)
+    out = {}
+    for q, (_, text) in enumerate(items):
+        scored = []
+        for place, (i, b, n) in enumerate(bags):
+            m = 75 + 25 * n * n_all // length
+            s = sum(int(np.floor(1000 * np.log((2 * n_all + 2) / (2 * df[t] + 1))))
+                    * (10 ** 9 * b[t] // (1000 * b[t] + 12 * m)) for t in terms(text) if t in b)
+            if s > 0:
+                scored.append((-s, i is None, i or 0, place, i))
+        out[q] = [(i, -s) for s, *_, i in sorted(scored)[:k]]
+    return out
