@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,63 +16,86 @@ from munim.llm.support import ship, store
 
 ship(__name__)
 
-#: Pieces end at these bytes; words are what spaces and tabs leave of a piece.
-PIECE_END = re.compile(rb"[.,;:!?\x0A-\x0D]")
-#: One in so many windows of words ends a chunk; no chunk is longer than this many words.
-TRIGGER, LONGEST_CHUNK = 8, 256
-#: Distinct chunks that a task counts, and hashes of words that it remembers, before it starts anew.
-HELD_CHUNKS, HELD_WORDS = 200_000, 500_000
-#: Words whose phrases are counted at once.
-COUNTED_WORDS = 400_000
-#: Bits of the filter of phrases that are frequent enough to be extended (8 MB), and probes of it.
-FILTER_BITS, PROBES = 1 << 26, 2
+#: A-Z become a-z, and what ends a piece, ``.,;:!?`` and 0x0A-0x0D, a full stop.
+LETTERS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\x0a\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz.........")
+END = b"."
+#: One in so many windows of tokens ends a chunk; no chunk is longer than this many tokens.
+TRIGGER, LONGEST_CHUNK = 16, 256
+#: Tokens parsed at once; distinct chunks that a task counts, and hashes it remembers, before it starts anew.
+PARSED, HELD_CHUNKS, HELD_WORDS = 100_000, 100_000, 300_000
+#: Bytes of chunks whose phrases are counted at once.
+COUNTED_BYTES = 4 << 20
+#: Bits of the filter of phrases that are frequent enough to be extended (8 MB), of a part of it that one
+#: task gathers, and probes.
+FILTER_BITS, PART_BITS, PROBES = 1 << 26, 1 << 19, 2
 
 
-def pieces(text: bytes) -> Iterator[list[bytes]]:
-    """Words of each piece of a text with A-Z lower-cased; pieces without words are left out."""
-    for piece in PIECE_END.split(text.lower()):
-        words = piece.split()
-        if words:
-            yield words
+def tokens(text: bytes) -> list[bytes]:
+    """Words of a text with A-Z lower-cased, and a full stop for every end of a piece."""
+    return text.translate(LETTERS).replace(END, b" . ").split()
 
 
-def chunk_ends(hashes: np.ndarray, overlap: int) -> list[int]:
-    """Ends (exclusive) of the chunks of a piece, from the hashes of its words.
+def chunk_spans(hashes: np.ndarray, lengths: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends (exclusive) and texts of the chunks of texts of ``lengths`` tokens in a row.
 
-    A chunk ends after a window of ``overlap`` words whose hash is 0 modulo ``TRIGGER``, so equal
+    A chunk ends after a window of ``overlap`` tokens whose hash is 0 modulo ``TRIGGER``, so equal
     passages are cut alike wherever they stand, and the next chunk starts with that window.  A
-    chunk without a trigger ends after ``LONGEST_CHUNK`` words.
+    chunk without a trigger ends after ``LONGEST_CHUNK`` tokens.
     """
-    n = len(hashes)
-    if n <= overlap + 1:
-        return [n]
-    window = hashes[overlap - 1:].copy()
+    last = np.cumsum(lengths)
+    first = np.repeat(last - lengths, lengths)  # of the text of each token
+    window = hashes.copy()
     for k in range(1, overlap):
-        window = window + hashes[overlap - 1 - k:n - k] * np.uint64(2 * k + 1)
+        window[k:] += hashes[:-k] * np.uint64(2 * k + 1)
     window ^= window >> np.uint64(29)
-    ends, start = [], 0
-    for end in (np.flatnonzero(window % np.uint64(TRIGGER) == 0) + overlap).tolist():
-        if end - start <= overlap or end == n:
-            continue
-        while end - start > LONGEST_CHUNK:
-            start += LONGEST_CHUNK - overlap
-            ends.append(start + overlap)
-        if end - start > overlap:
-            ends.append(end)
-            start = end - overlap
-    while n - start > LONGEST_CHUNK:
-        start += LONGEST_CHUNK - overlap
-        ends.append(start + overlap)
-    return ends + [n]
+    cut = window % np.uint64(TRIGGER) == 0
+    cut &= np.arange(len(hashes)) - first >= overlap  # the window, and a token before it
+    cut[last[lengths > 0] - 1] = True
+    ends = np.flatnonzero(cut) + 1
+    before = np.concatenate([[0], ends[:-1]])
+    head = first[ends - 1] >= before
+    starts = np.where(head, first[ends - 1], before - overlap)
+    if (ends - starts > LONGEST_CHUNK).any():
+        spans = []
+        for start, end in zip(starts.tolist(), ends.tolist()):
+            while end - start > LONGEST_CHUNK:
+                spans.append((start, start + LONGEST_CHUNK))
+                start += LONGEST_CHUNK - overlap
+            spans.append((start, end))
+        starts, ends = np.array(spans).T
+    return starts, ends, np.searchsorted(last, ends)
+
+
+class Hashes(dict):
+    """64-bit hashes of tokens."""
+
+    def __missing__(self, token: bytes) -> int:
+        self[token] = h = xxhash.xxh3_64_intdigest(token)
+        return h
 
 
 def parse(docs: DataFrame, longest: int, text_col: str, lang_col: str) -> DataFrame:
-    """Dictionary (lang, head, chunk, freq) of the parse; ``head`` chunks start a piece."""
+    """Dictionary (lang, head, chunk, freq) of the parse; ``head`` chunks start a text."""
     overlap = longest - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        known = Hashes()
         chunks: Counter = Counter()
+        words: list[bytes] = []
+        texts: list[tuple[str, int]] = []
+
+        def count() -> None:
+            if words:
+                if len(known) > HELD_WORDS:
+                    known.clear()
+                hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                lengths = np.array([n for _, n in texts])
+                starts, ends, text = chunk_spans(hashes, lengths, overlap)
+                head = starts == (np.cumsum(lengths) - lengths)[text]
+                chunks.update((texts[t][0], h, b" ".join(words[s:e])) for t, h, s, e in zip(
+                    text.tolist(), head.tolist(), starts.tolist(), ends.tolist()))
+            words.clear()
+            texts.clear()
 
         def flush() -> pa.RecordBatch:
             out = pa.record_batch([
@@ -85,22 +107,14 @@ def parse(docs: DataFrame, longest: int, text_col: str, lang_col: str) -> DataFr
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for words in pieces(text.as_buffer().to_pybytes()):
-                    if len(words) <= overlap + 1:
-                        chunks[lang, True, b" ".join(words)] += 1
-                        continue
-                    if len(known) > HELD_WORDS:
-                        known.clear()
-                    for w in words:
-                        if w not in known:
-                            known[w] = xxhash.xxh3_64_intdigest(w)
-                    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                    start = 0
-                    for end in chunk_ends(hashes, overlap):
-                        chunks[lang, start == 0, b" ".join(words[start:end])] += 1
-                        start = end - overlap
+                found = tokens(text.as_buffer().to_pybytes())
+                texts.append((lang, len(found)))
+                words.extend(found)
+                if len(words) >= PARSED:
+                    count()
                 if len(chunks) >= HELD_CHUNKS:
                     yield flush()
+        count()
         if chunks:
             yield flush()
 
@@ -124,7 +138,7 @@ def phrase_hash(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w, 1) for w in words), np.uint64, len(words))
 
 
@@ -133,33 +147,40 @@ def count_phrases(
 ) -> DataFrame:
     """(lang, size, phrase, f): occurrences of all phrases of ``sizes`` words.
 
-    Phrases are counted inside distinct chunks, weighted by the chunks' frequency.  The words that
-    a chunk shares with the one before belong to that one: a chunk that does not start a piece
-    counts only phrases that end after its first ``longest`` - 1 words.  With ``allowed``, a bit
+    Phrases are counted inside distinct chunks, weighted by the chunks' frequency.  The tokens that
+    a chunk shares with the one before belong to that one: a chunk that does not start a text
+    counts only phrases that end after its first ``longest`` - 1 tokens.  With ``allowed``, a bit
     filter, phrases are left out unless both phrases of one word less may be frequent.
     """
     overlap = longest - 1
 
-    def tally(langs: list[str], heads: list[bool], freqs: list[int], chunks: list[list[bytes]]):
-        lengths = np.array([len(c) for c in chunks])
-        names, lang = np.unique(np.array(langs, dtype=object), return_inverse=True)
-        lang = np.repeat(lang, lengths)
-        weight = np.repeat(np.array(freqs, dtype=np.int64), lengths)
-        place = np.arange(len(lang)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        left = np.repeat(lengths, lengths) - place  # words from here to the end of the chunk
-        skip = np.repeat(np.where(heads, 0, overlap), lengths)
-        coded = pa.array([w for c in chunks for w in c], pa.binary()).dictionary_encode()
-        vocabulary, word = coded.dictionary, coded.indices.to_numpy()
+    def tally(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        lang, head, chunk, freq = (c.chunk(0) for c in table.columns)
+        split = pc.split_pattern(chunk.cast(pa.string()), " ")
+        lengths = pc.list_value_length(split).to_numpy()
+        coded = split.flatten().dictionary_encode()
+        vocabulary, word = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        tongues = lang.dictionary_encode()
+        names, lang = tongues.dictionary, np.repeat(tongues.indices.to_numpy().astype(np.int64), lengths)
+        weight = np.repeat(freq.to_numpy(), lengths)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        left = np.repeat(lengths, lengths) - place  # tokens from here to the end of the chunk
+        skip = np.repeat(np.where(head.to_numpy(zero_copy_only=False), 0, overlap), lengths)
+        stop = np.zeros(len(word) + max(sizes), dtype=bool)
+        stop[:len(word)] = word == pc.index(vocabulary, END.decode()).as_py()
         if allowed is not None:
             bits = np.frombuffer(allowed, dtype=np.uint8)
             hashed = word_hashes(vocabulary.to_pylist())[word]
-            tongue = word_hashes([x.encode() for x in names])[lang]
+            tongue = word_hashes(names.to_pylist())[lang]
         for size in sizes:
             ok = (left >= size) & (place + size > skip)
+            for k in range(size):
+                ok &= ~stop[k:k + len(word)]
             if allowed is not None:
                 short = size - 1
-                h = phrase_hash(tongue[:len(word) - short + 1],
-                                [hashed[k:len(word) - short + 1 + k] for k in range(short)])
+                n = len(word) - short + 1
+                h = phrase_hash(tongue[:max(n, 0)], [hashed[k:n + k] for k in range(short)])
                 known = np.zeros(len(word) + 1, dtype=bool)
                 known[:len(h)] = True
                 for p in probes(h):
@@ -168,34 +189,34 @@ def count_phrases(
             at = np.flatnonzero(ok)
             if not len(at):
                 continue
-            # The key of a phrase grows word by word and is renumbered each time, so it fits 64 bits.
-            key = lang[at]
+            # The key of a phrase grows word by word; it is renumbered where 64 bits would not do.
+            key, top = lang[at], len(names)
             for k in range(size):
-                key = np.unique(key * len(vocabulary) + word[at + k], return_inverse=True)[1]
-            _, first = np.unique(key, return_index=True)
+                if top * len(vocabulary) >= 1 << 62:
+                    key = np.unique(key, return_inverse=True)[1]
+                    top = len(at)
+                key, top = key * len(vocabulary) + word[at + k], top * len(vocabulary)
+            _, first, key = np.unique(key, return_index=True, return_inverse=True)
             f = np.zeros(len(first), dtype=np.int64)
             np.add.at(f, key, weight[at])
             some = at[first]
             parts = [vocabulary.take(pa.array(word[some + k])) for k in range(size)]
-            phrase = parts[0] if size == 1 else pc.binary_join_element_wise(*parts, b" ")
             yield pa.record_batch(
-                [pa.array(names[lang[some]], pa.string()), pa.array(np.full(len(some), size, np.int32)),
-                 phrase.cast(pa.string()), pa.array(f)], names=["lang", "size", "phrase", "f"])
+                [names.take(pa.array(lang[some])), pa.array(np.full(len(some), size, np.int32)),
+                 parts[0] if size == 1 else pc.binary_join_element_wise(*parts, " "), pa.array(f)],
+                names=["lang", "size", "phrase", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, ...] = ([], [], [], [])
-        n = 0
+        held, n = [], 0
         for batch in batches:
-            for lang, head, chunk, freq in zip(*(c.to_pylist() for c in batch.columns)):
-                words = chunk.split(b" ")
-                for v, x in zip(held, (lang, head, freq, words)):
-                    v.append(x)
-                n += len(words)
-                if n >= COUNTED_WORDS:
-                    yield from tally(*held)
-                    held, n = ([], [], [], []), 0
-        if n:
-            yield from tally(*held)
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.nbytes
+            if n >= COUNTED_BYTES:
+                yield from tally(pa.Table.from_batches(held))
+                held, n = [], 0
+        if held:
+            yield from tally(pa.Table.from_batches(held))
 
     return dictionary.select("lang", "head", "chunk", "freq").mapInArrow(
         run, "lang string, size int, phrase string, f long").groupBy("lang", "size", "phrase").agg(
@@ -206,19 +227,25 @@ def frequency_filter(phrases: DataFrame) -> bytes:
     """Bit filter of (lang, phrase) rows, of fixed size; it may say yes too often, never no."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            split = [p.encode().split(b" ") for p in batch["phrase"]]
+            split = [p.split(" ") for p in batch["phrase"]]
             size = len(split[0]) if split else 0
             words = [word_hashes([s[k] for s in split]) for k in range(size)]
-            h = phrase_hash(word_hashes([x.encode() for x in batch["lang"]]), words)
+            h = phrase_hash(word_hashes(batch["lang"].to_list()), words)
             yield pd.DataFrame({"bit": np.unique(np.concatenate(probes(h))).astype(np.int64)})
 
+    def gather(cells: pd.DataFrame) -> pd.DataFrame:
+        part = int(cells["part"].iat[0])
+        out = np.zeros(PART_BITS // 64, dtype="<i8")
+        out[cells["cell"].to_numpy() - part * len(out)] = cells["bits"]
+        return pd.DataFrame({"part": [part], "data": [out.tobytes()]})
+
     cell = phrases.select("lang", "phrase").mapInPandas(run, "bit long").groupBy(
         F.shiftright("bit", 6).alias("cell")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS INT))")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    found = cell.toPandas()  # at most FILTER_BITS / 64 rows
-    out[found["cell"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
-    return out.astype("<i8").tobytes()
+    parts = cell.withColumn("part", F.floor(F.col("cell") * 64 / PART_BITS)).groupBy("part").applyInPandas(
+        gather, "part long, data binary").collect()  # FILTER_BITS in all
+    found = {r["part"]: bytes(r["data"]) for r in parts}
+    return b"".join(found.get(k, bytes(PART_BITS // 8)) for k in range(FILTER_BITS // PART_BITS))
 
 
 def collocations(

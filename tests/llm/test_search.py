@@ -88,10 +88,9 @@ def mined(df, **options):
 
 @pytest.mark.parametrize("longest", [2, 3, 4])
 def test_collocations(spark, monkeypatch, longest):
-    monkeypatch.setattr(collocations, "HELD_CHUNKS", 50)
-    monkeypatch.setattr(collocations, "HELD_WORDS", 5)
-    monkeypatch.setattr(collocations, "COUNTED_WORDS", 100)
-    monkeypatch.setattr(collocations, "LONGEST_CHUNK", 9)
+    for name, value in (("HELD_CHUNKS", 50), ("HELD_WORDS", 5), ("PARSED", 300), ("COUNTED_BYTES", 2000),
+                        ("LONGEST_CHUNK", 9)):
+        monkeypatch.setattr(collocations, name, value)
     rows = [(t, lang) for seed, lang in ((1, "a"), (2, "b"), (3, None), (4, "und")) for t in texts(seed, 150)]
     rows += [rows[0]] * 20 + [(None, "a"), (None, None), ("", "b"), (" \t ", "c"), ("one", "d"),
                               ("A.B:c" * 12, "e"), ("x\x0by z w " * 30, "f"), ("of the " * 700, "a")]
@@ -114,15 +113,17 @@ def test_chunks_cover_every_phrase_once():
     rng = np.random.default_rng(2)
     for n in list(range(1, 40)) + [600, 5000]:
         hashes = rng.integers(0, 1 << 63, n).astype(np.uint64) if n % 2 else np.zeros(n, np.uint64) + np.uint64(n)
+        lengths = np.diff(np.concatenate([[0], np.sort(rng.integers(0, n + 1, 3)), [n]]))
+        base = np.cumsum(lengths) - lengths
         for overlap in (1, 2, 3):
-            seen, start = collections.Counter(), 0
-            for end in collocations.chunk_ends(hashes, overlap):
-                assert overlap < end - start <= collocations.LONGEST_CHUNK or n <= overlap + 1
+            seen = collections.Counter()
+            for start, end, text in zip(*collocations.chunk_spans(hashes, lengths, overlap)):
+                assert 0 < end - start <= collocations.LONGEST_CHUNK
                 for size in range(1, overlap + 2):
-                    first = 0 if start == 0 else max(0, overlap - size + 1)
-                    seen.update((i, size) for i in range(start + first, end - size + 1))
-                start = end - overlap
-            assert seen == {(i, s): 1 for s in range(1, overlap + 2) for i in range(n - s + 1)}
+                    first = 0 if start == base[text] else max(0, overlap - size + 1)
+                    seen.update((int(i), size) for i in range(start + first, end - size + 1))
+            assert seen == {(i, s): 1 for s in range(1, overlap + 2) for b, m in zip(base, lengths)
+                            for i in range(b, b + m - s + 1)}
 
 
 # --- ranked search ---------------------------------------------------------
