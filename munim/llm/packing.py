@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -18,6 +20,8 @@ ship(__name__)
 
 #: Multiplicative updates of the least-squares solution.
 UPDATES = 120
+#: White space in a row, in characters, that is left to tokenizers; tiktoken gives up at 1,000,000.
+LONG_BLANK = 200_000
 #: zstandard's level for ids on their way into sequences.
 LEVEL = 3
 
@@ -53,24 +57,31 @@ class Encoder:
 
     Where a byte-level vocabulary allows, ordinary text is merged by the faster BPE of tiktoken
     over the same vocabulary, which gives the same ids.  Texts that hold the string of a special
-    token, and other kinds of tokenizers, are left to tokenizers.
+    token or a run of white space beyond what tiktoken's pattern can track back over, and other
+    kinds of tokenizers, are left to tokenizers, which is built when it is first needed.
     """
 
     _pattern = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
     def __init__(self, definition: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(definition)
+        self.definition = definition
         spec = json.loads(definition)
         ranks = merge_ranks(spec)
         self.merger = ranks and tiktoken.Encoding(
             "pieces", pat_str=self._pattern, mergeable_ranks=ranks, special_tokens={})
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.definition)
+
     def encode(self, text: str) -> bytes:
-        if self.merger and not any(s in text for s in self.special):
+        blank = len(text) >= LONG_BLANK and max(map(len, re.findall(r"\s+", text)), default=0) >= LONG_BLANK
+        if self.merger and not blank and not any(s in text for s in self.special):
             return array("I", self.merger.encode_ordinary(text)).tobytes()
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes()
@@ -121,7 +132,7 @@ def pieces(
                     row = (key, start, len(part) // 4, zlib.crc32(part), total)
                     rows.append(row + (shrink(part, compressor) if shrunk else part,) if with_ids else row)
                     held += len(part) if with_ids else 64
-                if held > 8_000_000:
+                if held > 2_000_000:
                     yield pd.DataFrame(rows, columns=names, dtype=object)
                     rows, held = [], 0
             yield pd.DataFrame(rows, columns=names, dtype=object)
