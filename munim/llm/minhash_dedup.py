@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from munim.llm.support import components, cut, number_rows, ship
+from munim.operators.ordered import running_total
 
 ship(__name__)
 
@@ -21,9 +22,11 @@ BANDS, ROWS = 32, 5
 #: Arrivals of a Poisson process drawn at once, and elements whose arrivals are drawn at once.
 DRAWS, SLICE = 8, 16_384
 #: Cached word hashes per worker.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Shingles of verified texts that a worker keeps.
-CACHE_SHINGLES = 2_000_000
+CACHE_SHINGLES = 500_000
+#: Members of a tile that are compared in one task, and shingles at a time.
+TILE, COLUMNS = 1_024, 4_096
 #: Characters of text that are signed at once.
 CHUNK_CHARS = 1_000_000
 
@@ -218,6 +221,85 @@ def shared_part(bags: DataFrame) -> DataFrame:
         F.size("bag") - F.coalesce("_own", F.lit(0))).alias("shared"))
 
 
+def joined(common: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> np.ndarray:
+    """Which pairs of a matrix of common elements are similar enough."""
+    return common >= LEAST * (wa[:, None] + wb[None] - common)
+
+
+def common_elements(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``a`` shares with each of ``b``, by products of 0/1 blocks."""
+    def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+
+    (ha, ia), (hb, ib) = flat(a), flat(b)
+    both = np.intersect1d(ha, hb)
+    out = np.zeros((len(a), len(b)), dtype=np.int64)
+    if not len(both):
+        return out
+
+    def places(h: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, h), len(both) - 1)
+        ok = both[at] == h
+        order = np.argsort(at[ok], kind="stable")
+        return at[ok][order], i[ok][order]
+
+    (ca, ia), (cb, ib) = places(ha, ia), places(hb, ib)
+    for low in range(0, len(both), COLUMNS):
+        blocks = []
+        for c, i, n in ((ca, ia, len(a)), (cb, ib, len(b))):
+            part = slice(*np.searchsorted(c, (low, low + COLUMNS)))
+            block = np.zeros((n, min(COLUMNS, len(both) - low)), dtype=np.float32)
+            block[i[part], c[part] - low] = 1
+            blocks.append(block)
+        out += (blocks[0] @ blocks[1].T).astype(np.int64)
+    return out
+
+
+def links_in_tiles(now: DataFrame, bags: DataFrame) -> DataFrame:
+    """(a, b) that join what is similar enough among the members (key, v, c) of unsettled buckets.
+
+    Members that buckets connect form a group, and a group is cut into tiles of at most ``TILE``
+    members, fewer if their bags are large.  Two tiles meet if they share a bucket; a bag is sent
+    once per pair of tiles, and all its pairs are compared in one task.  What leaves the task is
+    each member with the least member that its links reach there.
+    """
+    low = now.groupBy("key").agg(F.min("v").alias("lo"))
+    groups = components(now.join(low, "key").select(F.col("v").alias("a"), F.col("lo").alias("b")))
+    sized = cut(groups.withColumnRenamed("component", "g").join(bags.select("v", "weight"), "v"))
+    tiles = cut(running_total(
+        sized, ["g"], ["v"], [F.floor(F.col("v") / 10_000)], {"at": 1 + F.col("weight") / 1_000},
+    ).select("g", "v", F.floor(F.col("at") / TILE).alias("tile")))
+    met = now.join(tiles, "v").select("key", "g", "tile").distinct()
+    pairs = cut(met.select("key", "g", F.col("tile").alias("t")).join(
+        met.select("key", F.col("tile").alias("u")), "key").where("t <= u").select("g", "t", "u").distinct())
+    rows = tiles.join(now.groupBy("v").agg(F.first("c").alias("c")), "v").join(bags, "v")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        first = (group["tile"] == group["t"]).to_numpy()
+        a = group[first]
+        b = a if first.all() else group[~first]
+        bags_a, bags_b = a["bag"].to_list(), b["bag"].to_list()
+        wa, wb = a["weight"].to_numpy(), b["weight"].to_numpy()
+        links = joined(common_elements(bags_a, bags_b), wa, wb)
+        # The least row that links reach, among the rows of both tiles.
+        va, vb = a["v"].to_numpy(), b["v"].to_numpy()
+        la, lb = va.copy(), vb.copy()
+        top = np.iinfo(np.int64).max
+        while True:
+            to_a = np.minimum(la, np.where(links, lb[None], top).min(axis=1, initial=top))
+            to_b = np.minimum(lb, np.where(links, to_a[:, None], top).min(axis=0, initial=top))
+            if (to_a == la).all() and (to_b == lb).all():
+                break
+            la, lb = to_a, to_b
+        v, least = np.concatenate([va, vb]), np.concatenate([la, lb])
+        return pd.DataFrame({"a": least, "b": v})[v != least]
+
+    sides = rows.join(pairs.select("g", F.col("t").alias("tile"), "t", "u"), ["g", "tile"]).unionByName(
+        rows.join(pairs.where("t < u").select("g", F.col("u").alias("tile"), "t", "u"), ["g", "tile"]))
+    return sides.select("g", "t", "u", "tile", "v", "weight", "bag").groupBy("g", "t", "u").applyInPandas(
+        compare, "a long, b long").distinct()
+
+
 def near_documents(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -233,11 +315,10 @@ def near_documents(
     Equal texts are one vertex.  Bands bring candidates together.  Each band bucket first
     proposes links of all its members to its least vertex.  Buckets that verified links have
     joined completely are done.  The others propose links to the member that has most of its
-    shingles in common with other texts, the likely origin of a group of edited copies.  In
-    buckets that are still not one component, members of different components are compared inside
-    the join, as far as their sizes and the shingles they share with any text at all allow the
-    similarity, and only links leave it.  So no candidate is left out, while groups of copies
-    propose about as many pairs as members.
+    shingles in common with other texts, the likely origin of a group of edited copies.  The
+    members of buckets that are still not one component are compared tile by tile, and only what
+    links join leaves a task.  So no candidate is left out, while groups of copies propose
+    about as many pairs as members.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h1"),
                        F.xxhash64(F.lit(1), text_col).alias("_h2"), F.col(text_col).alias("text"))
@@ -283,17 +364,8 @@ def near_documents(
         linked = cut(linked.unionByName(similar(pairs, texts)))
         found, now = unsettled(linked)
     if not now.isEmpty():
-        a, b = (now.join(bags, "v").select(
-            "key", F.col("v").alias(k), F.col("c").alias(f"c{k}"), F.col("weight").alias(f"w{k}"),
-            F.col("shared").alias(f"s{k}"), F.col("bag").alias(f"bag{k}")) for k in "ab")
-        most = F.least("sa", "sb")  # what the two can have in common at most
-        common = F.size(F.array_intersect("baga", "bagb"))
-        enough = lambda n: n >= LEAST * (F.col("wa") + F.col("wb") - n)
-        # Cheap conditions first; all belong to the join, so only links leave it.
-        new = a.join(b, "key").where(
-            (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fit & enough(most)
-            & enough(common)).select("a", "b").distinct()
-        found = components(linked.unionByName(cut(new)))
+        new = cut(links_in_tiles(now, bags))
+        found = components(linked.unionByName(new))
     of = flat.select("v", "_h1", "_h2", "_least").join(found, "v", "left").withColumn(
         "component", F.coalesce("component", "v"))
     tops = of.groupBy("component").agg(F.min("_least").alias("_top"))

@@ -146,6 +146,18 @@ def test_encoder_equals_tokenizers():
         assert encoder.encode(text) == want
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\u3000", "\t ", "a", "\u00e9", ".", "7", "\u6f22"])
+def test_encoder_on_long_runs(run):
+    with open(Q.tokenizer_file(), encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
+    text = "x" + run * (2_000_000 // len(run)) + "y"
+    ids = np.frombuffer(encoder.encode(text), "<u4").tolist()
+    assert encoder.tokenizer.decode(ids) == text
+    short = text[:150_000]
+    assert np.frombuffer(encoder.encode(short), "<u4").tolist() == encoder.tokenizer.encode(
+        short, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_every_piece_once(seed):
     rng = np.random.default_rng(seed)
@@ -349,6 +361,34 @@ def test_near_documents_awkward_rows(spark):
     assert minhash_dedup.near_documents(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tile,columns", [(1024, 4096), (5, 7)])
+def test_near_documents_edited_copies(spark, monkeypatch, tile, columns):
+    monkeypatch.setattr(minhash_dedup, "TILE", tile)
+    monkeypatch.setattr(minhash_dedup, "COLUMNS", columns)
+    rng = np.random.default_rng(8)
+    origin = [f"w{k}" for k in rng.integers(0, 400, 200)]
+    rows = []
+    for k in range(120):  # each edit breaks five shingles; most pairs stay just below 0.8
+        words = list(origin)
+        for at in rng.choice(200, rng.integers(2, 9), replace=False):
+            words[at] = f"x{rng.integers(0, 10 ** 6)}"
+        rows.append((k, " ".join(words)))
+    rows += [(200, rows[3][1]), (201, " ".join(origin * 300)), (202, " ".join(origin * 301))]
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_documents(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute.roots(len(rows), brute.similar_pairs([t for _, t in rows]))
+    assert got == {i: rows[r][0] for (i, _), r in zip(rows, want)}
+    assert 3 < len(set(got.values())) < 110
+
+
+def test_common_elements():
+    rng = np.random.default_rng(3)
+    a, b = ([np.unique(rng.integers(-50, 50, rng.integers(1, 60))) for _ in range(n)] for n in (7, 9))
+    want = [[len(set(x) & set(y)) for y in b] for x in a]
+    assert (minhash_dedup.common_elements(a, b) == np.array(want)).all()
+    assert not minhash_dedup.common_elements([np.array([1])], [np.array([2])]).any()
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     est = []
