@@ -9,7 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from munim.llm.support import components, cut, number_rows, ship
+from munim.llm.support import components, cut, light, number_rows, ship
 from munim.operators.ordered import running_total
 
 ship(__name__)
@@ -269,10 +269,10 @@ def links_in_tiles(now: DataFrame, bags: DataFrame) -> DataFrame:
     tiles = cut(running_total(
         sized, ["g"], ["v"], [F.floor(F.col("v") / 10_000)], {"at": 1 + F.col("weight") / 1_000},
     ).select("g", "v", F.floor(F.col("at") / TILE).alias("tile")))
-    met = now.join(tiles, "v").select("key", "g", "tile").distinct()
+    met = now.join(light(tiles), "v").select("key", "g", "tile").distinct()
     pairs = cut(met.select("key", "g", F.col("tile").alias("t")).join(
         met.select("key", F.col("tile").alias("u")), "key").where("t <= u").select("g", "t", "u").distinct())
-    rows = tiles.join(now.groupBy("v").agg(F.first("c").alias("c")), "v").join(bags, "v")
+    rows = tiles.join(bags, "v")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         first = (group["tile"] == group["t"]).to_numpy()
@@ -294,8 +294,9 @@ def links_in_tiles(now: DataFrame, bags: DataFrame) -> DataFrame:
         v, least = np.concatenate([va, vb]), np.concatenate([la, lb])
         return pd.DataFrame({"a": least, "b": v})[v != least]
 
-    sides = rows.join(pairs.select("g", F.col("t").alias("tile"), "t", "u"), ["g", "tile"]).unionByName(
-        rows.join(pairs.where("t < u").select("g", F.col("u").alias("tile"), "t", "u"), ["g", "tile"]))
+    each = light(cut(pairs.select("g", F.col("t").alias("tile"), "t", "u").unionByName(
+        pairs.where("t < u").select("g", F.col("u").alias("tile"), "t", "u"))))
+    sides = rows.join(each, ["g", "tile"])
     return sides.select("g", "t", "u", "tile", "v", "weight", "bag").groupBy("g", "t", "u").applyInPandas(
         compare, "a long, b long").distinct()
 
@@ -327,13 +328,14 @@ def near_documents(
                           F.first("bands").alias("bands")))
     flat = cut(number_rows(classes.withColumn("_all", F.lit(1)), "_all", ["_h1", "_h2"], "v",
                            classes.count()).drop("_all"))
-    weights = flat.select("v", "weight")
+    weights = cut(flat.select("v", "weight"))
+    sizes = light(weights)
     banded = flat.select("v", F.posexplode("bands").alias("i", "h")).select(
         "v", F.xxhash64("i", "h").alias("key"))
     ends = banded.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi")
     members = cut(banded.join(ends.drop("hi"), "key"))
-    wanted = flat.join(members.select("v").distinct(), "v").select("v", "_h1", "_h2", "_least")
-    texts = cut(rows.join(wanted, ["_h1", "_h2"]).where(F.col("_id").eqNullSafe(F.col("_least")))
+    wanted = cut(flat.join(members.select("v").distinct(), "v").select("v", "_h1", "_h2", "_least"))
+    texts = cut(rows.join(light(wanted), ["_h1", "_h2"]).where(F.col("_id").eqNullSafe(F.col("_least")))
                 .groupBy("v").agg(F.first("text").alias("text")))
     fit = F.least("wa", "wb") >= LEAST * F.greatest("wa", "wb")
 
@@ -342,13 +344,13 @@ def near_documents(
         pairs = found.where(F.col("v") != F.col(centre)).select(
             F.least("v", centre).alias("a"), F.greatest("v", centre).alias("b")).distinct()
         for k in "ab":
-            pairs = pairs.join(weights.select(F.col("v").alias(k), F.col("weight").alias(f"w{k}")), k)
+            pairs = pairs.join(sizes.select(F.col("v").alias(k), F.col("weight").alias(f"w{k}")), k)
         return pairs.where(fit).select("a", "b")
 
     def unsettled(linked: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Components so far, and the members of buckets with several of them."""
-        found = components(linked)
-        labelled = members.join(found, "v", "left").select("key", "v", F.coalesce("component", "v").alias("c"))
+        found = cut(components(linked))
+        labelled = members.join(light(found), "v", "left").select("key", "v", F.coalesce("component", "v").alias("c"))
         mixed_ = labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y")
         return found, cut(labelled.join(mixed_.select("key"), "key", "left_semi"))
 
@@ -365,8 +367,8 @@ def near_documents(
         found, now = unsettled(linked)
     if not now.isEmpty():
         new = cut(links_in_tiles(now, bags))
-        found = components(linked.unionByName(new))
-    of = flat.select("v", "_h1", "_h2", "_least").join(found, "v", "left").withColumn(
+        found = cut(components(linked.unionByName(new)))
+    of = flat.select("v", "_h1", "_h2", "_least").join(light(found), "v", "left").withColumn(
         "component", F.coalesce("component", "v"))
     tops = of.groupBy("component").agg(F.min("_least").alias("_top"))
     done = of.join(tops, "component").select("_h1", "_h2", "_top", F.lit(True).alias("_in"))

@@ -12,6 +12,8 @@ from munim.session import ensure_checkpoint_dir
 
 #: Rows that one window group may hold where a group is cut into salts.
 GROUP_ROWS = 10_000
+#: Rows up to which a table of a few numbers a row is broadcast (some MB); beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def ship(module: str) -> None:
@@ -28,6 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def light(df: DataFrame) -> DataFrame:
+    """``df``, a written table of a few numbers a row, broadcast if it has few rows, else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet in the shared checkpoint folder: smaller than ``cut`` for many short rows."""
     spark = df.sparkSession
@@ -82,14 +89,16 @@ def components(edges: DataFrame) -> DataFrame:
     rounds: list[DataFrame] = []
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy(F.col("a").alias("v")).agg(F.min(rank(F.col("b"))).alias("m")).select(
-            "v", F.least(rank(F.col("v")), F.col("m"))["v"].alias("p"))
+        hook = cut(both.groupBy(F.col("a").alias("v")).agg(F.min(rank(F.col("b"))).alias("m")).select(
+            "v", F.least(rank(F.col("v")), F.col("m"))["v"].alias("p")))
+        few = hook.count() <= BROADCAST_ROWS
+        sent = F.broadcast if few else (lambda df: df)
         for _ in range(2):
             up = hook.select(F.col("v").alias("p"), F.col("p").alias("_up"))
-            hook = hook.join(up, "p").select("v", F.col("_up").alias("p"))
+            hook = hook.join(sent(up), "p").select("v", F.col("_up").alias("p"))
         hook = cut(hook)
         rounds.append(hook)
-        a, b = (hook.select(F.col("v").alias(k), F.col("p").alias(f"_{k}")) for k in "ab")
+        a, b = (sent(hook.select(F.col("v").alias(k), F.col("p").alias(f"_{k}"))) for k in "ab")
         left = cut(left.join(a, "a").join(b, "b").where("_a <> _b").select(
             F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
     if not rounds:
