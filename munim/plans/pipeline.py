@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from munim.operators import aggregates as AG, anomaly as AN, clean as C, forecast as FC
-from munim.operators import forest, insights as I, recurring as R
+from munim.operators import forest, insights as I, ledger_forest, recurring as R
 from munim.operators.classify import Merchant, classify
 from munim.session import ensure_checkpoint_dir
 from munim.sources import statements as S
@@ -29,9 +29,8 @@ def analyse(
     """
     ensure_checkpoint_dir(table.sparkSession)
     classified = classify(table, merchants).checkpoint()
-    fitted, trained = forest.fit(classified, trees=trees)
     scored = forest.with_credits(
-        classified, forest.predict(classified, fitted, trained)).checkpoint()
+        classified, ledger_forest.detect(classified, trees=trees)).checkpoint()
     forecasts = FC.forecast(scored)
     summary = FC.forecast_summary(forecasts)
     facts = I.facts(scored, summary)
