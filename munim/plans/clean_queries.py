@@ -6,6 +6,8 @@ value the oracle is simply the unformatted column.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from munim.functions import amounts as AM, dates as D, money, text as T
@@ -13,7 +15,8 @@ from munim.operators import clean as C, filters
 from munim.plans.fixtures import DAY_SPAN, NARRATED_SQL, TXN_SQL, raw_txn, table, txn, txn_base
 from munim.plans.registry import query
 from munim.schema import contract_report
-from munim.sources import headers as H, statements as S
+from munim.session import ensure_checkpoint_dir
+from munim.sources import files as L, headers as H, statements as S
 
 WITH = "WITH " + TXN_SQL
 RAW = "WITH " + NARRATED_SQL
@@ -81,6 +84,32 @@ def scan_csv_dynamic(spark, d):
     return rows.select(*KEYS, "date", "debit", "credit", "balance")
 
 
+#: What the files of ``load_files`` hold beside good rows, one of each: (line, fate).
+BAD_LINES = [("99-99-2025,x,\"a\nb\",no date,,", "no date"), (",,,,,", "no value"),
+             ("01-01-2025,a,b,c,d,e,f,g", "too many fields"), ("", "blank")]
+
+
+@query("load_files", WITH + """
+, n AS (SELECT statement_id, count(*) AS n FROM txn GROUP BY 1)
+SELECT statement_id, 'row' AS fate, n FROM n
+UNION ALL SELECT statement_id, fate, 1 FROM n,
+  (VALUES ('no date'), ('no value'), ('too many fields'), ('blank'), ('header')) AS f(fate)
+UNION ALL SELECT statement_id, 'before the header', statement_id % 7 FROM n WHERE statement_id % 7 > 0""")
+def load_files(spark, d):
+    """Written CSV files, a quoted line break and bad lines in each: every line read back has its fate."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+    lines = csv_lines(spark, d)
+    bad = lines.select("statement_id").distinct().select("statement_id", F.posexplode(F.lit(
+        [line for line, _ in BAD_LINES])).alias("line_no", "line")).withColumn("line_no", F.lit(2**62) + F.col("line_no"))
+    lines.unionByName(bad).repartition("statement_id").sortWithinPartitions("statement_id", "line_no").select(
+        "statement_id", "line").write.partitionBy("statement_id").text(folder)
+    read = L.read_lines(spark, folder)
+    named = read.select("statement_id", F.regexp_extract("path", r"statement_id=(\d+)", 1).cast("long").alias("_s")).distinct()
+    return L.line_fates(read).join(named, "statement_id").groupBy(F.col("_s").alias("statement_id"), "fate").agg(
+        F.count("*").alias("n"))
+
+
 @query("alias_rename", WITH + """
 SELECT DISTINCT statement_id, CAST(0 AS INT) AS date_at,
   CAST(CASE statement_id % 3 WHEN 2 THEN 2 ELSE 1 END AS INT) AS description_at,

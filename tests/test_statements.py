@@ -147,3 +147,62 @@ def test_stream(spark, tmp_path):
     query.stop()
     got = spark.table("repeats").collect()
     assert [(r.category, r.debit) for r in got] == [("Food and Dining", 500.0)]
+
+
+def test_lines_of_split_files_equal_whole_texts(spark, tmp_path):
+    """Splits of a few bytes, also within quoted records and characters, change nothing."""
+    from munim.sources import files as L
+
+    texts = {
+        "a.csv": "﻿Date,Description,Debit\r\n" + "".join(
+            f'0{k % 9 + 1}-01-2025,"two\nlines ""q"" é {k}",5\r\nplain {k},x,6\n' for k in range(40)),
+        "b.csv": 'size 5" pipe\nand 6" too\nend', "c.txt": 'x,"open\ny', "d.csv": 'a,b"c\nd"e,f\n"",\n',
+        "e.csv": "one", "f.csv": '"' + "\n" * 60 + '"\nlast',
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "g.csv").write_bytes("caf\xe9 \xa0,1\nb,2\n".encode("latin-1"))
+    (tmp_path / "h.pdf").write_bytes(b"%PDF-1.4 binary")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "307")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = L.read_lines(spark, str(tmp_path)).collect()
+        assert L.raw_lines(spark, str(tmp_path)).select("path", "split").distinct().count() > 8
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.path, r.line_no)):
+        got.setdefault(r.path.rsplit("/", 1)[1], []).append((r.line_no, r.line))
+    whole = S.read_files(spark, str(tmp_path)).where("kind = 'csv'")
+    names = {r.statement_id: r.path.rsplit("/", 1)[1] for r in whole.collect()}
+    want = {}
+    for r in S.to_lines(whole).orderBy("statement_id", "line_no").collect():
+        want.setdefault(names[r.statement_id], []).append((r.line_no, r.line))
+    for name in want:  # a text that ends with a line break has an empty last line
+        trimmed = want[name][:-1] if want[name][-1][1] == "" else want[name]
+        assert got[name] == trimmed, name
+    assert set(got) == set(want)
+
+
+def test_load_accounts_for_every_line(spark, tmp_path):
+    from munim.plans.pipeline import load_all
+
+    (tmp_path / "a.csv").write_text(SPLIT + "02-01-2025,SWIGGY ORDER #123,-,500,NIL,49500\n", encoding="utf-8-sig")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF")
+    (tmp_path / "c.csv").write_text("nothing here\n")
+    (tmp_path / "d.csv").write_text("")  # nothing to reject
+    (tmp_path / "e.pdf.txt").write_text(
+        "Some Bank\nAccount statement\n2025/03/01 GROCERY STORE 1,250.00 DR\n2025/03/02 SALARY 50,000.00 CR\nThank you\n")
+    done = load_all(spark, str(tmp_path))
+    fates = {}
+    for r in done.lines.collect():
+        fates.setdefault(r.path.rsplit("/", 1)[1], {}).setdefault(r.fate, []).append(r.line_no)
+    assert fates["a.csv"] == {"before the header": [0, 1], "blank": [2], "header": [3], "row": [4, 5, 10],
+                              "repeat": [6, 11], "no date": [7], "no value": [8], "too many fields": [9]}
+    assert {r.path.rsplit("/", 1)[1]: r.reason for r in done.rejected.collect()} == {
+        "b.pdf": "not text: extract its text or rows first", "c.csv": "no dated row"}
+    rows = done.table.collect()
+    assert len(rows) == 3 + 2
+    assert sorted((r.debit, r.credit) for r in rows if r.date.month == 3) == [(0.0, 50000.0), (1250.0, 0.0)]
