@@ -8,7 +8,9 @@ from munim.functions import money
 from munim.functions.dates import month_start
 from munim.functions.text import bigrams, recurring_key
 from munim.operators.aggregates import KEY, only
+from munim.operators.groups import linked_groups
 from munim.rules.tokens import SUBSCRIPTION_WORDS
+from munim.session import ensure_checkpoint_dir
 
 
 def recurring_merchants(df: DataFrame) -> DataFrame:
@@ -78,6 +80,24 @@ def similar_names(names: DataFrame, threshold: float = 0.60) -> DataFrame:
         "name", F.col("_b.partner").alias("partner"), (-F.col("_b.far")).alias("similarity"))
 
 
+def similar_groups(names: DataFrame, threshold: float = 0.60) -> DataFrame:
+    """(name, class_id, n_links): groups of names that similar names join, also through others.
+
+    class_id is the first name of the group in order, n_links the number of names that are
+    similar to the row's own.  Names without a similar one are their own group; null names are
+    left out, and repeated ones count once.
+    """
+    ensure_checkpoint_dir(names.sparkSession)
+    pairs = similar_pairs(names, threshold).select(
+        F.col("name_a").alias("a"), F.col("name_b").alias("b")).checkpoint()
+    counts = pairs.select(F.explode(F.array("a", "b")).alias("name")).groupBy("name").agg(
+        F.count("*").alias("n_links"))
+    groups = linked_groups(pairs).select(F.col("v").alias("name"), F.col("group").alias("class_id"))
+    every = names.where(F.col("name").isNotNull()).select("name").distinct()
+    return every.join(groups, "name", "left").join(counts, "name", "left").select(
+        "name", F.coalesce("class_id", "name").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def similar_pairs(names: DataFrame, threshold: float = 0.60) -> DataFrame:
     """Pairs of distinct names whose bigram Jaccard similarity reaches ``threshold``.
 

@@ -247,3 +247,20 @@ SELECT name, arg_min(partner, (-similarity, partner)) AS partner, max(similarity
 def merchant_similarity(spark, d):
     names = table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("name"))
     return R.similar_names(names)
+
+
+@query("merchant_groups", """
+WITH RECURSIVE n AS (SELECT DISTINCT p_name || ' ' || p_type AS name FROM part),
+g AS (SELECT name, list_distinct(list_transform(range(1, length(name)),
+      lambda i: substring(name, i::INT, 2))) AS g FROM n),
+p AS (SELECT a.name AS a, b.name AS b, len(list_intersect(a.g, b.g)) AS s, len(a.g) + len(b.g) AS m
+      FROM g a JOIN g b ON a.name < b.name),
+h AS (SELECT a, b FROM p WHERE s / (m - s) >= 0.6),
+b AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+r AS (SELECT name, name AS seen FROM n UNION SELECT r.name, b.b FROM r JOIN b ON r.seen = b.a),
+c AS (SELECT a AS name, count(*) AS n_links FROM b GROUP BY 1)
+SELECT name, min(seen) AS class_id, coalesce(any_value(n_links), 0) AS n_links
+FROM r LEFT JOIN c USING (name) GROUP BY name""")
+def merchant_groups(spark, d):
+    names = table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    return R.similar_groups(names)
