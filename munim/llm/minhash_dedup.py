@@ -209,18 +209,6 @@ def bags_of(texts: DataFrame) -> DataFrame:
     return texts.select("v", "text").mapInPandas(run, "v long, bag array<long>")
 
 
-def shared_part(bags: DataFrame) -> DataFrame:
-    """(v, bag, weight, shared): how many elements of each bag another bag has too.
-
-    No bag can have more in common with another one of the table than ``shared``.
-    """
-    own = bags.select("v", F.explode("bag").alias("h")).groupBy("h").agg(
-        F.count("*").alias("_c"), F.min("v").alias("v")).where("_c = 1").groupBy("v").agg(
-        F.count("*").alias("_own"))
-    return bags.join(own, "v", "left").select("v", "bag", F.size("bag").alias("weight"), (
-        F.size("bag") - F.coalesce("_own", F.lit(0))).alias("shared"))
-
-
 def joined(common: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> np.ndarray:
     """Which pairs of a matrix of common elements are similar enough."""
     return common >= LEAST * (wa[:, None] + wb[None] - common)
@@ -269,7 +257,7 @@ def links_in_tiles(now: DataFrame, bags: DataFrame) -> DataFrame:
     tiles = cut(running_total(
         sized, ["g"], ["v"], [F.floor(F.col("v") / 10_000)], {"at": 1 + F.col("weight") / 1_000},
     ).select("g", "v", F.floor(F.col("at") / TILE).alias("tile")))
-    met = now.join(light(tiles), "v").select("key", "g", "tile").distinct()
+    met = now.join(tiles, "v").select("key", "g", "tile").distinct()
     pairs = cut(met.select("key", "g", F.col("tile").alias("t")).join(
         met.select("key", F.col("tile").alias("u")), "key").where("t <= u").select("g", "t", "u").distinct())
     rows = tiles.join(bags, "v")
@@ -294,8 +282,8 @@ def links_in_tiles(now: DataFrame, bags: DataFrame) -> DataFrame:
         v, least = np.concatenate([va, vb]), np.concatenate([la, lb])
         return pd.DataFrame({"a": least, "b": v})[v != least]
 
-    each = light(cut(pairs.select("g", F.col("t").alias("tile"), "t", "u").unionByName(
-        pairs.where("t < u").select("g", F.col("u").alias("tile"), "t", "u"))))
+    each = pairs.select("g", F.col("t").alias("tile"), "t", "u").unionByName(
+        pairs.where("t < u").select("g", F.col("u").alias("tile"), "t", "u"))
     sides = rows.join(each, ["g", "tile"])
     return sides.select("g", "t", "u", "tile", "v", "weight", "bag").groupBy("g", "t", "u").applyInPandas(
         compare, "a long, b long").distinct()
@@ -315,8 +303,8 @@ def near_documents(
 
     Equal texts are one vertex.  Bands bring candidates together.  Each band bucket first
     proposes links of all its members to its least vertex.  Buckets that verified links have
-    joined completely are done.  The others propose links to the member that has most of its
-    shingles in common with other texts, the likely origin of a group of edited copies.  The
+    joined completely are done.  The others propose links to the member that meets most others
+    over all its buckets, the likely origin of a group of edited copies.  The
     members of buckets that are still not one component are compared tile by tile, and only what
     links join leaves a task.  So no candidate is left out, while groups of copies propose
     about as many pairs as members.
@@ -349,8 +337,8 @@ def near_documents(
 
     def unsettled(linked: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Components so far, and the members of buckets with several of them."""
-        found = cut(components(linked))
-        labelled = members.join(light(found), "v", "left").select("key", "v", F.coalesce("component", "v").alias("c"))
+        found = components(linked)
+        labelled = members.join(found, "v", "left").select("key", "v", F.coalesce("component", "v").alias("c"))
         mixed_ = labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y")
         return found, cut(labelled.join(mixed_.select("key"), "key", "left_semi"))
 
@@ -358,17 +346,17 @@ def near_documents(
     linked = cut(similar(tried, texts))
     found, now = unsettled(linked)
     if not now.isEmpty():
-        bags = cut(shared_part(cut(bags_of(texts.join(now.select("v").distinct(), "v")))))
-        sized = now.join(bags.drop("bag"), "v")
-        centres = sized.groupBy("key").agg(F.max_by("v", F.struct(
-            F.col("shared") / F.col("weight"), "v")).alias("centre"))
+        full = now.groupBy("key").agg(F.count("*").alias("_n"))
+        met = now.join(full, "key").groupBy("v").agg(F.sum("_n").alias("_met"))
+        centres = now.join(met, "v").groupBy("key").agg(F.max_by("v", F.struct("_met", "v")).alias("centre"))
         pairs = cut(to_centre(now.join(centres, "key"), "centre").join(tried, ["a", "b"], "left_anti"))
         linked = cut(linked.unionByName(similar(pairs, texts)))
         found, now = unsettled(linked)
     if not now.isEmpty():
+        bags = cut(bags_of(texts.join(now.select("v").distinct(), "v")).withColumn("weight", F.size("bag")))
         new = cut(links_in_tiles(now, bags))
-        found = cut(components(linked.unionByName(new)))
-    of = flat.select("v", "_h1", "_h2", "_least").join(light(found), "v", "left").withColumn(
+        found = components(linked.unionByName(new))
+    of = flat.select("v", "_h1", "_h2", "_least").join(found, "v", "left").withColumn(
         "component", F.coalesce("component", "v"))
     tops = of.groupBy("component").agg(F.min("_least").alias("_top"))
     done = of.join(tops, "component").select("_h1", "_h2", "_top", F.lit(True).alias("_in"))
