@@ -9,7 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from munim.llm.support import components, cut, light, number_rows, ship
+from munim.llm.support import components, cut, gathered, light, number_rows, ship
 from munim.operators.ordered import running_total
 
 ship(__name__)
@@ -253,12 +253,12 @@ def links_in_tiles(now: DataFrame, bags: DataFrame) -> DataFrame:
     """
     low = now.groupBy("key").agg(F.min("v").alias("lo"))
     groups = components(now.join(low, "key").select(F.col("v").alias("a"), F.col("lo").alias("b")))
-    sized = cut(groups.withColumnRenamed("component", "g").join(bags.select("v", "weight"), "v"))
-    tiles = cut(running_total(
+    sized = gathered(groups.withColumnRenamed("component", "g").join(bags.select("v", "weight"), "v"))
+    tiles = gathered(running_total(
         sized, ["g"], ["v"], [F.floor(F.col("v") / 10_000)], {"at": 1 + F.col("weight") / 1_000},
     ).select("g", "v", F.floor(F.col("at") / TILE).alias("tile")))
     met = now.join(tiles, "v").select("key", "g", "tile").distinct()
-    pairs = cut(met.select("key", "g", F.col("tile").alias("t")).join(
+    pairs = gathered(met.select("key", "g", F.col("tile").alias("t")).join(
         met.select("key", F.col("tile").alias("u")), "key").where("t <= u").select("g", "t", "u").distinct())
     rows = tiles.join(bags, "v")
 
@@ -316,12 +316,12 @@ def near_documents(
                           F.first("bands").alias("bands")))
     flat = cut(number_rows(classes.withColumn("_all", F.lit(1)), "_all", ["_h1", "_h2"], "v",
                            classes.count()).drop("_all"))
-    weights = cut(flat.select("v", "weight"))
+    weights = gathered(flat.select("v", "weight"))
     sizes = light(weights)
     banded = flat.select("v", F.posexplode("bands").alias("i", "h")).select(
         "v", F.xxhash64("i", "h").alias("key"))
     ends = banded.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi")
-    members = cut(banded.join(ends.drop("hi"), "key"))
+    members = gathered(banded.join(ends.drop("hi"), "key"))
     wanted = cut(flat.join(members.select("v").distinct(), "v").select("v", "_h1", "_h2", "_least"))
     texts = cut(rows.join(light(wanted), ["_h1", "_h2"]).where(F.col("_id").eqNullSafe(F.col("_least")))
                 .groupBy("v").agg(F.first("text").alias("text")))
@@ -340,17 +340,17 @@ def near_documents(
         found = components(linked)
         labelled = members.join(found, "v", "left").select("key", "v", F.coalesce("component", "v").alias("c"))
         mixed_ = labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y")
-        return found, cut(labelled.join(mixed_.select("key"), "key", "left_semi"))
+        return found, gathered(labelled.join(mixed_.select("key"), "key", "left_semi"))
 
-    tried = cut(to_centre(members, "lo"))
-    linked = cut(similar(tried, texts))
+    tried = gathered(to_centre(members, "lo"))
+    linked = gathered(similar(tried, texts))
     found, now = unsettled(linked)
     if not now.isEmpty():
         full = now.groupBy("key").agg(F.count("*").alias("_n"))
         met = now.join(full, "key").groupBy("v").agg(F.sum("_n").alias("_met"))
         centres = now.join(met, "v").groupBy("key").agg(F.max_by("v", F.struct("_met", "v")).alias("centre"))
-        pairs = cut(to_centre(now.join(centres, "key"), "centre").join(tried, ["a", "b"], "left_anti"))
-        linked = cut(linked.unionByName(similar(pairs, texts)))
+        pairs = gathered(to_centre(now.join(centres, "key"), "centre").join(tried, ["a", "b"], "left_anti"))
+        linked = gathered(linked.unionByName(similar(pairs, texts)))
         found, now = unsettled(linked)
     if not now.isEmpty():
         bags = cut(bags_of(texts.join(now.select("v").distinct(), "v")).withColumn("weight", F.size("bag")))

@@ -12,6 +12,8 @@ from munim.session import ensure_checkpoint_dir
 
 #: Rows that one window group may hold where a group is cut into salts.
 GROUP_ROWS = 10_000
+#: Rows of a few numbers in a partition of ``gathered``, and its least number of partitions.
+PART_ROWS, LEAST_PARTS = 200_000, 8
 #: Rows up to which a table of a few numbers a row is broadcast (some MB); beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -30,6 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """``cut(df)`` read in as few partitions as its rows need, so that small tables shuffle few files."""
+    df = cut(df)
+    return df.coalesce(max(LEAST_PARTS, -(-df.count() // PART_ROWS)))
+
+
 def light(df: DataFrame) -> DataFrame:
     """``df``, a written table of a few numbers a row, broadcast if it has few rows, else as it is."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -85,19 +93,19 @@ def components(edges: DataFrame) -> DataFrame:
     def rank(c: Column) -> Column:
         return F.struct(F.xxhash64(c).alias("h"), c.alias("v"))
 
-    left = cut(edges.where("a <> b").select("a", "b").distinct())
+    left = gathered(edges.where("a <> b").select("a", "b").distinct())
     rounds: list[DataFrame] = []
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy(F.col("a").alias("v")).agg(F.min(rank(F.col("b"))).alias("m")).select(
-            "v", F.least(rank(F.col("v")), F.col("m"))["v"].alias("p"))
+        hook = gathered(both.groupBy(F.col("a").alias("v")).agg(F.min(rank(F.col("b"))).alias("m")).select(
+            "v", F.least(rank(F.col("v")), F.col("m"))["v"].alias("p")))
         for _ in range(2):
             up = hook.select(F.col("v").alias("p"), F.col("p").alias("_up"))
             hook = hook.join(up, "p").select("v", F.col("_up").alias("p"))
-        hook = cut(hook)
+        hook = gathered(hook)
         rounds.append(hook)
         a, b = (hook.select(F.col("v").alias(k), F.col("p").alias(f"_{k}")) for k in "ab")
-        left = cut(left.join(a, "a").join(b, "b").where("_a <> _b").select(
+        left = gathered(left.join(a, "a").join(b, "b").where("_a <> _b").select(
             F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
     if not rounds:
         return edges.sparkSession.createDataFrame([], "v long, component long")
