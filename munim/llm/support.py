@@ -14,6 +14,8 @@ from munim.session import ensure_checkpoint_dir
 GROUP_ROWS = 10_000
 #: Rows of a few numbers in a partition of ``gathered``, and its least number of partitions.
 PART_ROWS, LEAST_PARTS = 200_000, 8
+#: Partitions up to which ``gathered`` leaves a table as it is.
+MANY_PARTS = 64
 #: Rows up to which a table of a few numbers a row is broadcast (some MB); beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -33,8 +35,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def gathered(df: DataFrame) -> DataFrame:
-    """``cut(df)`` read in as few partitions as its rows need, so that small tables shuffle few files."""
+    """``cut(df)``, read in as few partitions as its rows need where there are many: small tables shuffle few files."""
     df = cut(df)
+    if df.rdd.getNumPartitions() <= MANY_PARTS:
+        return df
     return df.coalesce(max(LEAST_PARTS, -(-df.count() // PART_ROWS)))
 
 
