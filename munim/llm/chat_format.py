@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from munim.functions.binding import let
 
 START, MESSAGE, NEXT, END = "<|start|>", "<|message|>", "<|next|>", "<|end|>"
 
@@ -38,15 +40,26 @@ def format_chats(
     for each text of role ``trained``.  Other columns are not carried.  A conversation is one
     output row and has to fit into one, as any result of this shape has to.
     """
+    order = W.partitionBy("_id").orderBy("turn", "role", "text")
+    other = lambda shifted: ~shifted.over(order).eqNullSafe(F.col("role"))
     turns = rows.select(
-        F.col(id_col).alias("_id"),
-        F.struct(F.col(turn_col).alias("turn"), _text(F.col(role_col)).alias("role"),
-                 _text(F.col(text_col)).alias("text")).alias("_t"),
-    ).groupBy("_id").agg(F.array_sort(F.collect_list("_t")).alias("_turns"))
-    size = F.size("_turns")
-    starts = F.filter(
-        F.sequence(F.lit(1), size),
-        lambda i: (i == 1) | (F.get("_turns", i - 1)["role"] != F.get("_turns", i - 2)["role"]))
+        F.col(id_col).alias("_id"), F.col(turn_col).alias("turn"), _text(F.col(role_col)).alias("role"),
+        _text(F.col(text_col)).alias("text"),
+    ).select(
+        "*", F.row_number().over(order).alias("n"), other(F.lag("role")).alias("first"),
+        other(F.lead("role")).alias("last"),
+    ).select(
+        "*", F.length(escape(F.col("text"))).cast("long").alias("length"),
+        F.when(F.col("last"), len(END)).otherwise(0).alias("_behind"),
+        F.when(F.col("first"), len(START) + F.length(escape(F.col("role"))) + len(MESSAGE))
+        .otherwise(len(NEXT)).alias("_before"))
+    # Places of the texts are running sums over the sorted rows, not a fold over the array.
+    so_far = F.sum(F.col("_before") + F.col("length") + F.col("_behind")).over(
+        order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    turns = turns.withColumn("start", so_far - F.col("_behind") - F.col("length")).groupBy("_id").agg(
+        F.array_sort(F.collect_list(F.struct("n", "role", "text", "first", "last", "start", "length")))
+        .alias("_turns"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("_turns")), lambda i: F.get("_turns", i - 1)["first"])
     turns = turns.withColumn("_starts", starts)
 
     def message(first: Column, k: Column) -> Column:
@@ -55,33 +68,17 @@ def format_chats(
         return F.struct(F.get("_turns", first - 1)["role"].alias("role"),
                         F.transform(part, lambda t: t["text"]).alias("texts"))
 
-    messages = turns.withColumn("messages", F.transform("_starts", message))
-    shown = F.transform("messages", lambda m: F.struct(
-        m["role"].alias("role"),
-        F.concat(F.lit(START), escape(m["role"]), F.lit(MESSAGE)).alias("head"),
-        F.transform(m["texts"], escape).alias("texts")))
-    out = messages.withColumn("_shown", shown).withColumn(
-        "formatted", F.array_join(F.transform("_shown", lambda m: F.concat(
-            m["head"], F.array_join(m["texts"], NEXT), F.lit(END))), ""))
-
-    # Lengths of the texts, each with the marks before it; then running sums over the texts.
-    parts = F.flatten(F.transform("_shown", lambda m: F.transform(m["texts"], lambda t, i: F.struct(
-        (m["role"] == trained).alias("loss"),
-        (F.when(i == 0, F.length(m["head"])).otherwise(len(NEXT))).alias("before"),
-        F.length(t).alias("length"),
-        F.when(i == F.size(m["texts"]) - 1, len(END)).otherwise(0).alias("behind")))))
-    begin = F.struct(F.lit(0).cast("long").alias("at"),
-                     F.array().cast("array<struct<start:long,length:long>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["before"]
-        span = F.array(F.struct(start.alias("start"), p["length"].cast("long").alias("length")))
-        return F.struct((start + p["length"] + p["behind"]).alias("at"),
-                        F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"])
-                        .alias("spans"))
-
-    return out.withColumn("loss_spans", F.aggregate(parts, begin, step)["spans"]).select(
-        F.col("_id").alias(id_col), "messages", "formatted", "loss_spans")
+    def shown(t: Column) -> Column:
+        head = F.concat(F.lit(START), escape(t["role"]), F.lit(MESSAGE))
+        return F.concat(F.when(t["first"], head).otherwise(NEXT), escape(t["text"]),
+                        F.when(t["last"], END).otherwise(""))
+
+    return turns.select(
+        F.col("_id").alias(id_col), F.transform("_starts", message).alias("messages"),
+        F.array_join(F.transform("_turns", shown), "").alias("formatted"),
+        F.transform(F.filter("_turns", lambda t: t["role"] == trained),
+                    lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length")))
+        .alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -99,6 +96,15 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, with nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(
-        F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped, with nothing between.
+
+    The text is cut as four bytes per code point, where a place is found without counting from
+    the start.
+    """
+    mark = F.unhex(F.lit("0000FEFF"))  # the byte order mark that decoding takes away
+
+    def cut(data: Column) -> Column:
+        return F.transform(spans, lambda s: unescape(F.decode(F.concat(mark, F.substring(
+            data, (4 * s["start"] + 1).cast("int"), (4 * s["length"]).cast("int"))), "UTF-32")))
+
+    return F.array_join(let(F.encode(formatted, "UTF-32"), cut), "")

@@ -271,6 +271,38 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_places_in_code_points(spark):
+    texts = ["\ufeffa", "\U0001f600<|end|>", "", "\ufeff", "e\u0301<", "|x"]
+    rows = [(1, k, ["assistant", "user", "assistant"][k % 3], t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    r = chat_format.format_chats(df).withColumn(
+        "loss", chat_format.read_loss(F.col("formatted"), F.col("loss_spans"))).first()
+    want = [t for _, _, role, t in rows if role == "assistant"]
+    assert r.loss == "".join(want) and len(r.loss_spans) == len(want)
+    for s, t in zip(r.loss_spans, want):
+        assert re.sub(r"<(\\*)\\\|", r"<\1|", r.formatted[s.start:s.start + s.length]) == t
+
+
+def test_chat_long_conversation(spark):
+    import time
+
+    def run(n):
+        rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(
+            F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+            F.concat(F.lit("\u00e9 text "), F.col("id").cast("string")).alias("text"))
+        start = time.monotonic()
+        r = chat_format.format_chats(rows).select(
+            F.size("loss_spans").alias("n"), F.sha2(chat_format.read_loss(
+                F.col("formatted"), F.col("loss_spans")), 256).alias("h"),
+            F.size(chat_format.read_turns(F.col("formatted"))).alias("turns")).first()
+        want = "".join(f"\u00e9 text {k}" for k in range(1, n, 2))
+        assert (r.n, r.turns, r.h) == (n // 2, n, hashlib.sha256(want.encode()).hexdigest())
+        return time.monotonic() - start
+
+    run(5_000)
+    assert run(100_000) < 20 * (run(5_000) + 1)  # with squared work: 400 times
+
+
 def test_chat_forged_marks(spark, sf):
     row = Q.op4(spark, sf).where("conv_id = -7").first()
     turns = "".join(f"{r}\n{Q.FORGED}\n" for r in ("user", "assistant"))
