@@ -7,9 +7,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from munim.llm.support import ship
+from munim.llm.support import fresh, least_hashed, ship
 
 ship(__name__)
 
@@ -115,14 +115,13 @@ def train(
     """Trees learnt from a sample of rows with a text and a language.
 
     The sample holds at most ``texts`` texts per language, chosen by a hash of their ids among
-    those of at most ``chars`` characters; its size does not grow with the table.
+    those of at most ``chars`` characters; its size does not grow with the table.  Of several
+    texts under one id (null ids are one) the least stands for all.
     """
-    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    sample = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-                             F.col(lang_col).alias("lang")).where(
-        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= chars)
-    ).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= texts)
-    return grow(gram_counts(sample))
+    known = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"),
+                            F.col(text_col).alias("text")).where(
+        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= chars))
+    return grow(gram_counts(least_hashed(known, "lang", texts)))
 
 
 def code_lengths(trees: Trees, texts: list[bytes]) -> np.ndarray:
@@ -180,5 +179,6 @@ def identify(docs: DataFrame, trees: Trees, *, text_col: str = "text") -> DataFr
             yield pd.DataFrame({"lang_pred": pred, "score": score})
 
     text = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col))
-    rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "_p")]
-    return docs.withColumn("_p", predict(text)).select(*rest, "_p.lang_pred", "_p.score")
+    rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    (both,) = fresh(docs, "_p")
+    return docs.withColumn(both, predict(text)).select(*rest, f"{both}.lang_pred", f"{both}.score")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from munim.llm.support import cut, word_count
+from munim.llm.support import cut, fresh, word_count
 
 #: log2 of the sketch's registers; its relative error is about 1.04 / sqrt(2 ** LG_K).
 LG_K = 12
@@ -76,19 +76,21 @@ def remove_boilerplate(
     wide = widespread(rows)
     hits = rows.drop("_site", "_need").join(wide, ["_h1", "_h2"]).where(
         ~F.col("_id").eqNullSafe(F.col("_first"))).groupBy("_id", "_doc").agg(
-        F.collect_set("_pos").alias("_gone")).withColumnsRenamed({"_id": "_hit", "_doc": "_hit_doc"})
+        F.collect_set("_pos").alias("_gone"))
+    doc, hit, hit_doc, gone = fresh(docs, "_doc", "_hit", "_hit_doc", "_gone")
+    hits = hits.withColumnsRenamed({"_id": hit, "_doc": hit_doc, "_gone": gone})
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    whole = docs.select(*keep).withColumn("_doc", F.xxhash64(text_col))
+    whole = docs.select(*keep).withColumn(doc, F.xxhash64(text_col))
     joined = whole.join(
-        hits, F.col(id_col).eqNullSafe(F.col("_hit")) & (F.col("_doc") == F.col("_hit_doc")), "left")
+        hits, F.col(id_col).eqNullSafe(F.col(hit)) & (F.col(doc) == F.col(hit_doc)), "left")
     parts = F.split(F.col(text_col), "\n")
     # array_except compares by hash and keeps order; positions are distinct.
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
     cleaned = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
     full = F.size(F.filter(parts, lambda x: F.trim(x) != ""))
     return joined.select(
-        *[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(cleaned).alias(c)
+        *[F.when(F.col(gone).isNull(), F.col(c)).otherwise(cleaned).alias(c)
           if c == text_col else F.col(c) for c in keep],
         F.when(F.col(text_col).isNull(), 0).otherwise(full).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")
         .alias("n_removed"))

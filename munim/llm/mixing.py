@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from munim.llm.support import GROUP_ROWS, cut, word_count
+from munim.llm.support import GROUP_ROWS, cut, fresh, word_count
 from munim.operators.ordered import running_total
 
 #: Least quality weight, so that every document has a finite key.
@@ -88,17 +88,18 @@ def mix(
     slices = max(1, -(-most // GROUP_ROWS))
     draw = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), "size"), F.lit(1 << 53)) + 0.5) / (1 << 53)
     key = -F.log(draw) / F.col("quality")
-    plain = sized.drop("source_no", "docs", "source_size", "target", "taken")
-    of = targets.withColumnRenamed("source", "_source")
-    rows = plain.join(of, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_key", key)
-    slice_ = F.floor((1 - F.exp(-F.col("_key"))) * slices).cast("long")
-    summed = running_total(rows, ["source_no"], ["_key", id_col], [slice_], {"_upto": F.col("size")})
+    plain = sized.drop("source_size", "target", "taken")
+    source, no, docs, key_col, upto = fresh(sized, "_source", "source_no", "docs", "_key", "_upto")
+    of = targets.withColumnsRenamed({"source": source, "source_no": no, "docs": docs})
+    rows = plain.join(of, F.col(source_col).eqNullSafe(F.col(source))).withColumn(key_col, key)
+    slice_ = F.floor((1 - F.exp(-F.col(key_col))) * slices).cast("long")
+    summed = running_total(rows, [no], [key_col, id_col], [slice_], {upto: F.col("size")})
     epochs = F.when(F.col("source_size") > 0, F.floor(
         F.col("target") / F.nullif("source_size", F.lit(0)))).otherwise(0).cast("long")
     part = F.floor(F.col("target") - epochs * F.col("source_size")).cast("long")
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), part - (F.col("_upto") - F.col("size"))))
+    extra = F.greatest(F.lit(0), F.least(F.col("size"), part - (F.col(upto) - F.col("size"))))
     return summed.withColumn("taken", epochs * F.col("size") + extra).drop(
-        "_source", "source_no", "docs", "_key", "_upto")
+        source, no, docs, key_col, upto)
 
 
 def repeat_taken(mixed: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from munim.llm.support import ship
+from munim.llm.support import cut, least_hashed, ship
 
 ship(__name__)
 
@@ -96,19 +96,19 @@ def train(
 
     At most ``texts`` documents per label, of at most ``chars`` characters each, are chosen among
     the first ``2 * texts`` labelled ids in the order of a hash: that bounded sample is all that is
-    learnt from, and reaches the driver.
+    learnt from, and reaches the driver.  Of several texts under one id the least is taken.
     Two thirds fill the dictionaries, the rest fits the calibration.  Repeated labels of a
     document count once, as the largest.  With one label only, or none, the scores are flat.
     """
-    order = W.partitionBy("y").orderBy(F.xxhash64("id"), "id")
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(
-        F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
+        F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")).withColumn("h", F.xxhash64("id"))
     # At most 4 * texts ids: small enough to be sent to every task that reads the documents.
-    drawn = F.broadcast(known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2 * texts))
-    again = W.partitionBy("y").orderBy("n", "text")
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
-        F.col("text").isNotNull() & (F.length("text") <= chars)).join(drawn, "id").withColumn(
-        "n", F.row_number().over(again)).where(F.col("n") <= texts).orderBy("y", "n").toPandas()
+    drawn = F.broadcast(least_hashed(known, "y", 2 * texts))
+    found = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
+        F.col("text").isNotNull() & (F.length("text") <= chars)).join(drawn, "id").select(
+        "y", "h", "text"))
+    sample = least_hashed(found, "y", texts).orderBy("y", "h").toPandas()
+    sample["n"] = sample.groupby("y").cumcount() + 1
     fill = sample["n"] % 3 != 0
 
     def dictionary(rows: pd.DataFrame, limit: int) -> bytes:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from munim.session import ensure_checkpoint_dir
 
@@ -44,6 +45,42 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until they clash with no column of ``df``, compared without case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def least_hashed(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """The rows of the ``k`` least values of the hash ``h`` in each ``key`` (few keys, not null).
+
+    Of rows with equal key and hash the one with least other columns stays.  A hash below which a
+    key has at least ``k`` values, and not twice as many, comes from a merged count of distinct
+    hashes; only rows below it are shuffled, so that a key holding most rows needs no group of its
+    own.  The hashes left, under ``2 * k + 200`` a key, are ranked by the driver.
+    """
+    share = (k + 6 * k ** 0.5) * 1.1 / F.col("_n")
+    limits = rows.groupBy(key).agg(F.approx_count_distinct("h", 0.02).alias("_n")).select(
+        key, F.when(share < 0.9, (share * 2.0 ** 64 - 2.0 ** 63).cast("long"))
+        .otherwise((1 << 63) - 1).alias("_limit"))
+    rest = F.struct(*[c for c in rows.columns if c not in (key, "h")])
+    near = cut(rows.join(F.broadcast(limits), key).where(F.col("h") <= F.col("_limit")).groupBy(
+        key, "h").agg(F.min(rest).alias("_rest")))  # one limit a key
+    hashes: dict = {}
+    for value, h in near.select(key, "h").collect():
+        hashes.setdefault(value, []).append(h)
+    last = rows.sparkSession.createDataFrame(
+        [(value, sorted(hs)[:k][-1]) for value, hs in hashes.items()],
+        StructType([StructField(key, rows.schema[key].dataType), StructField("_limit", LongType())]))
+    return near.join(F.broadcast(last), key).where(F.col("h") <= F.col("_limit")).select(
+        key, "h", "_rest.*")
+
+
 def word_count(text: Column) -> Column:
     """Number of runs outside ASCII white space; null counts as 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -6,6 +6,8 @@ import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from munim.llm.support import fresh
+
 #: Hexadecimal digits of a digest that the join compares; the full digest is confirmed after it.
 PREFIX_DIGITS = 8
 
@@ -76,10 +78,11 @@ def judge(
         "host", "path",
         F.sha2(F.concat("_suffix", "_prefix"), 256).alias("_digest"),
     ).withColumn("_short", F.substring("_digest", 1, PREFIX_DIGITS))
+    (found,) = fresh(pages, "_best")
     best = expressions.join(ruled, "_short").where("_digest = _full").groupBy("host", "path").agg(
-        F.max_by(F.struct("_rule", "_action"), F.struct(F.length("_rule"), "_labels")).alias("_best"))
-    rest = [c for c in judged.columns if c not in ("rule", "verdict")]
+        F.max_by(F.struct("_rule", "_action"), F.struct(F.length("_rule"), "_labels")).alias(found))
+    rest = [c for c in judged.columns if c.lower() not in ("rule", "verdict")]
     return judged.select(*rest).join(best, ["host", "path"], "left").select(
         *[c for c in rest if c not in ("host", "path")], "host", "path",
-        F.col("_best._rule").alias("rule"),
-        F.coalesce("_best._action", F.lit(default)).alias("verdict"))
+        F.col(f"{found}._rule").alias("rule"),
+        F.coalesce(f"{found}._action", F.lit(default)).alias("verdict"))

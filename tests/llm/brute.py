@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import zstandard
 
 
 def words(text: str | None) -> list[bytes]:
@@ -164,6 +165,55 @@ def collocations(rows, longest: int = 3, least: int = 10, top: int = 2000, cover
             for rank, (s, a, p, l, r) in enumerate(sorted(v)[:top], 1)]
 
 
+def ppm_bits(texts: dict[str, list[str]], text: str, order: int = 3, least: int = 2) -> dict[str, float]:
+    """Code length of ``text`` under each language's tree, context by context."""
+    after = {lang: collections.defaultdict(collections.Counter) for lang in texts}
+    every: collections.Counter = collections.Counter()
+    alphabet = {10}
+    for lang, many in texts.items():
+        for t in many:
+            b = b"\n" * order + t.encode()
+            alphabet |= set(b)
+            for i in range(order, len(b)):
+                for n in range(order + 1):
+                    after[lang][tuple(b[i - n:i])][b[i]] += 1
+                    every[tuple(b[i - n:i])] += 1
+    others = max(256 - len(alphabet), 1)
+
+    def share(lang, context, symbol):
+        if context is None:
+            return (others if symbol is None else 1) / (len(alphabet) + others)
+        shorter = context[1:] if context else None
+        seen = after[lang].get(context)
+        if every[context] < (least if len(context) == order else 1) or not seen:
+            return share(lang, shorter, symbol)
+        total, kinds = seen.total(), len(seen)
+        if symbol in seen:
+            return seen[symbol] / (total + kinds)
+        left = 1 - sum(share(lang, shorter, s) for s in seen)
+        return share(lang, shorter, symbol) / left * kinds / (total + kinds)
+
+    b = [x if x in alphabet else None for x in b"\n" * order + text.encode()]
+    return {lang: -sum(np.log2(share(lang, tuple(b[i - order:i]), b[i]) / (others if b[i] is None else 1))
+                       for i in range(order, len(b))) for lang in texts}
+
+
+def compressed_score(text: str | None, good: bytes, bad: bytes, mean: float, slope: float, intercept: float,
+                     level: int = 6, piece: int = 2048, shrink: int = 150) -> float:
+    """Score of one text, by a new compressor for every piece."""
+    data = (text or "").encode()
+    size = {}
+    for raw in (good, bad):
+        size[raw] = 0
+        for k in range(0, len(data), piece):
+            words = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            size[raw] += len(zstandard.ZstdCompressor(
+                level=level, dict_data=words, write_content_size=False, write_dict_id=False
+            ).compress(data[k:k + piece]))
+    x = (size[bad] - size[good] + shrink * mean) / (len(data) + shrink)
+    return 1 / (1 + np.exp(-(slope * x + intercept)))
+
+
 def lexical(docs, items, k: int = 20) -> dict[int, list]:
     """Item number -> [(doc_id, score)] best first, of rows (id, text)."""
     def terms(text):

@@ -455,6 +455,58 @@ def test_language_trees_are_distributions():
     assert np.abs(mass - 1).max() < 1e-5
 
 
+def test_language_code_lengths(spark):
+    rows = [(k, t, lang) for lang, texts in {
+        "en": ["the cat and the dog went to the house", "a dog", "this and that\nthen"],
+        "fr": ["le chat et le chien sont dans la maison", "\u00e9t\u00e9 \u00e0 la mer", "a"],
+        "x": ["zz"]}.items() for k, t in enumerate(texts)]
+    trees = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    learnt = collections.defaultdict(list)
+    for _, t, lang in rows:
+        learnt[lang].append(t)
+    asked = ["the dog", "la mer", "q", "z", "\u6f22\u5b57 the", "no such word\n\n\nthe cat", "a" * 300]
+    got = language_id.code_lengths(trees, [t.encode() for t in asked])
+    for bits, t in zip(got, asked):
+        want = brute.ppm_bits(learnt, t)
+        assert np.allclose(bits, [want[lang] for lang in trees.languages], rtol=1e-4, atol=1e-3)
+        pred = language_id.identify(spark.createDataFrame([(t,)], "text string"), trees).first()
+        assert pred.lang_pred == min(sorted(want), key=want.get)
+        assert pred.score == pytest.approx(1 / sum(2 ** (min(want.values()) - b) for b in want.values()), abs=1e-3)
+
+
+def test_least_hashed(spark):
+    """One key holds most rows; repeated rows count once; the plan has no window over the key."""
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 50 == 0, "rare").otherwise("hot").alias("lang"),
+        F.xxhash64(F.col("id")).alias("h"), F.col("id").alias("doc_id"))
+    rows = rows.unionByName(rows.where("doc_id < 9000")).unionByName(
+        rows.limit(1).select(F.lit("one").alias("lang"), "h", "doc_id"))
+    for k in (400, 5000):
+        out = support.least_hashed(rows, "lang", k)
+        got = {lang: sorted(h for x, h in out.select("lang", "h").collect() if x == lang) for lang in ("hot", "rare", "one")}
+        for lang in got:
+            assert got[lang] == sorted({r.h for r in rows.where(F.col("lang") == lang).collect()})[:k]
+        assert "Window" not in out._jdf.queryExecution().toString()
+    assert support.least_hashed(rows.limit(0), "lang", 3).count() == 0
+
+
+def test_clashing_names(spark):
+    """Columns named like an operator's own ones, in any case, come out as they went in."""
+    names = ["_doc", "_HIT", "_gone", "docs", "Source_No", "_key", "_best", "_P", "_source"]
+    df = spark.range(3).select(
+        F.col("id").alias("doc_id"), F.lit("a text\nof lines").alias("text"), F.lit("s").alias("source"),
+        F.lit("http://x.com/y").alias("url"), F.lit("r").alias("Rule"), F.lit(3).cast("long").alias("size"),
+        F.lit(0.5).alias("quality"), *[F.lit(n).alias(n) for n in names])
+    rules = spark.sql("SELECT 'allow' AS action, 'com' AS host, '/' AS path")
+    trees = language_id.train(spark.createDataFrame([(1, "a text", "en")], "doc_id long, text string, lang string"))
+    for out in (line_dedup.remove_boilerplate(df), mixing.mix(df), url_filter.judge(df, rules),
+                language_id.identify(df, trees)):
+        assert out.count() == 3
+        for n in names:
+            assert {r[0] for r in out.select(n).collect()} == {n}
+    assert {r[0] for r in url_filter.judge(df, rules).select("rule").collect()} == {"com/"}
+
+
 def test_language_held_out(spark):
     rows = Q.op7(spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
@@ -528,6 +580,16 @@ def test_quality_held_out(spark):
     assert all((r.score >= 0.7) == (r.predicted == 1) for r in got)
 
 
+def test_quality_scores(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    asked = [None, "", "a", "some words. " * 900] + [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
+    rows = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    for r in quality.score(rows, model).collect():
+        want = brute.compressed_score(asked[r.doc_id], model.good, model.bad, model.mean, model.slope, model.intercept)
+        assert r.score == pytest.approx(want, abs=1e-9) and r.predicted == (r.score >= 0.7)
+
+
 def test_quality_awkward_rows(spark):
     docs = spark.createDataFrame(
         [(k, "a sound sentence about things" if k % 2 else "$$$ ### %%% &&&", "z") for k in range(80)]
