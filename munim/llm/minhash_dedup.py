@@ -9,7 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from munim.llm.support import components, cut, light, number_rows, ship
+from munim.llm.support import components, cut, fresh, light, number_rows, ship, word_count
 from munim.operators.ordered import running_total
 
 ship(__name__)
@@ -309,8 +309,44 @@ def near_documents(
     links join leaves a task.  So no candidate is left out, while groups of copies propose
     about as many pairs as members.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h1"),
+    rows = _hashed(docs, id_col, text_col)
+    of = _grouped(rows)
+    tops = of.groupBy("component").agg(F.min("_least").alias("_top"))
+    done = of.join(tops, "component").select("_h1", "_h2", "_top", F.lit(True).alias("_in"))
+    top = F.when(F.col("_in"), F.col("_top")).otherwise(F.col("_id"))
+    return rows.drop("text").join(done, ["_h1", "_h2"], "left").select(
+        F.col("_id").alias(id_col), top.alias("class_id"),
+        F.col("_id").eqNullSafe(top).alias("kept"))
+
+
+def one_per_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one row of each class of ``near_documents``, all columns as they were.
+
+    A class keeps a row of its least id (null last) and, where several of its texts have that id,
+    the text of least hash; of repeated rows with that id and text, one.  Unlike ids, classes tell
+    apart different texts under one id and hold rows with null ids.  Rows whose text is null or
+    has no words all stay.  An empty table gives an empty result.
+    """
+    of = _grouped(_hashed(docs, id_col, text_col))
+    first = of.groupBy("component").agg(F.min(F.struct(
+        F.col("_least").isNull(), F.col("_least"), F.col("_h1"), F.col("_h2"))).alias("_f")).select(
+        "_f._least", "_f._h1", "_f._h2")
+    least, h1, h2 = fresh(docs, "_least", "_h1", "_h2")
+    first = first.withColumnsRenamed({"_least": least, "_h1": h1, "_h2": h2})
+    words = word_count(F.col(text_col)) > 0
+    named = docs.where(words).withColumns({
+        h1: F.xxhash64(text_col), h2: F.xxhash64(F.lit(1), text_col)}).join(first, [h1, h2]).where(
+        F.col(id_col).eqNullSafe(F.col(least))).dropDuplicates([h1, h2])
+    return named.select(*docs.columns).unionByName(docs.where(~words))
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h1"),
                        F.xxhash64(F.lit(1), text_col).alias("_h2"), F.col(text_col).alias("text"))
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Each different text with words: hashes, least id and component."""
     classes = cut(sign(rows.where(F.col("text").isNotNull())).where("weight > 0").groupBy(
         "_h1", "_h2").agg(F.min("_id").alias("_least"), F.first("weight").alias("weight"),
                           F.first("bands").alias("bands")))
@@ -356,11 +392,5 @@ def near_documents(
         bags = cut(bags_of(texts.join(now.select("v").distinct(), "v")).withColumn("weight", F.size("bag")))
         new = cut(links_in_tiles(now, bags))
         found = components(linked.unionByName(new))
-    of = flat.select("v", "_h1", "_h2", "_least").join(found, "v", "left").withColumn(
+    return flat.select("v", "_h1", "_h2", "_least").join(found, "v", "left").withColumn(
         "component", F.coalesce("component", "v"))
-    tops = of.groupBy("component").agg(F.min("_least").alias("_top"))
-    done = of.join(tops, "component").select("_h1", "_h2", "_top", F.lit(True).alias("_in"))
-    top = F.when(F.col("_in"), F.col("_top")).otherwise(F.col("_id"))
-    return rows.drop("text").join(done, ["_h1", "_h2"], "left").select(
-        F.col("_id").alias(id_col), top.alias("class_id"),
-        F.col("_id").eqNullSafe(top).alias("kept"))

@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 @pytest.fixture(scope="module")
 def steps(spark, sf, tmp_path_factory):
     folder = tmp_path_factory.mktemp("stages")
+    written, store = {}, P.store
+    P.store = lambda df, name: written.setdefault(name, store(df, name))
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = {"documents": docs}
     for name, stage in P.STAGES:
         stage(spark, docs, sf).write.parquet(str(folder / name))
         docs = out[name] = spark.read.parquet(str(folder / name))
-    return out
+    P.store = store
+    return out | written
 
 
 def rows(df):
@@ -77,6 +80,34 @@ def test_near_duplicates(steps):
     assert sorted(rows(steps["near_dedup"])) == [r for k, r in enumerate(given) if root[k] == k]
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark, sf):
+    def text(name, n=40):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    near = text("a") + " end"
+    given = [(1, text("a")), (1, text("b")), (2, near), (None, text("a")), (None, text("c")), (None, text("c")),
+             (None, text("d")), (5, text("b")), (5, text("b")), (6, text("e")), (6, text("e")), (7, None), (7, None),
+             (8, ""), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 2) for i, t in given],
+                                 "doc_id long, text string, lang string, source string, n_chars long, _H1 int")
+    got = collections.Counter((r.doc_id, r.text) for r in P.one_of_each_group(spark, docs, sf).collect())
+    assert got == collections.Counter([(1, text("a")), (1, text("b")), (None, text("c")), (None, text("d")),
+                                       (6, text("e")), (7, None), (7, None), (8, ""), (None, " ")])
+
+
+def test_awkward_and_empty_tables(spark, sf):
+    """All stages on nulls in every column, repeated rows and a column more; and on no rows at all."""
+    given = [(None, None, None, None, None, 0), (None, "a b", None, None, None, 0), (3, "", "en", "s", 0, 1),
+             (4, "x " * 100_000, "en", "s", 9, 1), (4, "x " * 100_000, "en", "s", 9, 1), (-5, "one more", None, "t", 8, 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, Size int"
+    for docs in (spark.createDataFrame(given, schema), spark.createDataFrame([], schema)):
+        some = not docs.isEmpty()
+        for _, stage in P.STAGES[1:]:
+            docs = stage(spark, docs, sf).checkpoint()
+            assert some or docs.isEmpty()
+        assert not some or docs.agg(F.sum("length")).first()[0] > 0
+
+
 def test_mix(steps):
     given, got = rows(steps["near_dedup"]), collections.Counter(rows(steps["mixing"]))
     assert set(got) <= set(given)
