@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from munim.llm import line_dedup, minhash_dedup, mixing, packing, quality
 from munim.llm.queries import tokenizer_file
-from munim.llm.support import held_out
+from munim.llm.support import held_out, store
 from munim.session import ensure_checkpoint_dir
 
-#: The stages before the sequences keep exactly these columns.
+#: All stages but the last keep exactly these columns.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Sites from which a passage of over 50 words goes; shorter lines go from 10.
 PASSAGE_SITES = 3
@@ -36,11 +36,8 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of least id; null ids all stay."""
-    kept = minhash_dedup.near_documents(docs).where("kept AND doc_id IS NOT NULL").select(
-        "doc_id").distinct()
-    named = docs.join(kept, "doc_id").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    """One document of each group of near-duplicates: the one of least id, null last."""
+    return minhash_dedup.one_per_class(docs).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,14 +48,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Padded sequences of at most 2048 token ids of all documents, and the pieces in each."""
-    placed = packing.pack(packing.pieces(docs, tokenizer_file(), shrunk=True))
-    return packing.sequences(placed, shrunk=True)
-
+    """Places and checksums of the token pieces of all documents, read from the written sequences.
 
-def pieces_of(spark: SparkSession, sequences: DataFrame, sf_dir: str) -> DataFrame:
-    """Places and checksums of the token pieces, read from the written sequences."""
-    return packing.digests(sequences)
+    The padded sequences of at most 2048 ids are written to the shared folder as Parquet, named
+    ``sequences-`` and a number of its own.
+    """
+    placed = packing.pack(packing.pieces(docs, tokenizer_file(), shrunk=True))
+    return packing.digests(store(packing.sequences(placed, shrunk=True), "sequences"))
 
 
 STAGES = [
@@ -66,8 +62,7 @@ STAGES = [
     ("line_dedup", without_boilerplate),
     ("near_dedup", one_of_each_group),
     ("mixing", mixed),
-    ("sequences", packed),
-    ("packing", pieces_of),
+    ("packing", packed),
 ]
 
 #: Compression, MinHash, hashed sampling keys and tokenization are beyond SQL.
