@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from munim.functions import money
 from munim.functions.dates import month_start
-
-KEY = "statement_id"
+from munim.operators.rollup import KEY, month_rollup, rupees
 
 
 def only(df: DataFrame, direction: str) -> DataFrame:
@@ -98,8 +97,8 @@ def monthly_series(df: DataFrame, value: str = "debit", keys: list[str] | None =
     return fill_months(sums, keys)
 
 
-def fill_months(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """Insert a zero row for each month missing between a key's first and last ``ds``.
+def fill_months(sums: DataFrame, keys: list[str], values: tuple[str, ...] = ("y",)) -> DataFrame:
+    """Insert a row of zeros for each month missing between a key's first and last ``ds``.
 
     Each row emits the empty months up to its successor, so no join is needed and
     the work per row is bounded by the gap.
@@ -109,12 +108,12 @@ def fill_months(sums: DataFrame, keys: list[str]) -> DataFrame:
         F.col("_next") > F.add_months("ds", 1),
         F.sequence(F.add_months("ds", 1), F.add_months("_next", -1), F.expr("interval 1 month")),
     )
+    zeros = [F.lit(0).cast(sums.schema[v].dataType).alias(v) for v in values]
     months = F.concat(
-        F.array(F.struct(F.col("ds"), F.col("y"))),
-        F.coalesce(F.transform(gap, lambda d: F.struct(d.alias("ds"), F.lit(0.0).alias("y"))),
-                   F.expr("array()")),
+        F.array(F.struct("ds", *values)),
+        F.coalesce(F.transform(gap, lambda d: F.struct(d.alias("ds"), *zeros)), F.expr("array()")),
     )
-    return sums.withColumn("_next", nxt).select(*keys, F.inline(months).alias("ds", "y"))
+    return sums.withColumn("_next", nxt).select(*keys, F.inline(months).alias("ds", *values))
 
 
 def month_count(df: DataFrame) -> DataFrame:
@@ -125,13 +124,18 @@ def month_count(df: DataFrame) -> DataFrame:
 
 def category_monthly_avg(df: DataFrame) -> DataFrame:
     """Mean monthly spend per category and the whole-rupee budget suggested from it."""
-    per_month = category_month_matrix(df)
-    months = per_month.select(KEY, "month").distinct().groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("n_months")
-    )
-    spent = per_month.groupBy(KEY, "category").agg(money.total(F.col("spent")).alias("_total"))
+    return category_monthly_avg_of(month_rollup(df))
+
+
+def category_monthly_avg_of(rollup: DataFrame) -> DataFrame:
+    """``category_monthly_avg`` from a roll-up: categories and months of a statement meet in one window."""
+    w = W.partitionBy(KEY)
+    months = F.size(F.collect_set(F.struct("month")).over(w))  # null is a month of its own
+    cells = only(rollup, "debit").withColumn("n_months", months)
+    spent = cells.groupBy(KEY, "category").agg(
+        rupees(F.sum("debit")).alias("_total"), F.max("n_months").alias("n_months"))
     avg = F.col("_total") / F.col("n_months")
-    return spent.join(months, KEY).select(
+    return spent.select(
         KEY, "category", avg.alias("monthly_avg"),
         F.greatest(money.round_even(avg), F.lit(1.0)).cast("bigint").alias("suggested_budget"),
     )
@@ -239,9 +243,19 @@ def biggest_riser(mom: DataFrame, threshold: float = 10.0) -> DataFrame:
 
 def mom_total(df: DataFrame, direction: str) -> DataFrame:
     """Latest against previous month total of one direction; null without a previous month."""
-    recent = two_latest_months(monthly_totals(df, direction))
-    at = lambda age: F.sum(F.when(F.col("_age") == age, F.col("total")))
-    wide = recent.groupBy(KEY).agg(at(2).alias("prev_total"), at(1).alias("curr_total"))
+    return mom_totals(month_rollup(df)).where(F.col("direction") == direction).drop("direction")
+
+
+def mom_totals(rollup: DataFrame) -> DataFrame:
+    """``mom_total`` of both directions from a roll-up."""
+    direction = F.col("transaction_type").alias("direction")
+    value = F.when(F.col("transaction_type") == "debit", F.col("debit")).otherwise(F.col("credit"))
+    per_month = rollup.where(F.col("transaction_type").isin("debit", "credit")).groupBy(
+        KEY, direction, "month").agg(rupees(F.sum(value)).alias("total"))
+    age = F.dense_rank().over(W.partitionBy(KEY, "direction").orderBy(F.desc("month")))
+    at = lambda k: F.sum(F.when(F.col("_age") == k, F.col("total")))
+    wide = per_month.withColumn("_age", age).where(F.col("_age") <= 2).groupBy(KEY, "direction").agg(
+        at(2).alias("prev_total"), at(1).alias("curr_total"))
     change = (F.col("curr_total") - F.col("prev_total")) / F.col("prev_total") * 100
     return wide.withColumn("pct_change", F.when(F.col("prev_total") != 0, change))
 
@@ -253,15 +267,18 @@ def mom_lag(df: DataFrame) -> DataFrame:
 
 
 def budget_vs_actual(df: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Spend of the statement's latest month against budgets (statement, category, budget).
+    """Spend of the statement's latest month against budgets (statement, category, budget)."""
+    return budgets_of(month_rollup(df), budgets)
+
+
+def budgets_of(rollup: DataFrame, budgets: DataFrame) -> DataFrame:
+    """``budget_vs_actual`` from a roll-up.
 
     Budgets of categories the statement never used are skipped.
     """
-    per_month = category_month_matrix(df)
-    last = df.groupBy(KEY).agg(F.max(month_start(F.col("date"))).alias("_last"))
-    now = per_month.join(last, KEY).groupBy(KEY, "category").agg(
-        money.total_or_zero(F.when(F.col("month") == F.col("_last"), F.col("spent"))).alias("spent")
-    )
+    last = F.max("month").over(W.partitionBy(KEY))
+    now = only(rollup.withColumn("_last", last), "debit").groupBy(KEY, "category").agg(rupees(
+        F.coalesce(F.sum(F.when(F.col("month") == F.col("_last"), F.col("debit"))), F.lit(0))).alias("spent"))
     used = F.col("spent") / F.col("budget")
     return (
         budgets.where(F.col("budget") > 0)

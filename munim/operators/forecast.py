@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from munim.functions import money
 from munim.functions.dates import month_start
 from munim.operators.aggregates import KEY, fill_months, monthly_totals, only
+from munim.operators.rollup import month_rollup, rupees
 
 #: Fewer months than this and the mean charge is used instead of a trend.
 MIN_MONTHS = 3
+#: Least months of the model with a moving-average term.
+ARMA_MONTHS = 8
 #: Half-widths of an 80 % and a 95 % interval, in deviations.
 Z80, Z95 = 1.2816, 1.96
 
@@ -24,11 +27,15 @@ FORECAST_COLUMNS = [
 
 def category_series(df: DataFrame) -> DataFrame:
     """(statement, category, ds, y) without missing months."""
-    month = month_start(F.col("date")).alias("ds")
-    sums = only(df, "debit").groupBy(KEY, "category", month).agg(
-        F.abs(money.total(F.col("amount"))).alias("y")
-    )
-    return fill_months(sums, [KEY, "category"])
+    return category_series_of(month_rollup(df))
+
+
+def category_series_of(rollup: DataFrame) -> DataFrame:
+    """(statement, category, ds, y, charges, n_amount): spend of each month, and its charges' sizes."""
+    sums = only(rollup, "debit").select(
+        KEY, "category", F.col("month").alias("ds"), F.abs(rupees(F.col("amount"))).alias("y"),
+        "charges", "n_amount")
+    return fill_months(sums, [KEY, "category"], ("y", "charges", "n_amount"))
 
 
 def trend_label(change: Column, average: Column) -> Column:
@@ -52,17 +59,24 @@ def _record(predicted: Column, lower: Column, upper: Column, trend, average: Col
 
 def simple_forecast(df: DataFrame) -> DataFrame:
     """Mean charge plus 5 %, bounds 15 % either side; for short histories."""
-    month = month_start(F.col("date"))
-    stats = only(df, "debit").groupBy(KEY, "category").agg(
-        money.ratio(money.total(F.abs("amount")), F.count("amount")).alias("_avg"),
-        F.min(month).alias("_first"), F.max(month).alias("_last"),
-    )
-    months = F.months_between("_last", "_first") + 1
-    guess = F.col("_avg") * 1.05
-    return stats.where(months < MIN_MONTHS).select(
-        KEY, "category",
-        *_record(guess, guess * 0.85, guess * 1.15, "stable", F.col("_avg"), "simple_average"),
-    )
+    stats = category_series(df).groupBy(KEY, "category").agg(
+        F.count(F.lit(1)).alias("_months"), _mean_charge().alias("_mean"))
+    return stats.where(F.col("_months") < MIN_MONTHS).select(KEY, "category", *_simple(F.col("_mean")))
+
+
+def _mean_charge() -> Column:
+    return money.ratio(rupees(F.sum("charges")), F.sum("n_amount"))
+
+
+def _simple(mean: Column) -> list[Column]:
+    guess = mean * 1.05
+    return _record(guess, guess * 0.85, guess * 1.15, "stable", mean, "simple_average")
+
+
+def _by_length(months: Column, short: list[Column], long: list[Column]) -> list[Column]:
+    """``short`` for histories under ``MIN_MONTHS``, else ``long``: both from one aggregate."""
+    return [F.when(months < MIN_MONTHS, a).otherwise(b).alias(name)
+            for a, b, name in zip(short, long, FORECAST_COLUMNS)]
 
 
 def _month_index(day: Column) -> Column:
@@ -81,33 +95,45 @@ def trend_forecast(series: DataFrame, periods: int = 1) -> DataFrame:
     The sums are taken over whole paise and whole months, so they are exact and the
     result does not depend on how the rows were partitioned.
     """
+    return _trend(series, periods).where(F.col("_n") >= MIN_MONTHS).drop("_n")
+
+
+def _trend(series: DataFrame, periods: int) -> DataFrame:
+    """Forecast of every history, and its months (_n); short ones by the mean charge if known."""
+    known = "charges" in series.columns
     x, y = _month_index(F.col("ds")), money.paise(F.col("y"))
     sums = series.groupBy(KEY, "category").agg(
         F.count(F.lit(1)).cast("double").alias("_n"), F.max(x).cast("double").alias("_last"),
         F.sum(x).cast("double").alias("_x"), F.sum(x * x).cast("double").alias("_xx"),
         F.sum(y).cast("double").alias("_y"), F.sum(x * y).cast("double").alias("_xy"),
         F.sum(_wide(y) * _wide(y)).cast("double").alias("_yy"),
-    ).where(F.col("_n") >= MIN_MONTHS)
+        (_mean_charge() if known else F.lit(None).cast("double")).alias("_mean"),
+    )
     n, sx, sy = F.col("_n"), F.col("_x"), F.col("_y")
     fit = sums.select(
-        KEY, "category", n.alias("n"), (sy / n / 100).alias("avg"),
+        KEY, "category", n.alias("n"), "_mean", (sy / n / 100).alias("avg"),
         (n * F.col("_xx") - sx * sx).alias("dxx"), (n * F.col("_xy") - sx * sy).alias("dxy"),
         (n * F.col("_yy") - sy * sy).alias("dyy"), (n * (F.col("_last") + periods) - sx).alias("ahead"),
     )
     n, avg, dxx, dxy = F.col("n"), F.col("avg"), F.col("dxx"), F.col("dxy")
     ahead = F.col("ahead")
+    dxx, free = F.nullif(dxx, F.lit(0.0)), F.nullif(n - 2, F.lit(0.0))
     predicted = avg + dxy * ahead / (n * dxx) / 100
     residual = F.greatest(F.col("dyy") - dxy * dxy / dxx, F.lit(0.0)) / n / 10000
-    half = Z80 * F.sqrt(residual / (n - 2)) * F.sqrt(1 + 1 / n + ahead * ahead / (n * dxx))
-    return fit.select(
-        KEY, "category",
-        *_record(predicted, predicted - half, predicted + half,
-                 trend_label(dxy / dxx / 100, avg), avg, "linear_trend"),
-    )
+    half = Z80 * F.sqrt(residual / free) * F.sqrt(1 + 1 / n + ahead * ahead / (n * dxx))
+    long = _record(predicted, predicted - half, predicted + half,
+                   trend_label(dxy / dxx / 100, avg), avg, "linear_trend")
+    return fit.select(KEY, "category", *_by_length(n, _simple(F.col("_mean")), long), n.alias("_n"))
 
 
 def ar1_forecast(series: DataFrame) -> DataFrame:
     """ARIMA(1,1,0) by conditional least squares with a 95 % interval."""
+    return _ar1(series).where(F.col("_n") >= MIN_MONTHS).drop("_n")
+
+
+def _ar1(series: DataFrame) -> DataFrame:
+    """Forecast of every history, and its months (_n); short ones by the mean charge if known."""
+    known = "charges" in series.columns
     w = W.partitionBy(KEY, "category").orderBy("ds")
     steps = series.withColumn("_y", money.paise(F.col("y")))
     steps = steps.withColumn("_d", F.col("_y") - F.lag("_y").over(w))
@@ -121,24 +147,88 @@ def ar1_forecast(series: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("_p").isNotNull(), _wide(F.col("_d")) * _wide(F.col("_d"))))
         .cast("double").alias("_dd"),
         F.count("_p").alias("_k"),
-    ).where(F.col("_n") >= MIN_MONTHS)
+        (_mean_charge() if known else F.lit(None).cast("double")).alias("_mean"),
+    )
     avg = F.col("_sum") / F.col("_n") / 100
     phi = money.ratio(F.col("_dp"), F.col("_pp"), 0.0)
     predicted = (F.col("_y") + phi * F.col("_d")) / 100
     sse = F.greatest(F.col("_dd") - phi * F.col("_dp"), F.lit(0.0))
+    half = Z95 * F.sqrt(sse / F.nullif("_k", F.lit(0))) / 100
+    long = _record(predicted, predicted - half, predicted + half,
+                   trend_label(F.col("_d") / 100, avg), avg, "ar1")
+    return fit.select(KEY, "category", *_by_length(F.col("_n"), _simple(F.col("_mean")), long), "_n")
+
+
+def _solve2(aa: Column, ab: Column, bb: Column, ay: Column, by: Column) -> tuple[Column, Column]:
+    """Least-squares weights of two regressors; of the first alone where both are dependent."""
+    det = aa * bb - ab * ab
+    sound = det > 1e-9 * aa * bb
+    return (F.when(sound, (ay * bb - by * ab) / det).otherwise(money.ratio(ay, aa, 0.0)),
+            F.when(sound, (by * aa - ay * ab) / det).otherwise(F.lit(0.0)))
+
+
+def arma_forecast(series: DataFrame) -> DataFrame:
+    """ARIMA(1,1,1) by two regressions (Hannan and Rissanen) with a 95 % interval.
+
+    A regression of the monthly differences on the two before gives their shocks, in whole paise;
+    one on the difference and the shock before gives the weights, each kept within 0.99.  Sums are
+    over integers, hence exact.  Histories of at least ``ARMA_MONTHS`` months only.
+    """
+    w = W.partitionBy(KEY, "category").orderBy("ds")
+    every = W.partitionBy(KEY, "category")
+    steps = series.withColumn("_y", money.paise(F.col("y")))
+    steps = steps.withColumn("_d", F.col("_y") - F.lag("_y").over(w))
+    steps = steps.withColumns({"_p": F.lag("_d").over(w), "_q": F.lag("_d", 2).over(w)})
+    pair = lambda a, b: _wide(F.col(a)) * _wide(F.col(b))
+    known = F.col("_q").isNotNull()
+    over = lambda a, b: F.sum(F.when(known, pair(a, b))).over(every).cast("double")
+    steps = steps.withColumns({f"_{a}{b}": over(f"_{a}", f"_{b}") for a, b in ("pp", "pq", "qq", "dp", "dq")})
+    first, second = _solve2(*[F.col(c) for c in ("_pp", "_pq", "_qq", "_dp", "_dq")])
+    shock = F.floor(F.col("_d") - first * F.col("_p") - second * F.col("_q") + 0.5).cast("bigint")
+    steps = steps.withColumn("_e", shock).withColumn("_f", F.lag("_e").over(w))
+    usable = F.col("_f").isNotNull()
+    product = lambda a, b: F.coalesce(F.sum(F.when(usable, pair(a, b))).cast("double"), F.lit(0.0))
+    at_last = lambda c: F.max_by(c, "ds").cast("double")
+    fit = steps.groupBy(KEY, "category").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_y").cast("double").alias("_sum"),
+        at_last("_y").alias("_y"), at_last("_d").alias("_d"), at_last("_e").alias("_e"),
+        F.count("_f").alias("_k"), product("_p", "_p").alias("_pp"), product("_p", "_f").alias("_pf"),
+        product("_f", "_f").alias("_ff"), product("_d", "_p").alias("_dp"),
+        product("_d", "_f").alias("_df"), product("_d", "_d").alias("_dd"),
+    ).where(F.col("_n") >= ARMA_MONTHS)
+    phi, theta = _solve2(*[F.col(c) for c in ("_pp", "_pf", "_ff", "_dp", "_df")])
+    inside = lambda c: F.greatest(F.lit(-0.99), F.least(F.lit(0.99), c))
+    fit = fit.withColumns({"_phi": inside(phi), "_theta": inside(theta)})
+    a, b = F.col("_phi"), F.col("_theta")
+    avg = F.col("_sum") / F.col("_n") / 100
+    predicted = (F.col("_y") + a * F.col("_d") + b * F.col("_e")) / 100
+    sse = F.greatest(
+        F.col("_dd") - 2 * a * F.col("_dp") - 2 * b * F.col("_df") + a * a * F.col("_pp")
+        + 2 * a * b * F.col("_pf") + b * b * F.col("_ff"), F.lit(0.0))
     half = Z95 * F.sqrt(sse / F.col("_k")) / 100
     return fit.select(
         KEY, "category",
         *_record(predicted, predicted - half, predicted + half,
-                 trend_label(F.col("_d") / 100, avg), avg, "ar1"),
-    )
+                 trend_label(F.col("_d") / 100, avg), avg, "arma"))
 
 
 def forecast(df: DataFrame, periods: int = 1, method: str = "trend") -> DataFrame:
-    """Forecast of every (statement, category): trend or ``ar1``, simple mean for short histories."""
-    series = category_series(df)
-    long = trend_forecast(series, periods) if method == "trend" else ar1_forecast(series)
-    return long.unionByName(simple_forecast(df))
+    """Forecast of every (statement, category), from one read of the transactions."""
+    return forecast_of(month_rollup(df), periods, method)
+
+
+def forecast_of(rollup: DataFrame, periods: int = 1, method: str = "trend") -> DataFrame:
+    """Forecasts from a roll-up: ``trend``, ``ar1`` or ``arma``, simple mean for short histories.
+
+    ``arma`` leaves histories under ``ARMA_MONTHS`` months to ``ar1``.
+    """
+    series = category_series_of(rollup)
+    if method == "trend":
+        return _trend(series, periods).drop("_n")
+    short = _ar1(series)
+    if method == "ar1":
+        return short.drop("_n")
+    return arma_forecast(series).unionByName(short.where(F.col("_n") < ARMA_MONTHS).drop("_n"))
 
 
 def forecast_summary(forecasts: DataFrame) -> DataFrame:

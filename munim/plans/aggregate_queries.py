@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from munim.functions import money
 from munim.operators import aggregates as A, filters
 from munim.plans.fixtures import TXN_SQL, txn, txn_base
 from munim.plans.registry import query
+from munim.operators.rollup import add_batch, month_rollup, read_rollup, rupees
+from munim.session import ensure_checkpoint_dir
 
 WITH = "WITH " + TXN_SQL
 
@@ -185,9 +189,7 @@ SELECT statement_id, direction, sum(s) FILTER (age = 2) AS prev_total,
     / sum(s) FILTER (age = 2) * 100 END AS pct_change
 FROM ag WHERE age <= 2 GROUP BY ALL""")
 def mom_total(spark, d):
-    df = txn_base(spark, d)
-    parts = [A.mom_total(df, x).withColumn("direction", F.lit(x)) for x in ("debit", "credit")]
-    return parts[0].unionByName(parts[1])
+    return A.mom_totals(month_rollup(txn_base(spark, d)))
 
 
 @query("mom_lag", WITH + MONTHS_SQL + """
@@ -210,10 +212,26 @@ SELECT statement_id, category, budget, spent, spent / budget AS used,
        ELSE 'danger' END AS band
 FROM b JOIN now USING (statement_id, category)""")
 def budget_vs_actual(spark, d):
-    df = txn_base(spark, d)
-    budgets = A.category_monthly_avg(df).select(
+    rollup = month_rollup(txn_base(spark, d))
+    budgets = A.category_monthly_avg_of(rollup).select(
         "statement_id", "category", F.col("suggested_budget").alias("budget"))
-    return A.budget_vs_actual(df, budgets)
+    return A.budgets_of(rollup, budgets)
+
+
+@query("rollup_batches", WITH + f"""
+SELECT statement_id, category, transaction_type, CAST(date_trunc('month', date) AS DATE) AS month,
+  count(*) AS n_rows, {total('debit')} AS debit, {total('credit')} AS credit
+FROM txn GROUP BY ALL""")
+def rollup_batches(spark, d):
+    """Three batches, one of them written twice, read back as one roll-up."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/rollup-{uuid.uuid4().hex}"
+    df = txn_base(spark, d)
+    for batch in (0, 1, 2, 1):
+        add_batch(df.where(F.col("statement_id") % 3 == batch), path, str(batch))
+    return read_rollup(spark, path).select(
+        "statement_id", "category", "transaction_type", "month", "n_rows",
+        rupees(F.col("debit")).alias("debit"), rupees(F.col("credit")).alias("credit"))
 
 
 @query("control_totals", WITH + f"""
