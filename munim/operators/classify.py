@@ -25,7 +25,9 @@ from munim.rules.tokens import BUSINESS_WORDS, HONORIFICS
 from munim.schema import CLASSIFICATION_FIELDS, ContractError
 
 #: Leading characters of a keyword that a merchant table is joined on.
-HEAD = 4
+HEAD = 8
+#: Bits of the largest field that tells where a keyword may begin (8 MB); 16 a keyword up to that.
+MOST_BITS = 1 << 26
 
 
 class Merchant(NamedTuple):
@@ -45,13 +47,47 @@ def read_merchants(spark: SparkSession, path: str) -> DataFrame:
         path, header=True, schema="keyword STRING, category STRING, subcategory STRING")
 
 
+def head_bits(heads: DataFrame, bits: int) -> Column:
+    """Bit field of the texts in ``_head`` as one array of 64-bit words: ``bits / 8`` bytes."""
+    places = heads.select(F.explode(F.array(*_bits_of(F.col("_head"), bits))).alias("_bit")).distinct()
+    words = places.select(
+        F.floor(F.col("_bit") / 64).cast("long").alias("_word"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_bit") % 64).cast("int")).alias("_value"))
+    blank = heads.sparkSession.range(bits // 64).select(F.col("id").alias("_word"), F.lit(0).cast("long").alias("_value"))
+    full = words.unionByName(blank).groupBy("_word").agg(F.bit_or("_value").alias("_value"))
+    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("_word", "_value"))),
+                                lambda x: x["_value"]).alias("words")).scalar()
+
+
+def _bits_of(head: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(seed), head), F.lit(bits)) for seed in (1, 2)]
+
+
+def merchant_spots(texts: DataFrame, heads: DataFrame) -> DataFrame:
+    """Places (_at) of ``_low`` where a keyword may begin, with its leading characters (_head).
+
+    Candidates are tested against a bit field in the stage that makes them, so that only keywords'
+    places and a few others go on.
+    """
+    known = heads.agg(F.count("*").alias("n"), F.collect_set(F.length("_head")).alias("sizes")).first()
+    sizes = F.array(*[F.lit(n) for n in sorted(known["sizes"])]).cast("array<int>")  # at most HEAD
+    bits = min(MOST_BITS, 1 << max(12, (16 * known["n"]).bit_length()))
+    words = head_bits(heads, bits)
+    spots = texts.select("_low", F.explode(F.sequence(F.lit(1), F.length("_low"))).alias("_at")).withColumn(
+        "_n", F.explode(sizes)).where(F.col("_n") <= F.length("_low") - F.col("_at") + 1)
+    out = spots.select("_low", "_at", F.substring(F.col("_low"), F.col("_at"), F.col("_n")).alias("_head"))
+    for bit in _bits_of(F.col("_head"), bits):
+        out = out.where(F.getbit(F.get(words, F.floor(bit / 64).cast("int")), (bit % 64).cast("int")) == 1)
+    return out
+
+
 def with_merchants(df: DataFrame, text: str, merchants: DataFrame, name: str) -> DataFrame:
     """Add ``name``: struct(category, subcategory) of the merchant that column ``text`` names.
 
     The leftmost, then longest keyword wins, like in ``merchant_lookup``, but the table may be of
-    any size.  Each distinct text is cut into its leading ``HEAD`` characters at every position
-    (and shorter ones for keywords that are shorter), which meet the keywords by equality; hits
-    are confirmed in full.  A keyword listed twice keeps the least category and subcategory.
+    any size.  Each distinct text meets the keywords by their leading ``HEAD`` characters (whole
+    ones that are shorter), at the few places that a bit field of these lets through; hits are
+    confirmed in full.  A keyword listed twice keeps the least category and subcategory.
     """
     key = F.lower(strip("keyword"))
     table = merchants.select(key.alias("_key"), F.struct("category", "subcategory").alias("_of")).where(
@@ -60,10 +96,7 @@ def with_merchants(df: DataFrame, text: str, merchants: DataFrame, name: str) ->
     table = table.select("_key", "_of", F.left("_key", F.lit(HEAD)).alias("_head"),
                          (short | F.col("_key").isin(WHOLE_WORD_MERCHANTS)).alias("_whole"))
     texts = df.select(F.lower(F.col(text)).alias("_low")).where(F.length("_low") > 0).distinct()
-    spots = texts.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_low"))))
-    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("_low") - F.col("_at") + 1)))
-    heads = spots.withColumn("_n", size).withColumn(
-        "_head", F.substring(F.col("_low"), F.col("_at"), F.col("_n")))
+    heads = merchant_spots(texts, table.select("_head").distinct())
     end = F.col("_at") + F.length("_key")
     word = lambda at: F.coalesce(F.substring(F.col("_low"), at, F.lit(1)).rlike(r"^\w"), F.lit(False))
     before = (F.col("_at") > 1) & word(F.col("_at") - 1)

@@ -10,6 +10,7 @@ from munim.functions import money
 from munim.operators import aggregates as A, filters
 from munim.plans.fixtures import TXN_SQL, txn, txn_base
 from munim.plans.registry import query
+from munim.operators.paging import read_page, write_sorted
 from munim.operators.rollup import add_batch, month_rollup, read_rollup, rupees
 from munim.session import ensure_checkpoint_dir
 
@@ -294,6 +295,25 @@ def browse_limit(spark, d):
         "date", "statement_id", "line_no").limit(500)
 
 
+@query("browse_page", WITH + """
+, n AS (SELECT statement_id, line_no, date, amount,
+        row_number() OVER (ORDER BY date, statement_id, line_no) AS row_no FROM txn)
+SELECT *, (row_no - 1) // 700 + 1 AS page FROM n WHERE (row_no - 1) // 700 + 1 IN (1, 4, (SELECT
+  (count(*) - 1) // 700 + 1 FROM n))""")
+def browse_page(spark, d):
+    """The first, the fourth and the last page of all transactions by date."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/pages-{uuid.uuid4().hex}"
+    order = ["date", "statement_id", "line_no"]
+    write_sorted(txn(spark, d).select(*order, "amount"), order, path)
+    last = (spark.read.parquet(f"{path}/index").agg(F.sum("_rows")).first()[0] - 1) // 700 + 1
+    out = None
+    for page in sorted({1, 4, last}):
+        rows = read_page(spark, path, order, page, 700).withColumn("page", F.lit(page).cast("long"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("savings_rate", WITH + f"""
 , s AS (SELECT statement_id, coalesce({total('credit')}, 0) AS cr, coalesce({total('debit')}, 0) AS db
         FROM txn GROUP BY 1)

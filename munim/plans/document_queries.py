@@ -81,6 +81,31 @@ def upi_lines_compact(spark, d):
     return TX.upi_lines(lines).drop("bank_source")
 
 
+@query("strip_pages", WITH + """
+SELECT statement_id, line_no, date, abs(amount) AS amount, transaction_type FROM txn""")
+def strip_pages(spark, d):
+    """Records between page headers and footers; both may hold a line shaped like a record."""
+    rows = raw_txn(spark, d)
+    credit = F.col("transaction_type") == "credit"
+    line = F.concat(F.date_format("date", "ddMMM,yyyy"), F.when(credit, " Receivedfrom").otherwise(" Paidto"),
+                    F.replace("description", F.lit(" ")), F.lit(" \u20b9"), F.col("lakh"))
+    opens, closes = F.col("pick") % 2 == 0, F.col("pick") % 3 == 0
+    period = opens & (F.col("statement_id") % 2 == 0)
+    texts = [F.when(opens, "Transaction statement"), F.when(opens, "9876543210, someone@bank.in"),
+             F.when(period, "Transactionstatementperiod Sent Received"), F.when(period, F.concat(F.lit("02Jan,2020 PaidtoNobody"), F.lit(" \u20b98"))),
+             F.when(opens, "Date&time Transactiondetails Amount"), line, F.lit("PaidbyIndianBank1234"),
+             F.when(closes, "Note:Thisstatement reflects payments"),
+             F.when(closes, F.concat(F.lit("01Jan,2020 PaidtoNobody"), F.lit(" \u20b97"))),
+             F.when(closes, "Page1of9")]
+    numbered = F.array(*[F.struct((F.col("line_no") * 16 + i).alias("n"), t.alias("line"))
+                         for i, t in enumerate(texts)])
+    lines = rows.select("statement_id", F.inline(numbered)).where(F.col("line").isNotNull()).select(
+        "statement_id", F.col("n").alias("line_no"), "line")
+    found = TX.upi_lines(TX.strip_page_lines(lines, DAY_SPAN * 16))
+    return found.select("statement_id", F.floor(F.col("line_no") / 16).cast("bigint").alias("line_no"),
+                        "date", "amount", "transaction_type")
+
+
 def wallet(spark, d) -> DataFrame:
     rows = in_2000(raw_txn(spark, d))
     credit = F.col("transaction_type") == "credit"

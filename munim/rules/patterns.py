@@ -63,6 +63,13 @@ UPI_PAGE_HEADER = (
     r"Date&time\s+Transactiondetails\s+Amount\n"
 )
 UPI_PAGE_FOOTER = r"Note:Thisstatement[^\n]+\n[^\n]+\nPage\d+of\d+"
+# The same header and footer, line by line.
+UPI_HEADER_TITLE = r"^\s*Transaction statement\s*$"
+UPI_HEADER_OWNER = r"^\s*\d+,\s*\S+@\S+\s*$"
+UPI_HEADER_PERIOD = r"^\s*Transactionstatementperiod."
+UPI_HEADER_COLUMNS = r"^\s*Date&time\s+Transactiondetails\s+Amount\s*$"
+UPI_FOOTER_NOTE = r"^\s*Note:Thisstatement."
+UPI_FOOTER_PAGE = r"^\s*Page\d+of\d+"
 UPI_LINE = r"^(\d{2}\w{3},\d{4})\s+(Paidto|Receivedfrom)(.+?)\s+₹([\d,]+\.?\d*)$"
 
 # Wallet statement lines.
