@@ -52,29 +52,29 @@ a1 AS (SELECT statement_id, category, count(*) AS n, sum(y)::DOUBLE / count(*) /
        GROUP BY ALL HAVING count(*) >= 3),
 a2 AS (SELECT *, (ly + phi * lc) / 100 AS p, 1.96::DOUBLE * sqrt(greatest(d2 - phi * dp, 0) / k) / 100 AS h
        FROM a1),
-b1 AS (SELECT *, lag(dd, 2) OVER (PARTITION BY statement_id, category ORDER BY ds) AS qq FROM d2),
-b2 AS (SELECT statement_id, category, sum(pp * pp)::DOUBLE AS spp, sum(pp * qq)::DOUBLE AS spq,
+hrb1 AS (SELECT *, lag(dd, 2) OVER (PARTITION BY statement_id, category ORDER BY ds) AS qq FROM d2),
+hrb2 AS (SELECT statement_id, category, sum(pp * pp)::DOUBLE AS spp, sum(pp * qq)::DOUBLE AS spq,
        sum(qq * qq)::DOUBLE AS sqq, sum(dd * pp)::DOUBLE AS sdp, sum(dd * qq)::DOUBLE AS sdq
-       FROM b1 WHERE qq IS NOT NULL GROUP BY ALL),
-b3 AS (SELECT *, spp * sqq - spq * spq > 1e-9 * spp * sqq AS ok, spp * sqq - spq * spq AS det FROM b2),
-b4 AS (SELECT *, CASE WHEN ok THEN (sdp * sqq - sdq * spq) / det ELSE coalesce(sdp / nullif(spp, 0), 0) END AS f1,
-       CASE WHEN ok THEN (sdq * spp - sdp * spq) / det ELSE 0 END AS f2 FROM b3),
-b5 AS (SELECT b1.*, floor(dd::DOUBLE - f1 * pp::DOUBLE - f2 * qq::DOUBLE + 0.5)::HUGEINT AS e
-       FROM b1 LEFT JOIN b4 USING (statement_id, category)),
-b6 AS (SELECT *, lag(e) OVER (PARTITION BY statement_id, category ORDER BY ds) AS f FROM b5),
-b7 AS (SELECT statement_id, category, count(*) AS n, sum(y)::DOUBLE / count(*) / 100 AS av,
+       FROM hrb1 WHERE qq IS NOT NULL GROUP BY ALL),
+hrb3 AS (SELECT *, spp * sqq - spq * spq > 1e-9 * spp * sqq AS ok, spp * sqq - spq * spq AS det FROM hrb2),
+hrb4 AS (SELECT *, CASE WHEN ok THEN (sdp * sqq - sdq * spq) / det ELSE coalesce(sdp / nullif(spp, 0), 0) END AS f1,
+       CASE WHEN ok THEN (sdq * spp - sdp * spq) / det ELSE 0 END AS f2 FROM hrb3),
+hrb5 AS (SELECT hrb1.*, floor(dd::DOUBLE - f1 * pp::DOUBLE - f2 * qq::DOUBLE + 0.5)::HUGEINT AS e
+       FROM hrb1 LEFT JOIN hrb4 USING (statement_id, category)),
+hrb6 AS (SELECT *, lag(e) OVER (PARTITION BY statement_id, category ORDER BY ds) AS f FROM hrb5),
+hrb7 AS (SELECT statement_id, category, count(*) AS n, sum(y)::DOUBLE / count(*) / 100 AS av,
        arg_max(y, ds)::DOUBLE AS ly, arg_max(dd, ds)::DOUBLE AS ld, arg_max(e, ds)::DOUBLE AS le, count(f) AS k,
        sum(pp * pp) FILTER (f IS NOT NULL)::DOUBLE AS pp, sum(pp * f)::DOUBLE AS pf, sum(f * f)::DOUBLE AS ff,
        sum(dd * pp) FILTER (f IS NOT NULL)::DOUBLE AS dp, sum(dd * f)::DOUBLE AS df,
-       sum(dd * dd) FILTER (f IS NOT NULL)::DOUBLE AS dd FROM b6 GROUP BY ALL HAVING count(*) >= 8),
-b8 AS (SELECT *, pp * ff - pf * pf > 1e-9 * pp * ff AS ok, pp * ff - pf * pf AS det FROM b7),
-b9 AS (SELECT *, greatest(-0.99, least(0.99, CASE WHEN ok THEN (dp * ff - df * pf) / det
+       sum(dd * dd) FILTER (f IS NOT NULL)::DOUBLE AS dd FROM hrb6 GROUP BY ALL HAVING count(*) >= 8),
+hrb8 AS (SELECT *, pp * ff - pf * pf > 1e-9 * pp * ff AS ok, pp * ff - pf * pf AS det FROM hrb7),
+hrb9 AS (SELECT *, greatest(-0.99, least(0.99, CASE WHEN ok THEN (dp * ff - df * pf) / det
        ELSE coalesce(dp / nullif(pp, 0), 0) END))::DOUBLE AS phi,
-       greatest(-0.99, least(0.99, CASE WHEN ok THEN (df * pp - dp * pf) / det ELSE 0 END))::DOUBLE AS th FROM b8),
-ba AS (SELECT *, ld / 100 AS sl, (ly + phi * ld + th * le) / 100 AS p, 1.96::DOUBLE * sqrt(greatest(dd
-       - 2 * phi * dp - 2 * th * df + phi * phi * pp + 2 * phi * th * pf + th * th * ff, 0) / k) / 100 AS h FROM b9),
-am AS (SELECT statement_id, category,
-       {record('p', 'p - h', 'p + h', TREND.format('sl', 'av'), 'av', 'arma')} FROM ba),
+       greatest(-0.99, least(0.99, CASE WHEN ok THEN (df * pp - dp * pf) / det ELSE 0 END))::DOUBLE AS th FROM hrb8),
+hrba AS (SELECT *, ld / 100 AS sl, (ly + phi * ld + th * le) / 100 AS p, 1.96::DOUBLE * sqrt(greatest(dd
+       - 2 * phi * dp - 2 * th * df + phi * phi * pp + 2 * phi * th * pf + th * th * ff, 0) / k) / 100 AS h FROM hrb9),
+hram AS (SELECT statement_id, category,
+       {record('p', 'p - h', 'p + h', TREND.format('sl', 'av'), 'av', 'arma')} FROM hrba),
 ar AS (SELECT statement_id, category,
        {record('p', 'p - h', 'p + h', TREND.format('ld', 'av'), 'av', 'ar1')} FROM a2),
 fc AS (SELECT * FROM tr UNION ALL SELECT * FROM sm),
@@ -102,7 +102,7 @@ def forecast_ar1(spark, d):
 
 
 @query("forecast_arma", WITH + """
-SELECT * FROM am UNION ALL SELECT ar.* FROM ar JOIN a1 USING (statement_id, category) WHERE n < 8
+SELECT * FROM hram UNION ALL SELECT ar.* FROM ar JOIN a1 USING (statement_id, category) WHERE n < 8
 UNION ALL SELECT * FROM sm""")
 def forecast_arma(spark, d):
     return FC.forecast(txn_base(spark, d), method="arma")
