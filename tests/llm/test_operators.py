@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -558,6 +559,22 @@ def test_top_k(spark, scale, dims):
     assert got == want
 
 
+def test_top_k_of_long_vectors(spark):
+    """A few very long vectors: bounds are not rounded, nothing is cut to 64 bits before it is ranked."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.12, (300, 64)).astype(np.float32)
+    x[0, 0], x[50, 3], x[7, 5], x[9, 5], x[250] = 1e14, 1e22, 3e12, -3e12, x[250] * 1e11
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows = df.select("vec_id", topk_search.to_integers(F.col("embedding")).alias("vector"))
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk_search.top_k(rows, F.col("vec_id") % 50 == 0).collect()}
+    whole = [[math.floor(256 * float(c)) for c in v] for v in x]
+    want = {}
+    for q in range(0, 300, 50):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in range(300) if c != q)
+        want |= {(q, n): (c, max(-2**63, min(-s, 2**63 - 1))) for n, (s, c) in enumerate(scored[:5], 1)}
+    assert got == want
+
+
 def test_top_k_small_tables(spark):
     df = spark.createDataFrame([(0, [1]), (50, [2, 3])], "vec_id long, vector array<long>")
     got = {tuple(r) for r in topk_search.top_k(df, F.lit(True)).collect()}
