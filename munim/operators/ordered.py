@@ -5,7 +5,9 @@ one statement holds a third of all rows, so does that task.  Here the ordered
 rows of a statement are cut into consecutive buckets.  The row-level window runs
 per (statement, bucket); only one summary row per bucket takes part in the
 window over the statement, and is joined back on (statement, bucket), a key the
-row-level data is already partitioned by.
+row-level data is already partitioned by.  That join is by merging: summary rows can
+be nearly as many as rows, and of generated rows Spark expects too few for it to
+send them to every task through the driver.
 
 ``buckets`` are columns that never decrease along ``order``.
 """
@@ -45,7 +47,7 @@ def running_total(
     before = totals.select(
         *part, *names, *[F.sum(f"_sum_{k}").over(outer).alias(f"_before_{k}") for k in values]
     )
-    joined = local.join(before, [*part, *names], "left")
+    joined = local.join(before.hint("merge"), [*part, *names], "left")
     return joined.withColumns(
         {
             k: F.coalesce(F.col(f"_in_{k}"), F.lit(0)) + F.coalesce(F.col(f"_before_{k}"), F.lit(0))
@@ -71,7 +73,7 @@ def carry_forward(
     before = lasts.select(
         *part, *names, F.last("_last", ignorenulls=True).over(outer).alias("_before")
     )
-    joined = local.join(before, [*part, *names], "left")
+    joined = local.join(before.hint("merge"), [*part, *names], "left")
     return joined.withColumn(name, F.coalesce("_in", "_before")).drop(
         "_value", "_in", "_before", *names
     )
@@ -97,14 +99,14 @@ def following(
     outer = W.partitionBy(*part).orderBy(*names)
     after = heads.select(
         *part, *names,
-        F.flatten(
+        F.slice(F.flatten(
             F.array(*[
                 F.coalesce(F.lead("_head", k).over(outer), F.expr("slice(_head, 1, 0)"))
                 for k in range(1, depth + 1)
             ])
-        ).alias("_after"),
+        ), 1, depth).alias("_after"),
     )
-    joined = local.join(after, [*part, *names], "left")
+    joined = local.join(after.hint("merge"), [*part, *names], "left")
     out = {}
     for k, name in enumerate(names_out, 1):
         # Rows of this bucket still ahead decide how deep to look into the next bucket.
