@@ -19,6 +19,8 @@ ORDER = 3
 SAMPLE_TEXTS, SAMPLE_CHARS = 400, 20_000
 #: Contexts of ORDER bytes seen less often in training are left to their shorter ones.
 LEAST_SEEN = 2
+#: Groups of sampled texts per language whose grams are counted together.
+SLOTS = 8
 #: Bytes scored at once.
 CHUNK = 1_000_000
 
@@ -37,24 +39,31 @@ class Trees:
     cost: np.ndarray
 
 
+def slot_counts(sample: DataFrame) -> DataFrame:
+    """Counts (lang, gram, n) of (ORDER + 1)-grams of bytes; texts start after line breaks.
+
+    Texts (lang, h, text) are counted in SLOTS groups a language, by their hash ``h``: how many
+    counts there are depends on the sample alone, not on the partitions that it lies in.
+    """
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        grams = [np.zeros(0, dtype=np.int64)]
+        for text in rows["text"]:
+            b = np.frombuffer(b"\n" * ORDER + text.encode("utf-8", "replace"), dtype=np.uint8)
+            code = np.zeros(len(b) - ORDER, dtype=np.int64)
+            for k in range(ORDER + 1):
+                code = code * 256 + b[k:len(b) - ORDER + k]
+            grams.append(code)
+        gram, n = np.unique(np.concatenate(grams), return_counts=True)
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "gram": gram, "n": n})
+
+    slot = F.pmod(F.col("h"), F.lit(SLOTS)).alias("slot")
+    return sample.select("lang", slot, "text").groupBy("lang", "slot").applyInPandas(
+        run, "lang string, gram long, n long")
+
+
 def gram_counts(sample: DataFrame) -> pd.DataFrame:
-    """Counts of all (ORDER + 1)-grams of bytes per language; texts start after line breaks."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lang, rows in batch.groupby("lang"):
-                grams = [np.zeros(0, dtype=np.int64)]
-                for text in rows["text"]:
-                    b = np.frombuffer(b"\n" * ORDER + text.encode("utf-8", "replace"), dtype=np.uint8)
-                    code = np.zeros(len(b) - ORDER, dtype=np.int64)
-                    for k in range(ORDER + 1):
-                        code = code * 256 + b[k:len(b) - ORDER + k]
-                    grams.append(code)
-                gram, n = np.unique(np.concatenate(grams), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": gram, "n": n})
-
-    # Bounded by the sample's bytes.
-    return sample.select("lang", "text").mapInPandas(run, "lang string, gram long, n long").groupBy(
-        "lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    """Counts of all grams per language, bounded by the sample's bytes."""
+    return slot_counts(sample).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
 
 
 def grow(counts: pd.DataFrame) -> Trees:

@@ -508,6 +508,16 @@ def test_clashing_names(spark):
     assert {r[0] for r in url_filter.judge(df, rules).select("rule").collect()} == {"com/"}
 
 
+def test_language_counts_do_not_depend_on_partitions(spark):
+    """As many counts from texts in one partition as from texts in forty."""
+    sample = spark.range(200).select(
+        F.lit("en").alias("lang"), F.xxhash64("id").alias("h"), F.concat(F.lit("text no "), F.col("id") % 7).alias("text"))
+    some = [language_id.slot_counts(sample.repartition(n)).count() for n in (1, 40)]
+    assert some[0] == some[1] < 200
+    counts = language_id.gram_counts(sample)
+    assert counts["n"].sum() == 200 * 9 and not counts.duplicated(["lang", "gram"]).any()
+
+
 def test_language_held_out(spark):
     rows = Q.op7(spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
