@@ -23,6 +23,11 @@ def test_view_is_worked_out_once(spark, name):
     assert "l_orderkey" not in plan(QUERIES[name](spark, SF_DIR))
 
 
+def test_lines_of_files_are_stored(spark):
+    """The lines read back are worked out once; no branch goes back to the raw lines."""
+    assert "LogicalRDD" not in plan(QUERIES["load_files"](spark, SF_DIR))
+
+
 def generated(spark):
     """Few rows that become many: Spark expects no more than the few."""
     return spark.range(40).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("n"))
