@@ -28,6 +28,13 @@ def test_lines_of_files_are_stored(spark):
     assert "LogicalRDD" not in plan(QUERIES["load_files"](spark, SF_DIR))
 
 
+@pytest.mark.parametrize("name", ["parse_documents", "parse_fallback"])
+def test_remains_of_documents_are_stored(spark, name):
+    """What earlier stages leave over is filtered once, not in every branch that reads it."""
+    text = plan(QUERIES[name](spark, SF_DIR))
+    assert "LeftAnti" not in text and "LogicalRDD" not in text
+
+
 def generated(spark):
     """Few rows that become many: Spark expects no more than the few."""
     return spark.range(40).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("n"))
