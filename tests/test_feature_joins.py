@@ -67,3 +67,10 @@ def test_only_what_is_read_again_is_stored(spark):
         Q.stored = real
     assert seen[0] == ["statement_id", "date", "description", "category", "transaction_type", "amount", "line_no"]
     assert seen[1] == ["statement_id", "line_no", *A.FEATURES]
+
+
+def test_facts_store_no_unused_columns(spark):
+    from munim.plans import insight_queries as Q
+
+    df, _ = Q.facts(spark, "/root/testdata/sf0.001")
+    assert not {"subcategory", "pick"} & set(df.columns)
