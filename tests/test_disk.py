@@ -83,3 +83,30 @@ def test_subrows_are_read_and_shuffled_once(spark):
     assert text.count("SortMergeJoin") == 1  # that of the buckets of long statements
     shuffled = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
     assert 0 < len(shuffled) <= 6  # one more for the count of lines, in each of two branches
+
+
+# --- head of wallet texts ----------------------------------------------------
+
+TEXTS = [
+    ["Statement for 1 MAR'00 - 28 FEB'01", "Transaction Details"], ["Passbook 2019", "5 Mar Paid to x - Rs.5"],
+    ["for 12", "MAR'00", " - ", "28", "", "FEB'01 x"], ["Paid 1,23", " MAR'05 -", "7 FEB'06 2031"],
+    ["x" * 499 + "2024 y"], ["x" * 495, "2024"], ["x" * 496, "2024"], ["a1 2 MAR'20 - 3", "APR", "'21"], ["2 MAR'20", "and", "- 3 APR'21"],
+    ["y" * 2990, "1 MAR'00 - 28 FEB'01"], ["y" * 2975, "1 MAR'00 - 28 FEB'01"], ["nothing"], [None, "2018"], ["3 MAR'20 -1 APR'21", "2044"],
+]
+
+
+def test_periods_are_those_of_the_whole_head(spark):
+    rows = [(s, n, line) for s, text in enumerate(TEXTS) for n, line in enumerate(text)] + [(None, 0, "2017")]
+    lines = spark.createDataFrame(rows, "statement_id long, line_no long, line string")
+    for chars in (20, 600, 3000):
+        want = TX.head_text(lines, chars).select("statement_id", TX.wallet_period(F.col("head")).alias("period"))
+        assert sorted(map(str, TX.statement_periods(lines, chars).collect())) == sorted(map(str, want.collect()))
+
+
+def test_other_text_of_the_head_is_not_shuffled(spark):
+    rows = [(s, n, f"{n} words that name nothing ₹5.{n}") for s in range(3) for n in range(4)]
+    lines = spark.createDataFrame(rows, "statement_id long, line_no long, line string")
+    with setting(spark, "spark.sql.adaptive.enabled", "false"):
+        text = TX.statement_periods(lines)._jdf.queryExecution().executedPlan().toString()
+    below = text.split("Exchange hashpartitioning")[1]
+    assert "regexp_extract(line" in below and "AS _text" in below
