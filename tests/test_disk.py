@@ -110,3 +110,11 @@ def test_other_text_of_the_head_is_not_shuffled(spark):
         text = TX.statement_periods(lines)._jdf.queryExecution().executedPlan().toString()
     below = text.split("Exchange hashpartitioning")[1]
     assert "regexp_extract(line" in below and "AS _text" in below
+
+
+def test_cells_without_digits_are_not_tried(spark):
+    texts = ["abc", "", None, "no date", "May", "01-02-2024", "Monday, 3 May 2024", "3rd May 2024 9:05 pm", "₹5"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string").select(D.parse_timestamp(F.col("c")).alias("d"))
+    got = [r.d for r in df.collect()]
+    assert [g is not None for g in got] == [False] * 5 + [True] * 3 + [False]
+    assert "CASE WHEN RLIKE(c" in plan(df) or "CASE WHEN c" in plan(df)
