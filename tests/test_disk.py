@@ -118,3 +118,16 @@ def test_cells_without_digits_are_not_tried(spark):
     got = [r.d for r in df.collect()]
     assert [g is not None for g in got] == [False] * 5 + [True] * 3 + [False]
     assert "CASE WHEN RLIKE(c" in plan(df) or "CASE WHEN c" in plan(df)
+
+
+# --- debits for features and forests -----------------------------------------
+
+
+@pytest.mark.parametrize("name", ["anomaly_features"])
+def test_debits_are_stored_without_unused_columns(spark, monkeypatch, name):
+    seen = []
+    real = Q.stored
+    monkeypatch.setattr(Q, "stored", lambda df: seen.append(df.columns) or real(df))
+    out = getattr(Q, name)(spark, SF_DIR)
+    assert seen[0] == ["statement_id", "date", "description", "category", "transaction_type", "amount", "line_no"]
+    assert "l_orderkey" not in plan(out) and "LogicalRDD" not in plan(out)
