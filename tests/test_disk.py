@@ -123,7 +123,7 @@ def test_cells_without_digits_are_not_tried(spark):
 # --- debits for features and forests -----------------------------------------
 
 
-@pytest.mark.parametrize("name", ["anomaly_features", "anomaly_share", "predict_unseen"])
+@pytest.mark.parametrize("name", ["anomaly_features", "anomaly_share", "predict_unseen", "isolation_forest"])
 def test_debits_are_stored_without_unused_columns(spark, monkeypatch, name):
     seen = []
     real = Q.stored
